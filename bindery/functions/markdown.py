@@ -11,7 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +31,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _STYLING = re.compile(r"\s+(?:class|style)\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|\Z)", re.I)
+_BLANKS = re.compile(r"[ \t\r\n\f]{2,}|[\t\r\n\f]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
@@ -63,14 +64,18 @@ def balanced(page: str) -> list[list]:
     """Events ``[kind, tag, attribute text or text, index of the matching end]``."""
     events: list[list] = []
     stack: list[int] = []
+    n_open = Counter()
 
     def close_down_to(depth: int) -> None:
         while len(stack) > depth:
             start = stack.pop()
             events[start][3] = len(events)
             events.append(["end", events[start][1], "", 0])
+            n_open[events[start][1]] -= 1
 
     def close_nearest(kinds: set[str], stop: frozenset | set) -> None:
+        if not any(n_open[k] for k in kinds):
+            return None
         for depth in range(len(stack) - 1, -1, -1):
             name = events[stack[depth]][1]
             if name in kinds:
@@ -90,6 +95,7 @@ def balanced(page: str) -> list[list]:
             events.append(["end", tag, "", 0])
         else:
             stack.append(at)
+            n_open[tag] += 1
 
     for m in _TOKEN.finditer(page):
         kind = m.lastgroup
@@ -195,7 +201,9 @@ def render(events: Iterator[list]) -> str:
         emit(f"\n\n{body}\n\n" if body.strip() else "", True)
 
     def finish(tag: str, attrs: str, text: str) -> None:
-        body = re.sub(r"\n{3,}", "\n\n", text.strip(" \n"))
+        body = text.strip(" \n")
+        if "\n\n\n" in body:
+            body = re.sub(r"\n{3,}", "\n\n", body)
         if tag == "pre":
             block(f"```\n{text.strip(chr(10))}\n```" if body else "")
         elif inside["pre"]:
@@ -238,7 +246,7 @@ def render(events: Iterator[list]) -> str:
 
     for kind, tag, payload, _ in events:
         if kind == "text":
-            text = payload if inside["pre"] else re.sub(r"[ \t\r\n\f]+", " ", payload)
+            text = payload if inside["pre"] else _BLANKS.sub(" ", payload)
             literal = inside["pre"] or inside["code"]
             emit(text if literal else text.replace("*", "\\*").replace("_", "\\_"))
         elif kind == "start":
@@ -280,11 +288,11 @@ def html_to_markdown(
 ) -> Column:
     """Struct ``markdown, region, status, error``; a page that fails never fails the job."""
 
-    @F.pandas_udf(CONVERTED)
-    def convert(pages: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(CONVERTED)
+    def convert(pages: pa.Array) -> pa.Array:
         clean = _cleaner(strip_tags, strip_classes)
         rows = []
-        for page in pages:
+        for page in pages.to_pylist():
             try:
                 if page is None:
                     raise ValueError("no text: missing or not valid UTF-8")
@@ -292,7 +300,10 @@ def html_to_markdown(
                 rows.append((render(iter(events)), region, "ok", None))
             except Exception as exc:  # one bad page is a failed row
                 rows.append((None, None, "failed", f"{type(exc).__name__}: {exc}"))
-        return pd.DataFrame(rows, columns=["markdown", "region", "status", "error"], dtype=object)
+        columns = zip(*rows) if rows else [[]] * 4
+        return pa.StructArray.from_arrays(
+            [pa.array(c, pa.string()) for c in columns], ["markdown", "region", "status", "error"]
+        )
 
     return convert(html_col)
 
@@ -304,9 +315,10 @@ def clean_html(
 ) -> Column:
     """Main region as well-formed HTML without boilerplate, ``class`` and ``style``."""
 
-    @F.pandas_udf("string")
-    def cleaned(pages: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def cleaned(pages: pa.Array) -> pa.Array:
         clean = _cleaner(strip_tags, strip_classes)
-        return pages.map(lambda page: None if page is None else serialize(iter(clean(page)[1])))
+        texts = [None if page is None else serialize(iter(clean(page)[1])) for page in pages.to_pylist()]
+        return pa.array(texts, pa.string())
 
     return cleaned(html_col)
