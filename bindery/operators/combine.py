@@ -36,42 +36,81 @@ def separator_words(separator: str) -> int:
     return len(separator.split())
 
 
-def corpus_words(sections: DataFrame, order: Column, separator: str = SEPARATOR) -> DataFrame:
+def seam_flags(section: Column, separator: str = SEPARATOR) -> Column:
+    """Whether a section has text, starts with and ends in a word; null where it cannot matter."""
+    if separator and not separator[0].strip() and not separator[-1].strip():
+        return F.lit(None).cast("struct<filled boolean, starts boolean, ends boolean>")
+    filled = section != ""
+    return F.struct(
+        filled.alias("filled"),
+        (filled & ~section.rlike(f"^{t.SPACE_RE}")).alias("starts"),
+        (filled & ~section.rlike(f"{t.SPACE_RE}\\z")).alias("ends"),
+    )
+
+
+def corpus_words(
+    sections: DataFrame, order: Column, separator: str = SEPARATOR, seam: str | None = None
+) -> DataFrame:
     """``corpus, total_words`` of the joined text, without joining it.
 
     Tokens that touch across a seam count once. With white space at both ends of the
-    separator (the default) nothing can touch and the sum is exact as it stands.
+    separator (the default) nothing can touch and the sum is exact as it stands. ``seam``
+    names a column of :func:`seam_flags` when the text itself is not at hand.
     """
     sep_words, n = separator_words(separator), F.count("*")
     total = F.sum("n_words") + (n - 1) * sep_words
     head, tail = separator[:1].strip() != "", separator[-1:].strip() != ""
     if separator == "" or head or tail:
-        filled = F.col("section") != ""
-        starts = (filled & ~F.col("section").rlike(f"(?s)^{t.SPACE_RE}")).cast("long")
-        ends = (filled & ~F.col("section").rlike(f"(?s){t.SPACE_RE}\\z")).cast("long")
-        # an empty section lets the separators on both sides touch
-        before_sep = F.when(filled, ends).otherwise(F.lit(int(tail)))
-        first_starts, last = F.min_by(starts, order), F.max_by(before_sep, order)
-        lone_lead = F.when(~F.min_by(filled, order) & (n > 1), F.lit(int(tail))).otherwise(F.lit(0))
+        flags = F.col(seam) if seam else seam_flags(F.col("section"), separator)
+        filled, starts, ends = flags["filled"], flags["starts"].cast("long"), flags["ends"].cast("long")
         if separator == "":
-            touching = F.greatest(F.sum(filled.cast("long")) - 1, F.lit(0))
-            first_row_ends = F.sum(ends) - F.max_by(ends, order)
-            total = F.sum("n_words") - F.least(touching, first_row_ends)
+            touching = F.greatest(F.count_if(filled) - 1, F.lit(0))
+            total = total - F.least(touching, F.sum(ends) - F.max_by(ends, order))
         else:
-            total = total - int(tail) * (F.sum(starts) - first_starts)
-            total = total - int(head) * (F.sum(before_sep) - last - lone_lead)
+            # an empty section lets the separators on both sides touch
+            before = F.when(filled, ends).otherwise(F.lit(int(tail)))
+            lone_lead = F.when(~F.min_by(filled, order) & (n > 1), F.lit(int(tail))).otherwise(F.lit(0))
+            total = total - int(tail) * (F.sum(starts) - F.min_by(starts, order))
+            total = total - int(head) * (F.sum(before) - F.max_by(before, order) - lone_lead)
     return sections.groupBy("corpus").agg(total.cast("long").alias("total_words"))
 
 
 def assign_chunks(
-    sections: DataFrame, order: list[Column], separator: str = SEPARATOR, max_words: int = MAX_WORDS, **tuning
+    sections: DataFrame,
+    order: list[Column] | None = None,
+    separator: str = SEPARATOR,
+    max_words: int = MAX_WORDS,
+    **tuning,
 ) -> DataFrame:
-    """Chunk number of every section: the input columns plus ``gid`` and ``chunk_no``."""
-    placed = ranked(sections, [F.col("corpus"), *order], "sections")
+    """``corpus, rel_path, n_words, gid, chunk_no`` of every section; texts are never read.
+
+    ``gid`` increases in section order (default: part-wise path order) within a corpus.
+    """
+    placed = _placed(sections, order)
     numbers = next_fit(placed, max_words, separator_words(separator), **tuning)
     return placed.join(numbers.select("corpus", "gid", "chunk_no"), ["corpus", "gid"])
 
 
+def _placed(sections: DataFrame, order: list[Column] | None, *extra: str) -> DataFrame:
+    keys = sections.select("corpus", "rel_path", "n_words", *extra)
+    return ranked(keys, [F.col("corpus"), *(order or [t.path_order("rel_path")])], "sections")
+
+
+def gather_chunks(sections: DataFrame, numbers: DataFrame, separator: str = SEPARATOR) -> DataFrame:
+    """``corpus, chunk_no, text, n_sections``: texts joined back to their chunk numbers.
+
+    Texts move twice at most: to their number (not at all when the numbers are small
+    enough to broadcast) and to their chunk, whose size the word limit bounds. A path must
+    be unique in its corpus, like a file in a folder; a repeated one raises.
+    """
+    once = F.when(F.count("*") == 1, F.max("gid")).otherwise(
+        F.raise_error(F.concat(F.lit("repeated path: "), F.col("rel_path"))).cast("long")
+    )
+    numbers = numbers.groupBy("corpus", "rel_path").agg(once.alias("gid"), F.max("chunk_no").alias("chunk_no"))
+    numbered = sections.select("corpus", "rel_path", "section").join(numbers, ["corpus", "rel_path"])
+    return concat_ordered(numbered, ["corpus", "chunk_no"], "gid", "section", separator, "text")
+
+
 def combine(
     sections: DataFrame,
     order: list[Column] | None = None,
@@ -87,16 +126,17 @@ def combine(
 
     A corpus within the limit becomes one plainly named file; otherwise its chunks are
     numbered, even if there is only one. ``corpora`` lists corpora that must appear even
-    when they have no section.
+    when they have no section. ``sections`` is read twice (numbers, then texts), so it
+    should come from stored text, not from a costly computation.
     """
-    order = order or [t.path_order("rel_path")]
-    placed = ranked(sections, [F.col("corpus"), *order], "sections")
-    totals = corpus_words(placed, F.col("gid"), separator)
+    edges = [seam_flags(F.col("section"), separator).alias("seam")]
+    placed = _placed(sections.select("corpus", "rel_path", "n_words", *edges), order, "seam")
+    totals = corpus_words(placed, F.col("gid"), separator, seam="seam")
     over = totals.filter(F.col("total_words") > max_words).select("corpus")
-    numbers = next_fit(placed.join(over, "corpus", "left_semi"), max_words, separator_words(separator), **tuning)
-    bundled = placed.join(numbers.select("corpus", "gid", "chunk_no"), ["corpus", "gid"], "left")
-    bundled = bundled.select("corpus", "gid", "section", "chunk_no")
-    chunks = concat_ordered(bundled, ["corpus", "chunk_no"], "gid", "section", separator, "text")
+    split = placed.join(over, "corpus", "left_semi")
+    numbers = next_fit(split, max_words, separator_words(separator), **tuning).select("corpus", "gid", "chunk_no")
+    numbers = placed.select("corpus", "rel_path", "gid").join(numbers, ["corpus", "gid"], "left")
+    chunks = gather_chunks(sections, numbers, separator)
     if corpora is not None:
         chunks = corpora.select("corpus").join(chunks, "corpus", "left")
     return chunks.select(

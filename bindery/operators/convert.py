@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import text as t
 from bindery.functions.markdown import STRIP_CLASSES, STRIP_TAGS, html_to_markdown
+from bindery.session import materialize
 
 OK, FAILED, DUPLICATE = "ok", "failed", "duplicate"
 
@@ -37,33 +38,40 @@ def convert_pages(
 
 
 def convert_files(
-    files: DataFrame, strip_tags: Sequence[str] = STRIP_TAGS, strip_classes: Sequence[str] = STRIP_CLASSES
+    files: DataFrame,
+    strip_tags: Sequence[str] = STRIP_TAGS,
+    strip_classes: Sequence[str] = STRIP_CLASSES,
+    taken: DataFrame | None = None,
 ) -> DataFrame:
-    """Convert a scanned file table ``key, rel_path, content`` (see :mod:`bindery.sources`).
+    """Convert a scanned file table ``key, rel_path, content, is_text_file``.
 
     Adds ``md_path``. Where ``x.html`` and ``x.htm`` share a Markdown name the first path
-    wins and the other row is reported as a duplicate, unconverted.
+    wins and the other row is reported as a duplicate, unconverted; so is a file whose
+    name is among the ``taken`` ``md_path`` values.
+
+    Duplicates are found from names alone and written out first. They are few, and their
+    measured size lets the join with the contents broadcast instead of moving contents.
     """
-    named = files.withColumn("md_path", t.markdown_path("rel_path"))
-    owners = named.groupBy("md_path").agg(F.min_by("key", t.path_order("rel_path")).alias("owner"))
-    placed = named.join(owners, "md_path")
-    winner = F.col("key") == F.col("owner")
-    text = t.decode_utf8(F.when(winner, F.col("content")))
+    names = files.select("key", "rel_path", t.markdown_path("rel_path").alias("md_path"))
+    first = names.groupBy("md_path").agg(F.min_by("key", t.path_order("rel_path")).alias("owner"), F.count("*").alias("n"))
+    lost = names.join(first.filter("n > 1"), "md_path").filter("key <> owner").select("key")
+    if taken is not None:
+        lost = lost.union(names.join(taken.select("md_path"), "md_path", "left_semi").select("key")).distinct()
+    lost = materialize(lost, "duplicates").withColumn("lost", F.lit(True))
+    marked = files.join(lost, "key", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    text = t.decode_utf8(F.when(~F.col("lost"), F.col("content")))
     text = F.when(F.col("is_text_file"), t.universal_newlines(text)).otherwise(text)
-    keyed = placed.select(
-        F.struct("key", "md_path", winner.alias("winner")).alias("id"), text.alias("html")
-    )
-    done = convert_pages(keyed, "id", "html", strip_tags, strip_classes)
-    lost = ~F.col("key.winner")
+    identity = F.struct("key", t.markdown_path("rel_path").alias("md_path"), "lost")
+    done = convert_pages(marked.select(identity.alias("id"), text.alias("html")), "id", "html", strip_tags, strip_classes)
     return done.select(
-        F.col("key.key").alias("key"),
-        F.col("key.md_path").alias("md_path"),
+        "key.key",
+        "key.md_path",
         "markdown",
         "n_words",
         "n_bytes",
         "region",
-        F.when(lost, F.lit(DUPLICATE)).otherwise(F.col("status")).alias("status"),
-        F.when(lost, F.lit("another file has the same Markdown name")).otherwise(F.col("error")).alias("error"),
+        F.when(F.col("key.lost"), F.lit(DUPLICATE)).otherwise(F.col("status")).alias("status"),
+        F.when(F.col("key.lost"), F.lit("another file has the same Markdown name")).otherwise(F.col("error")).alias("error"),
     )
 
 

@@ -17,9 +17,15 @@ REPORT = (
     f"struct<steps array<{STEP}>, total_elapsed_seconds double, crawl_failures array<string>, "
     "convert_failures array<string>, command string>"
 )
+# A report is one JSON document, so what is listed inside it must stay small.
+MAX_LISTED = 100_000
 _COUNTERS = ("skipped_count", "downloaded_count", "failure_count")
 
 
+def listable(df: DataFrame) -> bool:
+    return df.limit(MAX_LISTED + 1).count() <= MAX_LISTED
+
+
 def step_result(
     files: DataFrame,
     step_name: str,
@@ -34,8 +40,11 @@ def step_result(
 
     ``files`` has one row per output file; a missing file has null ``n_bytes``. ``counters``
     is a one-row table with any of the three counts; ``word_counts`` names the file and
-    word columns of a bundle table for the per-file word map.
+    word columns of a bundle table for the per-file word map. More than ``MAX_LISTED``
+    files are not put into the map: their counts stay in the bundle table.
     """
+    if word_counts and not listable(files):
+        word_counts = None
     n_bytes = F.col(n_bytes) if isinstance(n_bytes, str) else n_bytes
     no_count = F.lit(None).cast("bigint")
     entry = F.lit(None).cast("struct<k string, v bigint>")
@@ -96,8 +105,11 @@ def pipeline_report(
 ) -> DataFrame:
     """One row with a ``report`` struct. A single step's own seconds serve as the total.
 
-    Failure lists are report payload; their order is by key.
+    Failure lists are ordered by key. A list longer than ``MAX_LISTED`` is left out of the
+    document; retries then start from the failure table itself.
     """
+    crawl_failures = crawl_failures if crawl_failures is not None and listable(crawl_failures) else None
+    convert_failures = convert_failures if convert_failures is not None and listable(convert_failures) else None
     fields = "step_name file_count total_bytes elapsed_seconds output_path skipped_count downloaded_count " \
              "failure_count output_word_counts".split()
     parts = [s.select(F.lit(i).alias("nth"), F.struct(*fields).alias("step")) for i, s in enumerate(steps)]
@@ -170,8 +182,11 @@ def failure_keys(reports: DataFrame, kind: str) -> DataFrame:
 def select_retry(inputs: DataFrame, wanted: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """Inputs to process again, and wanted keys that no longer exist (failed at once).
 
-    A key wanted twice is processed once.
+    ``wanted`` is a failure table (``key``) or list (``key, ordinal``). A key wanted twice
+    is processed once.
     """
+    if "ordinal" not in wanted.columns:
+        wanted = wanted.withColumn("ordinal", F.lit(0))
     wanted = wanted.groupBy("key").agg(F.min("ordinal").alias("ordinal"))
     known = inputs.withColumnRenamed(key, "key") if key != "key" else inputs
     again = known.join(wanted, "key")

@@ -8,18 +8,13 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.functions import text as t
 from bindery.operators.combine import MAX_WORDS, SEPARATOR, build_sections, combine
-from bindery.operators.convert import convert_files, failures
+from bindery.operators.convert import convert_files, convert_pages, failures
 from bindery.operators.fetch import FAILED, crawl_counters, fetch_urls, new_files
 from bindery.operators.report import pipeline_report, step_result
 from bindery.operators.traverse import MAX_PAGES, traverse_site
 from bindery.session import materialize
 
-# A report is one JSON document; longer lists stay in the failure and bundle tables only.
-MAX_LISTED = 100_000
-
-
 class Run(NamedTuple):
     crawl: DataFrame
     pages: DataFrame
@@ -49,15 +44,16 @@ def run_pipeline(
     """Crawl, convert and combine one site.
 
     ``cached`` are stored pages ``(filename, url, html)``. With ``retry_crawl`` and
-    ``retry_convert`` (``key, ordinal`` tables of an earlier run's failures) only those are
-    fetched and converted, and ``markdown`` of the earlier run is combined with the result.
+    ``retry_convert`` (tables of an earlier run's failures, ``key`` and optionally
+    ``ordinal``) only those are fetched and converted, and ``markdown`` of the earlier run is combined with the result.
     """
     spark = fetch_log.sparkSession
     began = time.monotonic()
     if retry_crawl is None:
         crawl = traverse_site(fetch_log, start_url, url_prefix, max_pages, cached)
     else:
-        wanted = retry_crawl.select(F.col("key").alias("url"), F.col("ordinal").cast("long").alias("visit_seq"))
+        nth = F.col("ordinal").cast("long") if "ordinal" in retry_crawl.columns else F.monotonically_increasing_id()
+        wanted = materialize(retry_crawl.select(F.col("key").alias("url"), nth.alias("visit_seq")), "retry")
         crawl = fetch_urls(wanted, fetch_log, start_url, cached)
     crawl = materialize(crawl, "crawl")
     pages = new_files(crawl, fetch_log).select("filename", "url", "html")
@@ -104,22 +100,21 @@ def run_pipeline(
     bundles = materialize(
         combine(sections, separator=separator, max_words=max_words, stem=corpus, corpora=corpora), "bundles"
     )
-    listable = bundles.count() <= MAX_LISTED
     combine_step = step_result(
         bundles,
         "結合",
         f"{corpus}.md",
         n_bytes=F.octet_length("text"),
         elapsed_seconds=time.monotonic() - started,
-        word_counts=("file_name", "n_words") if listable else None,
+        word_counts=("file_name", "n_words"),
     )
 
     crawl_failed = crawl.filter(F.col("outcome") == FAILED).select(F.col("url").alias("key"))
     report = pipeline_report(
         [crawl_step, convert_step, combine_step],
         time.monotonic() - began,
-        crawl_failed if crawl_failed.count() <= MAX_LISTED else None,
-        failed.select("key") if failed.count() <= MAX_LISTED else None,
+        crawl_failed,
+        failed.select("key"),
         command,
     )
     return Run(crawl, pages, texts, bundles, crawl_failed, failed, report)
@@ -129,9 +124,8 @@ def markdown_chunks(
     pages: DataFrame, max_words: int = MAX_WORDS, separator: str = SEPARATOR, corpus: str = "pages"
 ) -> DataFrame:
     """Pages ``(page_id, html)`` straight to bundles, ordered by their zero-padded name."""
-    from bindery.operators.convert import convert_pages
-
-    done = convert_pages(pages, "page_id", "html").filter("status = 'ok'")
+    done = convert_pages(pages, "page_id", "html").filter("status = 'ok'").select("key", "markdown")
+    done = materialize(done, "markdown")
     name = F.format_string("%012d.md", "key")
     return combine(
         build_sections(done, F.lit(corpus), name, F.col("markdown")),
@@ -139,6 +133,3 @@ def markdown_chunks(
         max_words=max_words,
         stem=corpus,
     )
-
-
-__all__ = ["MAX_LISTED", "Run", "markdown_chunks", "run_pipeline", "t"]

@@ -19,6 +19,7 @@ from bindery.operators.combine import (
     combine,
     concat_ordered,
     corpus_words,
+    gather_chunks,
 )
 from bindery.operators.convert import convert_files, convert_pages
 from bindery.operators.fetch import crawl_counters, fetch_urls
@@ -36,7 +37,7 @@ from bindery.operators.report import (
 )
 from bindery.operators.traverse import traverse_site
 from bindery.plans.pipeline import markdown_chunks, run_pipeline
-from bindery.session import scratch_root
+from bindery.session import materialize, scratch_root
 from bindery.sources.files import read_html_dir
 from bindery.sources.sinks import export_files
 from bindery.streaming.incremental import convert_new_files, read_converted
@@ -342,49 +343,39 @@ def zip_name_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def chunk_assign(spark: SparkSession, sf: str) -> DataFrame:
-    sections = document_sections(table(spark, sf, "documents"), F.lit("docs")).drop("section")
-    done = assign_chunks(sections, [t.path_order("rel_path")], max_words=BUDGET)
-    return done.select("rel_path", "n_words", "chunk_no")
+    sections = document_sections(table(spark, sf, "documents"), F.lit("docs"))
+    return assign_chunks(sections, max_words=BUDGET).select("rel_path", "n_words", "chunk_no")
 
 
 @query
 def chunk_assign_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Same result through many tiny blocks and several levels of summaries."""
-    sections = document_sections(table(spark, sf, "documents"), F.lit("docs")).drop("section")
-    done = assign_chunks(sections, [t.path_order("rel_path")], max_words=BUDGET, block_rows_log2=4, fan_in=4)
+    sections = document_sections(table(spark, sf, "documents"), F.lit("docs"))
+    done = assign_chunks(sections, max_words=BUDGET, block_rows_log2=4, fan_in=4)
     return done.select("rel_path", "n_words", "chunk_no")
 
 
 @query
 def chunk_assign_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    sections = document_sections(table(spark, sf, "documents"), F.col("lang")).drop("section")
-    done = assign_chunks(sections, [t.path_order("rel_path")], max_words=BUDGET)
-    return done.select("corpus", "rel_path", "chunk_no")
+    sections = document_sections(table(spark, sf, "documents"), F.col("lang"))
+    return assign_chunks(sections, max_words=BUDGET).select("corpus", "rel_path", "chunk_no")
 
 
 @query
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        chunk_assign_by_lang(spark, sf)
-        .join(word_counts_by_path(spark, sf), "rel_path")
-        .groupBy("corpus", "chunk_no")
-        .agg(
-            F.count("*").alias("n_sections"),
-            (F.sum("n_words") + F.count("*") - 1).alias("n_words"),
-            F.min("rel_path").alias("first_path"),
-        )
+    sections = document_sections(table(spark, sf, "documents"), F.col("lang"))
+    chunks = assign_chunks(sections, max_words=BUDGET).groupBy("corpus", "chunk_no")
+    return chunks.agg(
+        F.count("*").alias("n_sections"),
+        (F.sum("n_words") + F.count("*") - 1).alias("n_words"),
+        F.min("rel_path").alias("first_path"),
     )
 
 
-def word_counts_by_path(spark: SparkSession, sf: str) -> DataFrame:
-    return source_sections(spark, sf).select("rel_path", "n_words")
-
-
 @query
 def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
     sections = document_sections(table(spark, sf, "documents"), F.lit("docs"))
-    done = assign_chunks(sections, [t.path_order("rel_path")], max_words=BUDGET)
-    return concat_ordered(done, ["chunk_no"], "gid", "section", SEPARATOR, "text")
+    return gather_chunks(sections, assign_chunks(sections, max_words=BUDGET)).select("chunk_no", "text", "n_sections")
 
 
 @query
@@ -433,10 +424,11 @@ def _steps(spark: SparkSession, sf: str) -> list[DataFrame]:
     crawl = step_result(
         pages, "クロール", "out\\html", n_bytes=F.octet_length("html"), elapsed_seconds=45.25, counters=crawl_counts(spark, sf)
     )
-    talks = combine_conversations(spark, sf).select(
-        F.format_string("c-%d.md", "conv_id").alias("name"), "text", t.word_count("text").alias("n_words")
+    sections = document_sections(table(spark, sf, "documents"), F.col("lang"))
+    bundles = materialize(combine(sections, max_words=BUDGET), "bundles").select(
+        F.concat_ws("/", "corpus", "file_name").alias("name"), "text", "n_words"
     )
-    joined = step_result(talks, "結合", "out/c.md", n_bytes=F.octet_length("text"), word_counts=("name", "n_words"))
+    joined = step_result(bundles, "結合", "out/c.md", n_bytes=F.octet_length("text"), word_counts=("name", "n_words"))
     return [crawl, joined]
 
 

@@ -37,20 +37,10 @@ def convert_new_files(
     )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        done = convert_files(as_html_files(batch, root), strip_tags, strip_classes)
-        taken = read_converted(spark, output)
-        if taken is not None:
-            earlier = taken.filter((F.col("batch") < batch_id) & (F.col("status") == "ok")).select(
-                "md_path", F.lit(True).alias("taken")
-            )
-            lost = F.coalesce("taken", F.lit(False)) & (F.col("status") == "ok")
-            done = done.join(earlier, "md_path", "left").select(
-                "key",
-                "md_path",
-                *[F.when(~lost, F.col(c)).alias(c) for c in ("markdown", "n_words", "n_bytes", "region")],
-                F.when(lost, F.lit("duplicate")).otherwise(F.col("status")).alias("status"),
-                F.when(lost, F.lit("another file has the same Markdown name")).otherwise(F.col("error")).alias("error"),
-            )
+        earlier = read_converted(spark, output)
+        if earlier is not None:
+            earlier = earlier.filter((F.col("batch") < batch_id) & (F.col("status") == "ok")).select("md_path")
+        done = convert_files(as_html_files(batch, root), strip_tags, strip_classes, taken=earlier)
         done.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     (

@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bindery.functions import text as t
 from bindery.operators.chunk import block_assign, block_step
 from bindery.operators.combine import assign_chunks, build_sections, combine, corpus_words
 from bindery.sources.sinks import write_bundles
@@ -46,10 +45,10 @@ def test_one_hot_corpus_and_many_small_ones(spark, block_rows_log2, fan_in):
     data = {"hot": rng.integers(0, 30, 700), "two": rng.integers(0, 90, 40), "zero": np.zeros(20, dtype=int)}
     data |= {f"s{i}": rng.integers(0, 200, int(rng.integers(1, 6))) for i in range(15)}
     rows = [(c, i, int(w)) for c, ws in data.items() for i, w in enumerate(ws)]
-    df = spark.createDataFrame(rows, "corpus string, n int, n_words long").repartition(3)
-    done = assign_chunks(df, [F.col("n")], max_words=100, block_rows_log2=block_rows_log2, fan_in=fan_in)
+    df = spark.createDataFrame(rows, "corpus string, rel_path int, n_words long").repartition(3)
+    done = assign_chunks(df, [F.col("rel_path")], max_words=100, block_rows_log2=block_rows_log2, fan_in=fan_in)
     got = {}
-    for r in done.orderBy("corpus", "n").collect():
+    for r in done.orderBy("corpus", "rel_path").collect():
         got.setdefault(r.corpus, []).append(r.chunk_no)
     assert got == {c: fold(ws, 100, 1) for c, ws in data.items()}
 
@@ -127,6 +126,7 @@ def test_rerun_replaces_a_corpus_whole(spark, tmp_path):
     assert [(r.corpus, r.file_name, r.text) for r in rows] == [("c", "combined.md", "x\n"), ("d", "combined.md", "other\n")]
 
 
-def test_fold_reads_numbers_not_texts(spark):
-    done = assign_chunks(sections(spark, {"a.md": "x", "b.md": "y"}), [t.path_order("rel_path")], max_words=1)
-    assert sorted((r.rel_path, r.chunk_no) for r in done.collect()) == [("a.md", 1), ("b.md", 2)]
+def test_repeated_path_is_refused(spark):
+    twice = sections(spark, {"a.md": "x"}).union(sections(spark, {"a.md": "y"}))
+    with pytest.raises(Exception, match="repeated path"):
+        combine(twice).collect()
