@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # The characters Python's str.split() and str.strip() treat as white space.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-_CLASS = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE)
-SPACE_RE = f"[{_CLASS}]"
-WORD_RE = f"[^{_CLASS}]+"
+# The same set in the pattern syntax of the JVM; category Z covers all of it beyond Latin-1.
+SPACE_RE = r"[\s\x1c-\x1f\x85\p{Z}]"
+WORD_RE = r"[^\s\x1c-\x1f\x85\p{Z}]+"
 
 
 def _col(c: Column | str) -> Column:

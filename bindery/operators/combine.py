@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bindery.functions import text as t
 from bindery.operators.chunk import next_fit
 from bindery.operators.order import ranked
+from bindery.session import materialize
 
 # Default separator and word limit of one bundle.
 SEPARATOR = "\n\n---\n\n"
@@ -92,7 +93,8 @@ def assign_chunks(
 
 
 def _placed(sections: DataFrame, order: list[Column] | None, *extra: str) -> DataFrame:
-    keys = sections.select("corpus", "rel_path", "n_words", *extra)
+    # range partitioning samples its input first, so words are counted once and stored
+    keys = materialize(sections.select("corpus", "rel_path", "n_words", *extra), "keys")
     return ranked(keys, [F.col("corpus"), *(order or [t.path_order("rel_path")])], "sections")
 
 

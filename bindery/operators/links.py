@@ -41,4 +41,6 @@ def discover_links(
     found = pages.withColumn("src_url", F.col(url)).select(
         *kept, links_of(anchor_hrefs(html), F.col(url), prefix).alias("links")
     )
-    return found.select(*kept, F.posexplode("links").alias("pos", "url"))
+    # the plain form would make the optimizer filter on size(links), computing the links twice
+    exploded = found.select(*kept, F.posexplode_outer("links").alias("pos", "url"))
+    return exploded.filter(F.col("url").isNotNull())

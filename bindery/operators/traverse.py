@@ -43,7 +43,7 @@ def traverse_site(
 
     # expressions are built once; the loop only names them
     filename = url_to_filename("url", F.lit(start_url))
-    links = F.posexplode(links_of(F.col("hrefs"), F.col("url"), F.lit(url_prefix))).alias("pos", "link")
+    links = F.posexplode_outer(links_of(F.col("hrefs"), F.col("url"), F.lit(url_prefix))).alias("pos", "link")
     place = F.struct(F.col("gid").alias("parent"), F.col("pos"))
     frontier = spark.range(1).select(
         F.lit(start_url).alias("url"), F.struct(F.lit(0).cast("long").alias("parent"), F.lit(0).alias("pos")).alias("at")
@@ -72,7 +72,7 @@ def traverse_site(
         visited = level.select("url") if len(levels) == 1 else visited.unionByName(level.select("url"))
         open_pages = level.filter(F.col("outcome").isin(CACHED, DOWNLOADED)).join(contents, "owner")
         # map-side min keeps a URL linked from everywhere to one row per task
-        found = open_pages.select("gid", links).groupBy(F.col("link").alias("url")).agg(F.min(place).alias("at"))
+        found = open_pages.select("gid", links).filter("link is not null").groupBy(F.col("link").alias("url")).agg(F.min(place).alias("at"))
         frontier = found.join(visited, "url", "left_anti")
     if not levels:
         return spark.createDataFrame([], "url string, visit_seq long, depth int, filename string, outcome string")
