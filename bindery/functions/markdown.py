@@ -305,7 +305,8 @@ def html_to_markdown(
             [pa.array(c, pa.string()) for c in columns], ["markdown", "region", "status", "error"]
         )
 
-    return convert(html_col)
+    # a filter on the outcome would otherwise be pushed below and convert every page twice
+    return convert.asNondeterministic()(html_col)
 
 
 def clean_html(
@@ -321,4 +322,4 @@ def clean_html(
         texts = [None if page is None else serialize(iter(clean(page)[1])) for page in pages.to_pylist()]
         return pa.array(texts, pa.string())
 
-    return cleaned(html_col)
+    return cleaned.asNondeterministic()(html_col)
