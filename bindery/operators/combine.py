@@ -27,7 +27,10 @@ def build_sections(
 
 
 def concat_ordered(df: DataFrame, keys: list[str], order: str, text: str, separator: str, name: str) -> DataFrame:
-    """Join the texts of each group in ``order``, ending in one newline."""
+    """Join the texts of each group in ``order``, ending in one newline.
+
+    A group becomes one row, so groups must be bounded: chunks, not whole corpora.
+    """
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("s"))))
     joined = F.array_join(F.transform(parts, lambda p: p["s"]), separator)
     return df.groupBy(*keys).agg(F.concat(joined, F.lit("\n")).alias(name), F.count("*").alias("n_sections"))
@@ -134,20 +137,33 @@ def combine(
     edges = [seam_flags(F.col("section"), separator).alias("seam")]
     placed = _placed(sections.select("corpus", "rel_path", "n_words", *edges), order, "seam")
     totals = corpus_words(placed, F.col("gid"), separator, seam="seam")
-    over = totals.filter(F.col("total_words") > max_words).select("corpus")
+    # at most one corpus per max_words words, stored because it is used several times
+    over = materialize(totals.filter(F.col("total_words") > max_words).select("corpus"), "over")
     split = placed.join(over, "corpus", "left_semi")
     numbers = next_fit(split, max_words, separator_words(separator), **tuning).select("corpus", "gid", "chunk_no")
     numbers = placed.select("corpus", "rel_path", "gid").join(numbers, ["corpus", "gid"], "left")
     chunks = gather_chunks(sections, numbers, separator)
-    if corpora is not None:
-        chunks = corpora.select("corpus").join(chunks, "corpus", "left")
-    return chunks.select(
+    bundles = chunks.select(
         "corpus",
         F.coalesce("chunk_no", F.lit(1)).cast("long").alias("chunk_no"),
         F.when(F.col("chunk_no").isNull(), F.lit(stem + suffix))
         .otherwise(t.chunk_file_name(F.lit(stem), "chunk_no", F.lit(suffix)))
         .alias("file_name"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(t.word_count("text"), F.lit(0)).cast("long").alias("n_words"),
-        F.coalesce("n_sections", F.lit(0)).cast("long").alias("n_sections"),
+        "text",
+        t.word_count("text").alias("n_words"),
+        F.col("n_sections").cast("long").alias("n_sections"),
+    )
+    if corpora is None:
+        return bundles
+    zero = F.lit(0).cast("long")
+    empty = corpora.select("corpus").distinct().join(placed.select("corpus").distinct(), "corpus", "left_anti")
+    return bundles.unionByName(
+        empty.select(
+            "corpus",
+            F.lit(1).cast("long").alias("chunk_no"),
+            F.lit(stem + suffix).alias("file_name"),
+            F.lit("").alias("text"),
+            zero.alias("n_words"),
+            zero.alias("n_sections"),
+        )
     )

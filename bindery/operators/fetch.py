@@ -37,31 +37,40 @@ def classify(
 ) -> DataFrame:
     """Outcome of each request ``(url, <order>, …)`` plus its ``filename`` and ``owner``.
 
-    ``stored(filename, owner)`` are files that exist already. Requests run in ``order``, so the first successful one claims its file name and later ones of the same
-    name are cache hits that see the claimant's content (``owner``). Names shared by very
-    many URLs stay cheap: claims are aggregated map-side and joined back one row per name.
+    ``stored(filename, owner)`` are files that exist already. Requests run in ``order``,
+    so the first successful one claims its file name and later ones of the same name are
+    cache hits that see the claimant's content (``owner``).
+
+    Owners are aggregated map-side to one row per name and joined back once. That join has
+    no other operator on its key, so a name shared by a third of all URLs is split at run
+    time like any skewed join.
     """
     answers = site.select("url", "response")
     named = (
         requests.withColumn("filename", filename)
         .join(answers, "url", "left")
         .withColumn("response", F.coalesce("response", F.lit(FAILED)))
-        .join(stored.select("filename", F.col("owner").alias("stored_owner")), "filename", "left")
     )
-    claims = (
-        named.filter((F.col("response") == DOWNLOADED) & F.col("stored_owner").isNull())
-        .groupBy("filename")
-        .agg(F.min(order).alias("claim_seq"), F.min_by("url", order).alias("claimant"))
+    claims = named.filter(F.col("response") == DOWNLOADED).select(
+        "filename", F.col(order).alias("seq"), F.col("url").alias("claimant")
     )
-    hit = F.col("stored_owner").isNotNull() | F.coalesce(F.col(order) > F.col("claim_seq"), F.lit(False))
-    outcome = F.when(hit, F.lit(CACHED)).otherwise(F.col("response"))
-    owner = F.when(F.col("stored_owner").isNotNull(), F.col("stored_owner")).when(
-        F.col(order) >= F.col("claim_seq"), F.col("claimant")
+    kept = stored.select("filename", F.col("owner").alias("stored_owner"))
+    owners = (
+        claims.unionByName(kept, allowMissingColumns=True)
+        .groupBy("filename")
+        .agg(
+            F.min("seq").alias("claim_seq"),
+            F.min_by("claimant", "seq").alias("claimant"),
+            F.max("stored_owner").alias("stored_owner"),
+        )
     )
+    taken = F.col("stored_owner").isNotNull()
+    later = F.coalesce(F.col(order) > F.col("claim_seq"), F.lit(False))
+    claimed = F.when(F.col(order) >= F.col("claim_seq"), F.col("claimant"))
     return (
-        named.join(claims, "filename", "left")
-        .withColumn("outcome", outcome)
-        .withColumn("owner", owner)
+        named.join(owners, "filename", "left")
+        .withColumn("outcome", F.when(taken | later, F.lit(CACHED)).otherwise(F.col("response")))
+        .withColumn("owner", F.coalesce("stored_owner", claimed))
         .drop("response", "stored_owner", "claim_seq", "claimant")
     )
 

@@ -94,7 +94,7 @@ def run_pipeline(
     started = time.monotonic()
     texts = good.select("md_path", "markdown")
     if markdown is not None:
-        texts = texts.unionByName(markdown.select("md_path", "markdown").join(good, "md_path", "left_anti"))
+        texts = texts.unionByName(markdown.select("md_path", "markdown").join(good.select("md_path"), "md_path", "left_anti"))
     sections = build_sections(texts, F.lit(corpus), F.col("md_path"), F.col("markdown"), add_source_header)
     corpora = spark.range(1).select(F.lit(corpus).alias("corpus"))
     bundles = materialize(

@@ -17,7 +17,6 @@ from bindery.operators.combine import (
     assign_chunks,
     build_sections,
     combine,
-    concat_ordered,
     corpus_words,
     gather_chunks,
 )
@@ -322,8 +321,11 @@ def source_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def combine_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of each conversation in order; a conversation over the limit becomes several bundles."""
     turns = table(spark, sf, "conversations")
-    return concat_ordered(turns, ["conv_id"], "turn", "text", SEPARATOR, "text")
+    name = F.format_string("turn_%08d.md", "turn")
+    sections = build_sections(turns, F.col("conv_id").cast("string"), name, F.col("text"), add_source_header=False)
+    return combine(sections, max_words=BUDGET // 10, stem="talk")
 
 
 @query

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from bindery.functions import text as t
 from bindery.operators.report import parse_report
+from bindery.session import materialize
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 _SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
+_BYTES_PER_TASK = 128 << 20
 _ENTRY = "archive string, name string, content binary, error string"
 
 
@@ -70,21 +72,22 @@ def open_archive(path: str) -> zipfile.ZipFile:
 def read_zip(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """HTML entries of ZIP archives: ``key, rel_path, archive, content, is_text_file, error``.
 
-    Archives are listed first and entries are then spread over all tasks, each seeking to
-    its own entries, so one huge archive is read in parallel. Keys are ``archive!entry``.
+    Archives are listed first. The entries are then spread over as many tasks as their
+    bytes call for, each seeking to its own entries, so one huge archive is read in
+    parallel. Keys are ``archive!entry``.
     """
-    archives = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path")
-    )
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path")
 
     def list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
                 with open_archive(path) as z:
-                    names = [
-                        n for n in z.namelist() if n.endswith((".html", ".htm")) and not n.startswith("__MACOSX")
+                    found = [
+                        (path, i.filename, i.file_size)
+                        for i in z.infolist()
+                        if i.filename.endswith((".html", ".htm")) and not i.filename.startswith("__MACOSX")
                     ]
-                yield pd.DataFrame({"archive": path, "name": names})
+                yield pd.DataFrame(found, columns=["archive", "name", "n_bytes"])
 
     def read_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -97,8 +100,11 @@ def read_zip(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                             row = (path, name, None, f"{type(exc).__name__}: {exc}")
                         yield pd.DataFrame([row], columns=["archive", "name", "content", "error"])
 
-    listed = archives.repartition(F.col("path")).mapInPandas(list_entries, "archive string, name string")
-    spread = listed.repartition("archive", "name").sortWithinPartitions("archive", "name")
+    listed = materialize(archives.mapInPandas(list_entries, "archive string, name string, n_bytes long"), "entries")
+    total = listed.agg(F.sum("n_bytes")).first()[0] or 0
+    # a fixed count: names are tiny, so sizing tasks by shuffled bytes would leave too few
+    n_tasks = max(spark.sparkContext.defaultParallelism, -(-total // _BYTES_PER_TASK))
+    spread = listed.repartition(n_tasks, "archive", "name").sortWithinPartitions("archive", "name")
     return spread.mapInPandas(read_entries, _ENTRY).select(
         F.concat_ws("!", "archive", "name").alias("key"),
         F.col("name").alias("rel_path"),
