@@ -45,8 +45,12 @@ def with_source_header(rel_path: Column | str, body: Column | str) -> Column:
 
 
 def path_order(c: Column | str) -> Column:
-    """Sort key that orders paths part by part."""
-    return F.split(_col(c), "/")
+    """Sort key that orders paths part by part.
+
+    NUL cannot occur in a path and sorts below everything that can, so a plain string
+    comparison of the key compares part after part.
+    """
+    return F.replace(_col(c), F.lit("/"), F.lit("\x00"))
 
 
 def posix_path(c: Column | str) -> Column:

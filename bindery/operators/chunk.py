@@ -15,8 +15,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bindery.session import materialize
 
@@ -24,6 +26,7 @@ BLOCK_ROWS_LOG2 = 16
 FAN_IN = 64
 
 _SUMMARY = "corpus string, node long, shift long, edges array<long>, carries array<long>, opened array<long>"
+_SUMMARY_TYPES = [pa.string(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
 _ENTRY = "corpus string, node long, carry long, chunks long"
 
 
@@ -111,13 +114,13 @@ def _as_step(row) -> Step:
 def next_fit(
     sections: DataFrame, max_words: int, sep_words: int, block_rows_log2: int = BLOCK_ROWS_LOG2, fan_in: int = FAN_IN
 ) -> DataFrame:
-    """``(corpus, gid, n_words)`` from :func:`ranked` to ``(corpus, gid, n_words, chunk_no)``.
+    """Add ``chunk_no`` to sections ``(corpus, gid, n_words, …)`` placed by :func:`ranked`.
 
     Sections are taken in ``gid`` order within each corpus; chunks are numbered from 1.
     """
     # a fresh corpus behaves like an overfull chunk: the first section always opens one
     fresh = max_words + 1
-    sections = sections.select("corpus", "gid", F.col("n_words").cast("long").alias("n_words")).withColumn(
+    sections = sections.withColumn("n_words", F.col("n_words").cast("long")).withColumn(
         "block", F.shiftright("gid", block_rows_log2)
     )
     in_order = Window.partitionBy("corpus").orderBy("block")
@@ -136,16 +139,16 @@ def next_fit(
         split = blocks.filter("blocks > 1")
         entries = entries.unionByName(_carried_in(sections, split, widest, max_words, sep_words, fan_in))
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gid")
-        opened = block_assign(pdf["n_words"].to_numpy(), max_words, sep_words, int(pdf["carry"].iloc[0]))
-        return pdf[["corpus", "gid", "n_words"]].assign(chunk_no=pdf["chunks"].iloc[0] + opened)
+    def assign(block: pa.Table) -> pa.Table:
+        block = block.sort_by("gid")
+        carry, chunks = block["carry"][0].as_py(), block["chunks"][0].as_py()
+        opened = block_assign(block["n_words"].to_numpy(), max_words, sep_words, carry)
+        return block.drop_columns(["block", "carry", "chunks"]).append_column("chunk_no", pa.array(chunks + opened))
 
-    return (
-        sections.join(entries, ["corpus", "block"])
-        .groupBy("corpus", "block")
-        .applyInPandas(assign, "corpus string, gid long, n_words long, chunk_no long")
-    )
+    out = T.StructType([f for f in sections.schema if f.name != "block"]).add("chunk_no", "long")
+    keyed = sections.join(entries, ["corpus", "block"])
+    columns = [f.name for f in out if f.name != "chunk_no"]
+    return keyed.select(*columns, "block", "carry", "chunks").groupBy("corpus", "block").applyInArrow(assign, out)
 
 
 def _carried_in(
@@ -153,10 +156,11 @@ def _carried_in(
 ) -> DataFrame:
     """Words and chunks carried into every block: compose summaries up, pass carries down."""
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = pdf.sort_values("gid")["n_words"].to_numpy()
-        step = block_step(words, max_words, sep_words)
-        return pd.DataFrame([(pdf["corpus"].iloc[0], pdf["node"].iloc[0], *step)], columns=_columns(_SUMMARY))
+    def summarise(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        words = block.sort_by("gid")["n_words"].to_numpy()
+        shift, *pieces = block_step(words, max_words, sep_words)
+        values = [[key[0].as_py()], [key[1].as_py()], [shift], *([p.tolist()] for p in pieces)]
+        return pa.table([pa.array(v, t) for v, t in zip(values, _SUMMARY_TYPES, strict=True)], _columns(_SUMMARY))
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(pdf.sort_values("node").itertuples())
@@ -173,9 +177,10 @@ def _carried_in(
             carry, chunks = min(int(after), max_words + 1), chunks + int(opened)
         return pd.DataFrame(out, columns=_columns(_ENTRY))
 
-    numbered = sections.join(blocks, ["corpus", "block"])
+    numbered = sections.select("corpus", "block", "gid", "n_words").join(blocks, ["corpus", "block"])
+    numbered = numbered.select("corpus", "node", "gid", "n_words")
     levels = [
-        materialize(numbered.groupBy("corpus", "node").applyInPandas(summarise, _SUMMARY), "steps")
+        materialize(numbered.groupBy("corpus", "node").applyInArrow(summarise, _SUMMARY), "steps")
     ]
     width = widest
     while width > fan_in:

@@ -90,9 +90,7 @@ def assign_chunks(
 
     ``gid`` increases in section order (default: part-wise path order) within a corpus.
     """
-    placed = _placed(sections, order)
-    numbers = next_fit(placed, max_words, separator_words(separator), **tuning)
-    return placed.join(numbers.select("corpus", "gid", "chunk_no"), ["corpus", "gid"])
+    return next_fit(_placed(sections, order), max_words, separator_words(separator), **tuning)
 
 
 def _placed(sections: DataFrame, order: list[Column] | None, *extra: str) -> DataFrame:
@@ -139,9 +137,12 @@ def combine(
     totals = corpus_words(placed, F.col("gid"), separator, seam="seam")
     # at most one corpus per max_words words, stored because it is used several times
     over = materialize(totals.filter(F.col("total_words") > max_words).select("corpus"), "over")
-    split = placed.join(over, "corpus", "left_semi")
-    numbers = next_fit(split, max_words, separator_words(separator), **tuning).select("corpus", "gid", "chunk_no")
-    numbers = placed.select("corpus", "rel_path", "gid").join(numbers, ["corpus", "gid"], "left")
+    narrow = placed.select("corpus", "rel_path", "gid", "n_words")
+    split = next_fit(
+        narrow.join(over, "corpus", "left_semi"), max_words, separator_words(separator), **tuning
+    )
+    whole = narrow.join(over, "corpus", "left_anti").withColumn("chunk_no", F.lit(None).cast("long"))
+    numbers = whole.unionByName(split)
     chunks = gather_chunks(sections, numbers, separator)
     bundles = chunks.select(
         "corpus",
