@@ -17,6 +17,10 @@ REPORT = (
     f"struct<steps array<{STEP}>, total_elapsed_seconds double, crawl_failures array<string>, "
     "convert_failures array<string>, command string>"
 )
+# Step names and summary line formats.
+CRAWL_STEP, CONVERT_STEP, COMBINE_STEP = "クロール", "変換", "結合"
+STEP_LINE = "%s: %d ファイル (%s), %.1f 秒 → %s"
+TOTAL_LINE = "合計: %.1f 秒, %d ステップ"
 # A report is one JSON document, so what is listed inside it must stay small.
 MAX_LISTED = 100_000
 _COUNTERS = ("skipped_count", "downloaded_count", "failure_count")
@@ -79,7 +83,7 @@ def step_summary(step: Column | None = None) -> Column:
     """One readable line per step; ``step`` is a struct, default the row's own columns."""
     get = F.col if step is None else step.getField
     return F.format_string(
-        "%s: %d ファイル (%s), %.1f 秒 → %s",
+        STEP_LINE,
         get("step_name"),
         get("file_count"),
         t.format_bytes(get("total_bytes")),
@@ -91,7 +95,7 @@ def step_summary(step: Column | None = None) -> Column:
 def pipeline_summary(report: Column) -> Column:
     steps = report.getField("steps")
     total = F.format_string(
-        "合計: %.1f 秒, %d ステップ", F.bround(report.getField("total_elapsed_seconds"), 1), F.size(steps)
+        TOTAL_LINE, F.bround(report.getField("total_elapsed_seconds"), 1), F.size(steps)
     )
     return F.array_join(F.concat(F.transform(steps, step_summary), F.array(total)), "\n")
 

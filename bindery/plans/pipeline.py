@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bindery.operators.combine import MAX_WORDS, SEPARATOR, build_sections, combine
 from bindery.operators.convert import convert_files, convert_pages, failures
 from bindery.operators.fetch import FAILED, crawl_counters, fetch_urls, new_files
-from bindery.operators.report import pipeline_report, step_result
+from bindery.operators.report import COMBINE_STEP, CONVERT_STEP, CRAWL_STEP, pipeline_report, step_result
 from bindery.operators.traverse import MAX_PAGES, traverse_site
 from bindery.session import materialize
 
@@ -64,7 +64,7 @@ def run_pipeline(
         pages.select("filename", "n_bytes"), "filename", "left"
     )
     counters = crawl_counters(crawl)
-    crawl_step = step_result(kept, "クロール", "html", elapsed_seconds=time.monotonic() - began, counters=counters)
+    crawl_step = step_result(kept, CRAWL_STEP, "html", elapsed_seconds=time.monotonic() - began, counters=counters)
 
     started = time.monotonic()
     targets, missing = pages, None
@@ -85,7 +85,7 @@ def run_pipeline(
     good = results.filter(F.col("status") == "ok").select("md_path", "markdown", "n_bytes")
     convert_step = step_result(
         good,
-        "変換",
+        CONVERT_STEP,
         "md",
         elapsed_seconds=time.monotonic() - started,
         counters=failed.agg(F.count("*").alias("failure_count")),
@@ -102,7 +102,7 @@ def run_pipeline(
     )
     combine_step = step_result(
         bundles,
-        "結合",
+        COMBINE_STEP,
         f"{corpus}.md",
         n_bytes=F.octet_length("text"),
         elapsed_seconds=time.monotonic() - started,

@@ -25,6 +25,8 @@ from bindery.operators.fetch import crawl_counters, fetch_urls
 from bindery.operators.links import discover_links
 from bindery.operators.order import ranked, with_ordinal
 from bindery.operators.report import (
+    COMBINE_STEP,
+    CRAWL_STEP,
     failure_keys,
     parse_report,
     pipeline_report,
@@ -424,13 +426,13 @@ def format_bytes(spark: SparkSession, sf: str) -> DataFrame:
 def _steps(spark: SparkSession, sf: str) -> list[DataFrame]:
     pages = table(spark, sf, "pages")
     crawl = step_result(
-        pages, "クロール", "out\\html", n_bytes=F.octet_length("html"), elapsed_seconds=45.25, counters=crawl_counts(spark, sf)
+        pages, CRAWL_STEP, "out\\html", n_bytes=F.octet_length("html"), elapsed_seconds=45.25, counters=crawl_counts(spark, sf)
     )
     sections = document_sections(table(spark, sf, "documents"), F.col("lang"))
     bundles = materialize(combine(sections, max_words=BUDGET), "bundles").select(
         F.concat_ws("/", "corpus", "file_name").alias("name"), "text", "n_words"
     )
-    joined = step_result(bundles, "結合", "out/c.md", n_bytes=F.octet_length("text"), word_counts=("name", "n_words"))
+    joined = step_result(bundles, COMBINE_STEP, "out/c.md", n_bytes=F.octet_length("text"), word_counts=("name", "n_words"))
     return [crawl, joined]
 
 
@@ -481,7 +483,7 @@ def retry_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def site_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def site_run(spark: SparkSession, sf: str) -> DataFrame:
     """Traverse, convert and combine the document site in one run."""
     site = document_site(table(spark, sf, "documents"))
     run = run_pipeline(site, "https://docs.example/d/0", max_pages=50, max_words=100)

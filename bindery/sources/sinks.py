@@ -21,7 +21,9 @@ def read_page_store(spark, path: str) -> DataFrame:
     """Stored pages; a store that was never written is empty."""
     try:
         return spark.read.schema(PAGE_STORE).parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], PAGE_STORE)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +55,9 @@ def convert_new_files(
 
 def read_converted(spark: SparkSession, output: str) -> DataFrame | None:
     """All rows converted so far with their ``batch``, or None before the first run."""
-    from pyspark.errors import AnalysisException
-
     try:
         return spark.read.parquet(output)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
