@@ -1,8 +1,7 @@
 """Document fingerprints: SimHash in DataFrame expressions only.
 
 Terms are shingles of ``SHINGLE`` words; a term weighs as often as it occurs. Every term's 64-bit hash votes on the
-bits of the fingerprint. Votes are counted four to a long, 16 bits each, in 16 longs, and unpacked every ``PART``
-terms before a counter could overflow. :func:`near` finds all fingerprints within a Hamming radius through permuted
+bits of the fingerprint; votes are counted two to a long. :func:`near` finds all fingerprints within a Hamming radius through permuted
 block tables: of ``radius + 2`` blocks of bits two agree in any such pair, and each choice of two is a table.
 
 Defined cases: null is an empty text; an empty text has the zero fingerprint; fewer words than a shingle are one
@@ -23,63 +22,37 @@ from bindery.operators.order import ranked, with_ordinal
 from bindery.session import materialize
 
 SHINGLE = 3
-PART = 60_000
-LANES = 16
+#: Two 32-bit counters to a long: no text has so many terms that they overflow.
+LANES = 32
+MASK = (1 << 32) + 1
 RADIUS = 3
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
+def fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, copies, fp`` of rows ``keys, text``: a bit is set if over half of the votes are for it.
 
-
-def _terms(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), f"[{WHITE}]+"), lambda w: w != "")
-
-    def shingles(h: Column) -> Column:
-        long = F.transform(
-            F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)])
-        )
-        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(
-            F.size(h) < SHINGLE, F.array(F.xxhash64(h))
-        ).otherwise(long)
-
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), shingles)
-
-
-def fingerprint(text: Column) -> Column:
-    """64-bit SimHash; a bit is set if over half of the votes are for it."""
-    mask = F.lit(0x0001000100010001)
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"v{i}") for i in range(LANES)])
-
-    def votes(terms: Column) -> Column:
-        def add(acc: Column, h: Column) -> Column:
-            one = [acc[f"v{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(mask) for i in range(LANES)]
-            return F.struct(*[c.alias(f"v{i}") for i, c in enumerate(one)])
-
-        parts = F.sequence(F.lit(0), F.floor((F.size(terms) - 1) / PART).cast("int"))
-        return F.transform(parts, lambda p: F.aggregate(F.slice(terms, p * PART + 1, PART), zero, add))
-
-    def bits(terms: Column) -> Column:
-        def count(parts: Column, lane: int, place: int) -> Column:
-            return F.aggregate(
-                parts,
-                F.lit(0).cast("long"),
-                lambda s, p: s + F.shiftrightunsigned(p[f"v{lane}"], 16 * place).bitwiseAND(F.lit(0xFFFF)),
-            )
-
-        def gather(parts: Column) -> Column:
-            out = F.lit(0).cast("long")
-            for lane, place in itertools.product(range(LANES), range(4)):
-                value = (1 << (lane + 16 * place)) - (1 << 64 if lane + 16 * place == 63 else 0)
-                out = out.bitwiseOR(
-                    F.when(2 * count(parts, lane, place) > F.size(terms), F.lit(value)).otherwise(0).cast("long")
-                )
-            return out
-
-        return F.when(F.size(terms) == 0, F.lit(0).cast("long")).otherwise(_let(votes(terms), gather))
-
-    return _let(_terms(F.coalesce(text, F.lit(""))), bits)
+    Terms are exploded and their votes summed at once, within generated code and before the shuffle; one row per
+    document and task is exchanged. Rows with equal keys must have equal texts: their votes add up and ``copies`` counts
+    them.
+    """
+    words = F.split(F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), f"[{WHITE}]+")
+    rows = rows.select(*keys, words.alias("_w"))
+    ahead = [F.slice("_w", k + 1, 1 << 30).alias(f"w{k}") for k in range(SHINGLE)]
+    rows = rows.select(*keys, F.posexplode(F.arrays_zip(*ahead)).alias("_at", "_t"))
+    # a text of fewer words than a shingle is one term
+    rows = rows.filter(F.col(f"_t.w{SHINGLE - 1}").isNotNull() | (F.col("_at") == 0))
+    term = F.xxhash64(*[f"_t.w{k}" for k in range(SHINGLE)])
+    rows = rows.select(*keys, "_at", F.when(F.col("_t.w0") != "", term).alias("_h"))
+    votes = [F.expr(f"sum(shiftrightunsigned(_h, {i}) & {MASK}L)").alias(f"_v{i}") for i in range(LANES)]
+    copies = F.count_if(F.col("_at") == 0).alias("copies")
+    summed = rows.groupBy(*keys).agg(F.count("_h").alias("_n"), copies, *votes)
+    bits = [(lane, place) for lane in range(LANES) for place in range(64 // LANES)]
+    fp = " | ".join(
+        f"if(2 * (shiftrightunsigned(_v{lane}, {LANES * place}) & {(1 << LANES) - 1}L) > _n, "
+        f"shiftleft(1L, {lane + LANES * place}), 0L)"
+        for lane, place in bits
+    )
+    return summed.select(*keys, "copies", F.expr(fp).alias("fp"))
 
 
 def hex64(value: Column) -> Column:
@@ -91,7 +64,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def near(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fp, n_near``: for each ``queries(fp)`` the rows of ``index(fp)`` within the radius, its own included.
+    """``fp, n_near``: for each ``queries(fp)`` the rows of ``index(fp, copies)`` within the radius, its own included.
 
     Equal fingerprints are one row with a count on both sides, so a group of copies is compared once.
     """
@@ -105,8 +78,8 @@ def near(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFram
         table = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])
         return rows.withColumn("k", F.explode(table)).select("*", "k.t", "k.key").drop("k")
 
-    wanted = keyed(queries.select("fp").distinct().withColumnRenamed("fp", "fp"))
-    held = keyed(index.groupBy("fp").agg(F.count("*").alias("n"))).withColumnRenamed("fp", "other")
+    wanted = keyed(queries.select("fp").distinct())
+    held = keyed(index.groupBy("fp").agg(F.sum("copies").alias("n"))).withColumnRenamed("fp", "other")
     differ = F.col("fp").bitwiseXOR(F.col("other"))
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(masks)])
     pairs = wanted.join(held, ["t", "key"]).filter((F.bit_count(differ) <= radius) & (first == F.col("t")))
@@ -122,8 +95,8 @@ def edited_fingerprints(docs: DataFrame, every: int = 100) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
-    prints = base.select("doc_id", "th", F.char_length("text").alias("n_chars"), fingerprint(F.col("text")).alias("fp"))
-    prints = materialize(prints, "fingerprints")
+    base = base.withColumn("n_chars", F.char_length("text"))
+    prints = materialize(fingerprints(base, ["doc_id", "th", "n_chars"]), "fingerprints")
     searched = prints.filter(F.col("doc_id") % every == 0)
     around = near(searched, prints)
     known = prints.filter("doc_id is not null")
@@ -142,32 +115,28 @@ def edited_fingerprints(docs: DataFrame, every: int = 100) -> DataFrame:
     asked = pairs.select(
         F.col("next_id").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("asker"), "take"
     )
-    heads = base.join(asked, ["doc_id", "th"]).select("asker", F.expr("substring(text, 1, take)").alias("head"))
+    heads = base.drop("n_chars").join(asked, ["doc_id", "th"]).select("asker", F.expr("substring(text, 1, take)").alias("head"))
     heads = heads.groupBy("asker").agg(F.min("head").alias("head")).withColumnRenamed("asker", "doc_id")
-    facts = known.distinct().join(pairs.select("doc_id", "next_fp"), "doc_id").join(heads, "doc_id")
-    rows = base.join(facts, ["doc_id", "th"])
+    rows = base.join(heads, "doc_id")
     edited = F.expr(
         "concat(substring(text, 1, n_chars - cast(floor(n_chars / 4) as int)), "
         "substring(head, 1, cast(floor(n_chars / 4) as int)))"
     )
-    rows = rows.select("doc_id", "n_chars", "fp", "next_fp", edited.alias("edited"))
-    rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp",
-        fingerprint(F.col("edited")).alias("edited_fp"),
-    )
-    lone = docs.filter("doc_id is null").select("doc_id", text.alias("text"))
-    lone = lone.select(
-        "doc_id", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fp"), F.lit(None).cast("long").alias("next_fp"),
-    ).withColumn("edited_fp", F.col("fp"))
-    out = rows.unionByName(lone).join(around, "fp", "left")
+    lone = docs.filter("doc_id is null").select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = rows.select("doc_id", "th", edited.alias("text")).unionByName(lone)
+    rows = rows.withColumn("edited_sha256", F.sha2("text", 256))
+    edits = fingerprints(rows, ["doc_id", "th", "edited_sha256"]).withColumnRenamed("fp", "edited_fp")
+    own = prints.join(pairs.select("doc_id", "next_fp"), "doc_id", "left").join(around, "fp", "left")
+    same = F.col("p.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("p.th") == F.col("e.th"))
+    out = own.drop("copies").alias("p").join(edits.alias("e"), same)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
-        "doc_id",
+        "p.doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         "edited_sha256",
         hex64(F.col("fp")).alias("fingerprint"),
         hex64(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-        F.when(F.col("doc_id") % every == 0, F.col("n_near") - 1).alias("n_near"),
+        F.when(F.col("p.doc_id") % every == 0, F.col("n_near") - 1).alias("n_near"),
     )
