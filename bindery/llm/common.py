@@ -133,9 +133,8 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict | None]
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equal lengths, not empty, as a two-dimensional array."""
-    flat = column.flatten()
-    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
