@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.session import materialize
@@ -73,190 +73,7 @@ class Parse:
         ends = (self.last - self.first).astype(np.uint64)
         self.phrase = _mix(self.strings(self.first) * _MUL[1] + self.strings(self.last) * _MUL[2] + ends)
 
-    def strings(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the windows that start there."""
-        return _mix(
-            self.rolling[at] * _MUL[2] + self.rolling[at + TRIGGER] * _MUL[3] + self.two[at + 2 * TRIGGER]
-        )
-
-
-def parses(data: bytes) -> Iterator[tuple[int, Parse]]:
-    """Stretches of a text, overlapping by a window less one byte, with their offsets."""
-    for at in range(0, max(len(data) - WINDOW + 1, 0), STRETCH):
-        yield at, Parse(data[at : at + STRETCH + WINDOW - 1])
-
-
-def _utf8(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
-
-def _blocks(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple]:
-    """Rows ``bucket, docs, counts, entries, doc_id, kind, found`` of a batch of documents."""
-    ids, triggers, phrases = [], [], []
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        if doc is None:
-            continue
-        got = [(p.phrase, p.trigger) for _, p in parses(_utf8(text))]
-        if got:
-            phrase, at = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
-            phrases.append(phrase), triggers.append(np.concatenate([g[1] for g in got])[at])
-            ids.append(np.full(len(phrase), doc, np.int64))
-    if not ids:
-        return
-    doc, trigger, phrase = np.concatenate(ids), np.concatenate(triggers), np.concatenate(phrases)
-    order = np.lexsort((doc, phrase, trigger))
-    doc, trigger, phrase = doc[order], trigger[order], phrase[order]
-    head = np.append(True, (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1]))
-    least = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
-    later = doc > least
-    yield from _replies(doc[later], phrase[later], 1, buckets)
-    doc, trigger, phrase = doc[head], trigger[head], phrase[head]
-    start = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
-    size = np.diff(np.append(start, len(doc)))
-    group = np.repeat(np.arange(len(start)), size)
-    mixed = (size > 1) & (np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start))
-    several = mixed[group]
-    yield from _replies(doc[several], phrase[several], 2, buckets)
-    # of a trigger with several phrases here one entry goes on, to say so (phrase 0)
-    phrase = np.where(several, np.uint64(0), phrase)
-    goes = ~several
-    goes[start] = True
-    doc, trigger, phrase = doc[goes], trigger[goes], phrase[goes]
-    bucket = ((trigger >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((doc, bucket))
-    doc, bucket = doc[order], bucket[order]
-    entries = np.empty(len(doc), _ENTRY)
-    entries["phrase"], entries["trigger"] = phrase[order], trigger[order].astype(np.uint32)
-    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
-    for s, e in zip(cuts, [*cuts[1:], len(doc)], strict=True):
-        docs, counts = np.unique(doc[s:e], return_counts=True)
-        yield int(bucket[s]), docs.tobytes(), counts.astype("<i4").tobytes(), entries[s:e].tobytes(), None, 0, None
-
-
-def _replies(doc: np.ndarray, phrase: np.ndarray, kind: int, buckets: int) -> Iterator[tuple]:
-    """One row per document with the phrases found: kind 1 repeated whole, kind 2 perhaps in part."""
-    order = np.argsort(doc, kind="stable")
-    doc, phrase = doc[order], phrase[order]
-    if not len(doc):
-        return
-    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
-    for s, e in zip(cuts, [*cuts[1:], len(doc)], strict=True):
-        yield int(doc[s]) % buckets, None, None, None, int(doc[s]), kind, phrase[s:e].tobytes()
-
-
-_BLOCK_COLUMNS = {
-    "bucket": pa.int64(), "docs": pa.binary(), "counts": pa.binary(), "entries": pa.binary(),
-    "doc_id": pa.int64(), "kind": pa.int32(), "found": pa.binary(),
-}
-_BLOCK = "bucket long, docs binary, counts binary, entries binary, doc_id long, kind int, found binary"
-
-
-def _batches(rows: Iterator[tuple], columns: dict) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-
-    def packed() -> pa.RecordBatch:
-        arrays = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), columns.values(), strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, list(columns))
-
-    size = 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(x) for x in row if isinstance(x, bytes)) + 16
-        if size > 4 << 20:
-            yield packed()
-            held, size = [], 0
-    if held:
-        yield packed()
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, whole, parts``: phrases of each document found whole in a smaller doc_id, and to be looked into."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_TEXT))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches((row for b in batches for row in _blocks(b, buckets)), _BLOCK_COLUMNS)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, entries = [], []
-
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                for row in b.to_pylist():
-                    if row["kind"]:
-                        yield row["doc_id"], row["kind"], row["found"]
-                    else:
-                        counts = np.frombuffer(row["counts"], "<i4")
-                        ids.append(np.repeat(np.frombuffer(row["docs"], np.int64), counts))
-                        entries.append(np.frombuffer(row["entries"], _ENTRY))
-            if not ids:
-                return
-            doc, entry = np.concatenate(ids), np.concatenate(entries)
-            ids.clear(), entries.clear()
-            order = np.lexsort((doc, entry["phrase"], entry["trigger"]))
-            doc, phrase, trigger = doc[order], entry["phrase"][order], entry["trigger"][order]
-            start = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
-            size = np.diff(np.append(start, len(doc)))
-            head = np.append(True, (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1]))
-            named = phrase != 0
-            later = named & (doc > doc[np.flatnonzero(head)][np.cumsum(head) - 1])
-            # a trigger with two phrases, of different documents, or said to have several
-            several = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start)
-            several &= np.add.reduceat(head.astype(np.int64), start) > 1
-            several |= ~np.logical_and.reduceat(named, start)
-            part = named & head & np.repeat(several, size)
-            for kind, at in ((1, later), (2, part)):
-                yield from ((r[4], r[5], r[6]) for r in _replies(doc[at], phrase[at], kind, 1))
-
-        yield from _batches(rows(), {"doc_id": pa.int64(), "kind": pa.int32(), "found": pa.binary()})
-
-    blocks = docs.select("doc_id", "text").mapInArrow(parse, _BLOCK).repartition(buckets, "bucket")
-    found = materialize(blocks.mapInArrow(settle, "doc_id long, kind int, found binary"), "phrases")
-    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("found")))
-    return found.groupBy("doc_id").agg(of(1).alias("whole"), of(2).alias("parts"))
-
-
-def _set(blobs: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(blobs or []), "<u8"))
-
-
-def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-    return known[at] == x
-
-
-def strings(rows: DataFrame) -> DataFrame:
-    """``k1, k2, doc_id`` of the dictionary strings to be looked into, of rows ``doc_id, text, parts``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, one, two = [], [], []
-            for doc, text, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                known, keys = _set(parts), []
-                for _, p in parses(_utf8(text)):
-                    at = np.flatnonzero(_within(p.phrase, known))
-                    n = p.last[at] - p.first[at] + 1
-                    start = np.repeat(p.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                    keys.append(np.stack([p.strings(start), np.repeat(p.trigger[at], n)], 1))
-                keys = np.unique(np.concatenate(keys), axis=0) if keys else np.zeros((0, 2), np.uint64)
-                ids.append(np.full(len(keys), doc, np.int64)), one.append(keys[:, 0]), two.append(keys[:, 1])
-                if sum(map(len, ids)) > 200_000:
-                    yield packed(ids, one, two)
-                    ids, one, two = [], [], []
-            if ids:
-                yield packed(ids, one, two)
-
-    def packed(ids, one, two) -> pa.RecordBatch:
-        keys = [np.concatenate(x).view(np.int64) for x in (one, two)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(np.concatenate(ids))], ["k1", "k2", "doc_id"])
-
-    return rows.select("doc_id", "text", "parts").mapInArrow(run, "k1 long, k2 long, doc_id long")
-
-
-def removed(data: bytes, whole: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    def removed(data: bytes, whole: np.ndarray, repeated: np.ndarray) -> np.ndarray:
     """Which bytes go: of phrases repeated whole, and of single strings found repeated."""
     edge = np.zeros(len(data) + 1, np.int64)
     for at, p in parses(data):
@@ -272,22 +89,34 @@ def removed(data: bytes, whole: np.ndarray, repeated: np.ndarray) -> np.ndarray:
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and others) with ``whole`` and ``repeated``."""
-    phrases = materialize(candidates(docs), "candidates")
-    parts = phrases.filter(F.size("parts") > 0).select("doc_id", "parts")
-    keys = materialize(strings(docs.select("doc_id", "text").join(parts, "doc_id")), "strings")
-    first = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    later = keys.join(first, ["k1", "k2"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_list("k1").alias("repeated"))
-    facts = phrases.filter(F.size("whole") > 0).select("doc_id", "whole").join(later, "doc_id", "full")
-    return docs.join(facts, "doc_id", "left")
+    """``docs`` (doc_id, text and others) with ``whole`` and ``repeated``.
+
+    Texts are joined twice, by doc_id both times and in one query, so that their exchange can be used again.
+    """
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_TEXT))
+
+    def of(kind: int) -> Column:
+        return F.collect_list(F.when(F.col("kind") == kind, F.col("found")))
+
+    phrases = _settled(docs.select("doc_id", "text"), _phrases, buckets, True)
+    phrases = phrases.groupBy("doc_id").agg(of(1).alias("whole"), of(2).alias("parts"))
+    phrases = materialize(phrases, "phrases")
+    numbered = docs.filter("doc_id is not null")
+    known = numbered.join(phrases, "doc_id", "left")
+    asked = known.filter(F.size("parts") > 0).select("doc_id", "text", "parts")
+    strings = _settled(asked, _strings, buckets, False).groupBy("doc_id").agg(of(1).alias("repeated"))
+    out = known.drop("parts").join(strings, "doc_id", "left").select(*docs.columns, "whole", "repeated")
+    none = F.lit(None).cast("array<binary>")
+    return out.unionByName(docs.filter("doc_id is null").withColumns({"whole": none, "repeated": none}))
 
 
 def _spans(text: str | None, whole, repeated) -> tuple[bytes, np.ndarray]:
     data = _utf8(text)
     if not whole and not repeated:
         return data, np.zeros(len(data), bool)
-    keys = np.unique(np.array(repeated or [], np.int64).view(np.uint64))
-    return data, removed(data, _set(whole), keys)
+    return data, removed(data, _set(whole), _set(repeated))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
