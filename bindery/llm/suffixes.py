@@ -73,7 +73,182 @@ class Parse:
         ends = (self.last - self.first).astype(np.uint64)
         self.phrase = _mix(self.strings(self.first) * _MUL[1] + self.strings(self.last) * _MUL[2] + ends)
 
-    def removed(data: bytes, whole: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    def strings(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start there."""
+        return _mix(
+            self.rolling[at] * _MUL[2] + self.rolling[at + TRIGGER] * _MUL[3] + self.two[at + 2 * TRIGGER]
+        )
+
+
+def parses(data: bytes) -> Iterator[tuple[int, Parse]]:
+    """Stretches of a text, overlapping by a window less one byte, with their offsets."""
+    for at in range(0, max(len(data) - WINDOW + 1, 0), STRETCH):
+        yield at, Parse(data[at : at + STRETCH + WINDOW - 1])
+
+
+def _utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def _phrases(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """``doc, trigger, phrase`` of a batch of documents; a document's equal phrases once."""
+    ids, triggers, phrases = [], [], []
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        got = [(p.phrase, p.trigger) for _, p in parses(_utf8(text))] if doc is not None else []
+        if got:
+            phrase, at = np.unique(np.concatenate([g[0] for g in got]), return_index=True)
+            phrases.append(phrase), triggers.append(np.concatenate([g[1] for g in got])[at])
+            ids.append(np.full(len(phrase), doc, np.int64))
+    return _joined(ids, triggers, phrases)
+
+
+def _strings(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """``doc, trigger, string`` of the strings in the phrases (third column) to be looked into."""
+    ids, triggers, strings = [], [], []
+    for doc, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        known = _set(parts)
+        for _, p in parses(_utf8(text)):
+            at = np.flatnonzero(_within(p.phrase, known))
+            n = p.last[at] - p.first[at] + 1
+            start = np.repeat(p.first[at] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+            string, one = np.unique(p.strings(start), return_index=True)
+            strings.append(string), triggers.append(np.repeat(p.trigger[at], n)[one])
+            ids.append(np.full(len(string), doc, np.int64))
+    return _joined(ids, triggers, strings)
+
+
+def _joined(*columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    kinds = (np.int64, np.uint64, np.uint64)
+    return tuple(np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(columns, kinds, strict=True))
+
+
+def _blocks(doc: np.ndarray, trigger: np.ndarray, entry: np.ndarray, buckets: int, whole: bool) -> Iterator[tuple]:
+    """Rows ``bucket, docs, counts, entries, doc_id, kind, found`` of a batch's phrases, or of single strings."""
+    if not len(doc):
+        return
+    order = np.lexsort((doc, entry, trigger))
+    doc, trigger, entry = doc[order], trigger[order], entry[order]
+    head = np.append(True, (entry[1:] != entry[:-1]) | (trigger[1:] != trigger[:-1]))
+    later = doc > doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+    yield from _replies(doc[later], entry[later], 1, buckets)
+    doc, trigger, entry = doc[head], trigger[head], entry[head]
+    if whole:
+        start = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
+        size = np.diff(np.append(start, len(doc)))
+        mixed = (size > 1) & (np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start))
+        several = np.repeat(mixed, size)
+        yield from _replies(doc[several], entry[several], 2, buckets)
+        # of a trigger with several phrases here one entry goes on, to say so (phrase 0)
+        entry = np.where(several, np.uint64(0), entry)
+        goes = ~several
+        goes[start] = True
+        doc, trigger, entry = doc[goes], trigger[goes], entry[goes]
+    bucket = ((trigger >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, bucket))
+    doc, bucket = doc[order], bucket[order]
+    entries = np.empty(len(doc), _ENTRY)
+    entries["phrase"], entries["trigger"] = entry[order], trigger[order].astype(np.uint32)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+    for s, e in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+        docs, counts = np.unique(doc[s:e], return_counts=True)
+        yield int(bucket[s]), docs.tobytes(), counts.astype("<i4").tobytes(), entries[s:e].tobytes(), None, 0, None
+
+
+def _replies(doc: np.ndarray, phrase: np.ndarray, kind: int, buckets: int) -> Iterator[tuple]:
+    """One row per document with the phrases found: kind 1 repeated whole, kind 2 perhaps in part."""
+    order = np.argsort(doc, kind="stable")
+    doc, phrase = doc[order], phrase[order]
+    if not len(doc):
+        return
+    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
+    for s, e in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+        yield int(doc[s]) % buckets, None, None, None, int(doc[s]), kind, phrase[s:e].tobytes()
+
+
+_BLOCK_COLUMNS = {
+    "bucket": pa.int64(), "docs": pa.binary(), "counts": pa.binary(), "entries": pa.binary(),
+    "doc_id": pa.int64(), "kind": pa.int32(), "found": pa.binary(),
+}
+_BLOCK = "bucket long, docs binary, counts binary, entries binary, doc_id long, kind int, found binary"
+
+
+def _batches(rows: Iterator[tuple], columns: dict) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+
+    def packed() -> pa.RecordBatch:
+        arrays = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), columns.values(), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes)) + 16
+        if size > 4 << 20:
+            yield packed()
+            held, size = [], 0
+    if held:
+        yield packed()
+
+
+def _settled(rows: DataFrame, gather, buckets: int, whole: bool) -> DataFrame:
+    """``doc_id, kind, found``: entries that a smaller doc_id holds (kind 1); of phrases, those to look into (2)."""
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches((r for b in batches for r in _blocks(*gather(b), buckets, whole)), _BLOCK_COLUMNS)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, entries = [], []
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for row in b.to_pylist():
+                    if row["kind"]:
+                        yield row["doc_id"], row["kind"], row["found"]
+                    else:
+                        counts = np.frombuffer(row["counts"], "<i4")
+                        ids.append(np.repeat(np.frombuffer(row["docs"], np.int64), counts))
+                        entries.append(np.frombuffer(row["entries"], _ENTRY))
+            if not ids:
+                return
+            doc, entry = np.concatenate(ids), np.concatenate(entries)
+            ids.clear(), entries.clear()
+            order = np.lexsort((doc, entry["phrase"], entry["trigger"]))
+            doc, phrase, trigger = doc[order], entry["phrase"][order], entry["trigger"][order]
+            head = np.append(True, (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1]))
+            later = doc > doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+            if not whole:
+                yield from ((r[4], r[5], r[6]) for r in _replies(doc[later], phrase[later], 1, 1))
+                return
+            named = phrase != 0
+            start = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
+            size = np.diff(np.append(start, len(doc)))
+            # a trigger with two phrases, of different documents, or said to have several
+            several = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start)
+            several &= np.add.reduceat(head.astype(np.int64), start) > 1
+            several |= ~np.logical_and.reduceat(named, start)
+            part = named & head & np.repeat(several, size)
+            for kind, at in ((1, named & later), (2, part)):
+                yield from ((r[4], r[5], r[6]) for r in _replies(doc[at], phrase[at], kind, 1))
+
+        yield from _batches(rows(), {"doc_id": pa.int64(), "kind": pa.int32(), "found": pa.binary()})
+
+    return rows.mapInArrow(block, _BLOCK).repartition(buckets, "bucket").mapInArrow(
+        settle, "doc_id long, kind int, found binary"
+    )
+
+
+def _set(blobs: list[bytes] | None) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(blobs or []), "<u8"))
+
+
+def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return known[at] == x
+
+
+def removed(data: bytes, whole: np.ndarray, repeated: np.ndarray) -> np.ndarray:
     """Which bytes go: of phrases repeated whole, and of single strings found repeated."""
     edge = np.zeros(len(data) + 1, np.int64)
     for at, p in parses(data):
