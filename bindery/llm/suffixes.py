@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.session import materialize
@@ -191,54 +191,97 @@ def _batches(rows: Iterator[tuple], columns: dict) -> Iterator[pa.RecordBatch]:
 
 
 def _settled(rows: DataFrame, gather, buckets: int, whole: bool) -> DataFrame:
-    """``doc_id, kind, found``: entries that a smaller doc_id holds (kind 1); of phrases, those to look into (2)."""
+    """``doc_id, whole, parts``: entries that a smaller doc_id holds, and of phrases those to be looked into.
+
+    What the buckets find goes back in blocks of documents, so that no row is made per document and bucket.
+    """
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches((r for b in batches for r in _blocks(*gather(b), buckets, whole)), _BLOCK_COLUMNS)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, entries = [], []
-
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                for row in b.to_pylist():
-                    if row["kind"]:
-                        yield row["doc_id"], row["kind"], row["found"]
-                    else:
-                        counts = np.frombuffer(row["counts"], "<i4")
-                        ids.append(np.repeat(np.frombuffer(row["docs"], np.int64), counts))
-                        entries.append(np.frombuffer(row["entries"], _ENTRY))
-            if not ids:
-                return
+        found: dict[int, list] = {1: [], 2: []}
+        for b in batches:
+            for row in b.to_pylist():
+                if row["kind"]:
+                    phrase = np.frombuffer(row["found"], "<u8")
+                    found[row["kind"]].append((np.full(len(phrase), row["doc_id"], np.int64), phrase))
+                else:
+                    counts = np.frombuffer(row["counts"], "<i4")
+                    ids.append(np.repeat(np.frombuffer(row["docs"], np.int64), counts))
+                    entries.append(np.frombuffer(row["entries"], _ENTRY))
+        if ids:
             doc, entry = np.concatenate(ids), np.concatenate(entries)
             ids.clear(), entries.clear()
             order = np.lexsort((doc, entry["phrase"], entry["trigger"]))
             doc, phrase, trigger = doc[order], entry["phrase"][order], entry["trigger"][order]
+            del entry, order
             head = np.append(True, (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1]))
             later = doc > doc[np.flatnonzero(head)][np.cumsum(head) - 1]
-            if not whole:
-                yield from ((r[4], r[5], r[6]) for r in _replies(doc[later], phrase[later], 1, 1))
-                return
-            named = phrase != 0
-            start = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
-            size = np.diff(np.append(start, len(doc)))
-            # a trigger with two phrases, of different documents, or said to have several
-            several = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start)
-            several &= np.add.reduceat(head.astype(np.int64), start) > 1
-            several |= ~np.logical_and.reduceat(named, start)
-            part = named & head & np.repeat(several, size)
-            for kind, at in ((1, named & later), (2, part)):
-                yield from ((r[4], r[5], r[6]) for r in _replies(doc[at], phrase[at], kind, 1))
+            if whole:
+                named = phrase != 0
+                later &= named
+                start = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
+                size = np.diff(np.append(start, len(doc)))
+                # a trigger with two phrases, of different documents, or said to have several
+                several = np.maximum.reduceat(doc, start) > np.minimum.reduceat(doc, start)
+                several &= np.add.reduceat(head.astype(np.int64), start) > 1
+                several |= ~np.logical_and.reduceat(named, start)
+                part = named & head & np.repeat(several, size)
+                found[2].append((doc[part], phrase[part]))
+            found[1].append((doc[later], phrase[later]))
+        yield from _batches(_dealt(found, buckets), _FOUND_COLUMNS)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {1: [], 2: []}
+        for b in batches:
+            for row in b.to_pylist():
+                docs = np.repeat(np.frombuffer(row["docs"], np.int64), np.frombuffer(row["counts"], "<i4"))
+                found[row["kind"]].append((docs, np.frombuffer(row["entries"], "<u8")))
+        kinds: list[dict[int, bytes]] = []
+        for pairs in found.values():
+            of: dict[int, bytes] = {}
+            if pairs:
+                doc, phrase = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                order = np.argsort(doc, kind="stable")
+                doc, phrase = doc[order], phrase[order]
+                cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist() if len(doc) else []
+                for s, e in zip(cuts, [*cuts[1:], len(doc)] if cuts else [], strict=True):
+                    of[int(doc[s])] = phrase[s:e].tobytes()
+            kinds.append(of)
+        rows = ((doc, kinds[0].get(doc), kinds[1].get(doc)) for doc in sorted(kinds[0].keys() | kinds[1].keys()))
+        yield from _batches(rows, {"doc_id": pa.int64(), "whole": pa.binary(), "parts": pa.binary()})
+
+    settled = rows.mapInArrow(block, _BLOCK).repartition(buckets, "bucket").mapInArrow(settle, _FOUND)
+    return settled.repartition(buckets, "bucket").mapInArrow(merge, "doc_id long, whole binary, parts binary")
+
+
+_FOUND_COLUMNS = {
+    "bucket": pa.int64(), "kind": pa.int32(), "docs": pa.binary(), "counts": pa.binary(), "entries": pa.binary()
+}
+_FOUND = "bucket long, kind int, docs binary, counts binary, entries binary"
 
-        yield from _batches(rows(), {"doc_id": pa.int64(), "kind": pa.int32(), "found": pa.binary()})
 
-    return rows.mapInArrow(block, _BLOCK).repartition(buckets, "bucket").mapInArrow(
-        settle, "doc_id long, kind int, found binary"
-    )
+def _dealt(found: dict[int, list], buckets: int) -> Iterator[tuple]:
+    """Findings in one block per bucket of documents and kind."""
+    for kind, pairs in found.items():
+        if not pairs:
+            continue
+        doc, phrase = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        if not len(doc):
+            continue
+        bucket = (_mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        doc, phrase, bucket = doc[order], phrase[order], bucket[order]
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+        for s, e in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+            docs, counts = np.unique(doc[s:e], return_counts=True)
+            yield int(bucket[s]), kind, docs.tobytes(), counts.astype("<i4").tobytes(), phrase[s:e].tobytes()
 
 
-def _set(blobs: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(blobs or []), "<u8"))
+def _set(blob: bytes | None) -> np.ndarray:
+    return np.unique(np.frombuffer(blob or b"", "<u8"))
 
 
 def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -272,18 +315,13 @@ def _found(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_TEXT))
 
-    def of(kind: int) -> Column:
-        return F.collect_list(F.when(F.col("kind") == kind, F.col("found")))
-
-    phrases = _settled(docs.select("doc_id", "text"), _phrases, buckets, True)
-    phrases = phrases.groupBy("doc_id").agg(of(1).alias("whole"), of(2).alias("parts"))
-    phrases = materialize(phrases, "phrases")
+    phrases = materialize(_settled(docs.select("doc_id", "text"), _phrases, buckets, True), "phrases")
     numbered = docs.filter("doc_id is not null")
     known = numbered.join(phrases, "doc_id", "left")
-    asked = known.filter(F.size("parts") > 0).select("doc_id", "text", "parts")
-    strings = _settled(asked, _strings, buckets, False).groupBy("doc_id").agg(of(1).alias("repeated"))
+    asked = known.filter("parts is not null").select("doc_id", "text", "parts")
+    strings = _settled(asked, _strings, buckets, False).select("doc_id", F.col("whole").alias("repeated"))
     out = known.drop("parts").join(strings, "doc_id", "left").select(*docs.columns, "whole", "repeated")
-    none = F.lit(None).cast("array<binary>")
+    none = F.lit(None).cast("binary")
     return out.unionByName(docs.filter("doc_id is null").withColumns({"whole": none, "repeated": none}))
 
 
