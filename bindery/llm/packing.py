@@ -14,7 +14,10 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +32,17 @@ from bindery.session import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a task remembers; forgetting them changes nothing but time.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 _ODD = frozenset("\x1c\x1d\x1e\x1f")
+# Latin letters with a lower case of one letter, then stops: the tokenizer parts such a word just there
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01c3]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = itertools.count(256)
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
 def default_tokenizer() -> str:
@@ -51,16 +63,46 @@ class _Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of letters or stops in lower case."""
+        if (got := self.parts.get(part)) is None:
+            shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = [t.id for t in self.model.tokenize(shown)]
+            got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; all but plain words go through the whole tokenizer."""
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        found = [_PLAIN.fullmatch(w) if len(w) <= 64 else None for w in words]
+        rest = iter(self._whole([w for w, m in zip(words, found, strict=True) if not m]))
+        return [
+            (self._part(m[1].lower()) + self._part(m[2]) if m[2] else self._part(m[1].lower())) if m else next(rest)
+            for m in found
+        ]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        """Many words to a call: a token belongs to the word that its offset lies in."""
+        out = []
+        for at in range(0, len(words), 2_000):
+            some = words[at : at + 2_000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4")
+            begins = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+            place = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            cuts = np.append(np.searchsorted(place, begins), len(ids)) * 4
+            blob = ids.tobytes()
+            out += [blob[s:e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return out
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             if not _ODD.isdisjoint(text):
-                yield self._encode([text])[0]
+                yield self._whole([text])[0]
                 continue
             words, known = text.split(), self.known
             try:
@@ -136,12 +178,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         at = np.flatnonzero(ok)
         return (int(at[-1]) + 1, gap - int(at[-1]) - 1) if len(at) else None
 
+    def longest(gap: int, have: np.ndarray) -> int:
+        at = np.flatnonzero(have[1 : gap + 1] > 0)
+        return int(at[-1]) + 1 if len(at) else 0
+
     def exact(gap: int, have: np.ndarray) -> tuple[int, ...] | None:
         if have[gap] > 0:
             return (gap,)
-        if two := pair(gap, have):
+        most = longest(gap, have)
+        if gap > 3 * most:
+            return None
+        if gap <= 2 * most and (two := pair(gap, have)):
             return two
-        for first in np.flatnonzero(have[1:gap] > 0)[::-1] + 1:
+        # the other two reach at most twice the longest
+        low = max(1, gap - 2 * most)
+        for first in np.flatnonzero(have[low:gap] > 0)[::-1] + low:
             have[first] -= 1
             two = pair(gap - int(first), have)
             have[first] += 1
@@ -161,13 +212,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             if found := exact(gap, have):
                 parts += found
                 break
-            fits = np.flatnonzero(have[1 : gap + 1] > 0)
-            if not len(fits):
+            best = longest(gap, have)
+            if not best:
                 break
-            longest = int(fits[-1]) + 1
-            parts.append(longest)
-            have[longest] -= 1
-            gap -= longest
+            parts.append(best)
+            have[best] -= 1
+            gap -= best
         used: dict[int, int] = {}
         for p in parts:
             used[p] = used.get(p, 0) + 1
