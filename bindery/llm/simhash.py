@@ -95,8 +95,8 @@ def edited_fingerprints(docs: DataFrame, every: int = 100) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
-    base = base.withColumn("n_chars", F.char_length("text"))
-    prints = materialize(fingerprints(base, ["doc_id", "th", "n_chars"]), "fingerprints")
+    prints = base.withColumn("n_chars", F.char_length("text"))
+    prints = materialize(fingerprints(prints, ["doc_id", "th", "n_chars"]), "fingerprints")
     searched = prints.filter(F.col("doc_id") % every == 0)
     around = near(searched, prints)
     known = prints.filter("doc_id is not null")
@@ -113,11 +113,14 @@ def edited_fingerprints(docs: DataFrame, every: int = 100) -> DataFrame:
     pairs = placed.select("k", "doc_id", F.floor(F.col("longest") / 4).cast("int").alias("take")).join(after, "k")
     pairs = materialize(pairs.drop("k"), "next-documents")
     asked = pairs.select(
-        F.col("next_id").alias("doc_id"), F.col("next_th").alias("th"), F.col("doc_id").alias("asker"), "take"
+        F.col("next_id").alias("doc_id"), "next_th", F.col("doc_id").alias("asker"), "take"
     )
-    heads = base.drop("n_chars").join(asked, ["doc_id", "th"]).select("asker", F.expr("substring(text, 1, take)").alias("head"))
+    # texts are dealt by doc_id alone here and below, so that one exchange serves both joins
+    first = F.col("th").bitwiseXOR(F.col("next_th")) == 0
+    heads = base.join(asked, "doc_id").filter(first)
+    heads = heads.select("asker", F.expr("substring(text, 1, take)").alias("head"))
     heads = heads.groupBy("asker").agg(F.min("head").alias("head")).withColumnRenamed("asker", "doc_id")
-    rows = base.join(heads, "doc_id")
+    rows = base.join(heads, "doc_id").withColumn("n_chars", F.char_length("text"))
     edited = F.expr(
         "concat(substring(text, 1, n_chars - cast(floor(n_chars / 4) as int)), "
         "substring(head, 1, cast(floor(n_chars / 4) as int)))"
