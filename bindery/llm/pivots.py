@@ -37,7 +37,9 @@ SPARE = 2
 PIVOTS = 8
 TABLE_PIVOTS = 24
 BLOCK = 4096
-RECALL = 0.97
+#: Buckets up to this size are compared in one step.
+SMALL = 64
+RECALL = 0.9
 #: Shingles whose bits are counted at a time.
 CHUNK = 20_000
 
@@ -103,7 +105,7 @@ def tables(radius: int, words: int, n: int, recall: float = RECALL) -> list[np.n
         groups = np.array_split(order, radius + SPARE)
         chosen = [np.concatenate(c) for c in itertools.combinations(groups, SPARE)]
     else:
-        k = max(12, math.ceil(math.log2(max(n, 2))) - 2)
+        k = max(12, math.ceil(math.log2(max(n, 2))) - 4)
         hit = (1 - radius / bits) ** k
         count = math.ceil(math.log(1 - recall) / math.log(1 - hit))
         chosen = [rng.choice(bits, k, replace=False) for _ in range(count)]
@@ -117,6 +119,14 @@ def _linked(fps: np.ndarray, far: np.ndarray, radius: int) -> np.ndarray:
     """A label for each row, equal for rows connected through pairs within the radius."""
     n = len(fps)
     label = np.arange(n)
+    if n <= SMALL:
+        near = np.abs(far[:, None] - far[None]).max(2) <= radius
+        a, b = np.nonzero(np.triu(near, 1))
+        hit = np.bitwise_count(fps[a] ^ fps[b]).sum(1) <= radius
+        for i, j in zip(a[hit].tolist(), b[hit].tolist(), strict=True):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+        return label
     parts = n
     for i in range(n - 1):
         if parts == 1:
@@ -188,7 +198,7 @@ def radius_for(similarity: float, words: int) -> int:
     return int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """All columns of one document of each group of near-duplicates: the one with the smallest doc_id.
 
     ``words`` times 64 bits make the estimate of similarity sharp, so that unlike documents never meet at any size.
