@@ -283,7 +283,9 @@ def sequences(
     same = ["doc_id", "piece", "start", "length", "ids_crc32"]
     places = place(cut, capacity)
     one = F.struct(F.col("offset"), *same, "ids")
-    keyed = _numbered(cut, same).join(_numbered(places, same), [*same, "_copy"])
+    held, placed = _numbered(cut, same).alias("c"), _numbered(places, same).alias("p")
+    alike = [F.col(f"c.{n}").eqNullSafe(F.col(f"p.{n}")) for n in (*same, "_copy")]
+    keyed = held.join(placed, alike).select("p.sequence_id", "p.offset", *[f"c.{n}" for n in same], "c.ids")
     rows = keyed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(one)).alias("p"))
     return rows.select(
         "sequence_id",
