@@ -21,15 +21,9 @@ REPORT = (
 CRAWL_STEP, CONVERT_STEP, COMBINE_STEP = "クロール", "変換", "結合"
 STEP_LINE = "%s: %d ファイル (%s), %.1f 秒 → %s"
 TOTAL_LINE = "合計: %.1f 秒, %d ステップ"
-# A report is one JSON document, so what is listed inside it must stay small.
-MAX_LISTED = 100_000
 _COUNTERS = ("skipped_count", "downloaded_count", "failure_count")
 
 
-def listable(df: DataFrame) -> bool:
-    return df.limit(MAX_LISTED + 1).count() <= MAX_LISTED
-
-
 def step_result(
     files: DataFrame,
     step_name: str,
@@ -44,11 +38,10 @@ def step_result(
 
     ``files`` has one row per output file; a missing file has null ``n_bytes``. ``counters``
     is a one-row table with any of the three counts; ``word_counts`` names the file and
-    word columns of a bundle table for the per-file word map. More than ``MAX_LISTED``
-    files are not put into the map: their counts stay in the bundle table.
+    word columns of a bundle table for the per-file word map. The map is whole, so it is
+    meant for as many files as one row can hold; beyond that leave it out and give the
+    bundle table to :func:`report_lines`.
     """
-    if word_counts and not listable(files):
-        word_counts = None
     n_bytes = F.col(n_bytes) if isinstance(n_bytes, str) else n_bytes
     no_count = F.lit(None).cast("bigint")
     entry = F.lit(None).cast("struct<k string, v bigint>")
@@ -109,11 +102,9 @@ def pipeline_report(
 ) -> DataFrame:
     """One row with a ``report`` struct. A single step's own seconds serve as the total.
 
-    Failure lists are ordered by key. A list longer than ``MAX_LISTED`` is left out of the
-    document; retries then start from the failure table itself.
+    Failure lists are whole and ordered by key, all in one row. Where they may outgrow a
+    row, use :func:`report_lines`, which has no such row.
     """
-    crawl_failures = crawl_failures if crawl_failures is not None and listable(crawl_failures) else None
-    convert_failures = convert_failures if convert_failures is not None and listable(convert_failures) else None
     fields = "step_name file_count total_bytes elapsed_seconds output_path skipped_count downloaded_count " \
              "failure_count output_word_counts".split()
     parts = [s.select(F.lit(i).alias("nth"), F.struct(*fields).alias("step")) for i, s in enumerate(steps)]
@@ -183,6 +174,40 @@ def failure_keys(reports: DataFrame, kind: str) -> DataFrame:
     return reports.select(F.posexplode(f"report.{kind}_failures").alias("ordinal", "key"))
 
 
+LINES = "kind string, step_name string, key string, n_words bigint, step string"
+
+
+def report_lines(
+    steps: list[DataFrame],
+    words: dict[str, DataFrame] | None = None,
+    failures: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """A report of any size as ordered rows: step results, words per file, failures.
+
+    ``words`` maps a step name to ``key, n_words`` of its files, ``failures`` maps ``crawl``
+    and ``convert`` to a table with ``key``. Rows are range-partitioned by (kind, step, key):
+    no list is gathered, and nothing is left out.
+    """
+    none, no_count = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    parts = []
+    for nth, step in enumerate(steps):
+        body = F.to_json(F.struct(*[c for c in step.columns if c != "output_word_counts"]))
+        parts.append(step.select(F.lit("1 step"), "step_name", F.lit(f"{nth:04d}"), no_count, body))
+    for name, df in (words or {}).items():
+        parts.append(df.select(F.lit("2 words"), F.lit(name), "key", F.col("n_words").cast("bigint"), none))
+    for name, df in (failures or {}).items():
+        parts.append(df.select(F.lit(f"3 {name} failure"), none, "key", no_count, none))
+    names = [f.split()[0] for f in LINES.split(", ")]
+    rows = reduce(DataFrame.unionAll, parts).toDF(*names)
+    order = [F.col("kind"), F.col("step_name"), F.col("key")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def line_failures(lines: DataFrame, kind: str) -> DataFrame:
+    """``key`` of the ``crawl`` or ``convert`` failures in :func:`report_lines` rows, for :func:`select_retry`."""
+    return lines.filter(F.col("kind") == f"3 {kind} failure").select("key")
+
+
 def select_retry(inputs: DataFrame, wanted: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """Inputs to process again, and wanted keys that no longer exist (failed at once).
 

@@ -485,8 +485,8 @@ def retry_selection(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def site_run(spark: SparkSession, sf: str) -> DataFrame:
     """Traverse, convert and combine the document site in one run."""
-    site = document_site(table(spark, sf, "documents"))
-    run = run_pipeline(site, "https://docs.example/d/0", max_pages=50, max_words=100)
+    site = materialize(document_site(table(spark, sf, "documents")), "site")
+    run = run_pipeline(site, "https://docs.example/d/0", max_pages=site.count() + 1, max_words=100)
     return run.bundles.select("file_name", "n_words", "n_sections")
 
 

@@ -58,6 +58,11 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(F.rtrim(report_json(), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_report_lines(lines: DataFrame, path: str) -> None:
+    """Report rows as JSON lines; the part files follow each other in order."""
+    lines.write.mode("overwrite").json(path)
+
+
 def export_files(df: DataFrame, rel_path: str, text: str, root: str) -> DataFrame:
     """Write each row to its own file below ``root`` (shared storage); returns ``rel_path, n_bytes``.
 
