@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from bindery.functions.urls import let
 
 # Comments and raw-text elements never contain live markup.
-_OPAQUE_RE = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|iframe|xmp)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_OPAQUE_RE = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|iframe|xmp)\b[^>]*+(?:>.*?(?:</\1\s*>|\z)|\z)"
 
-# One anchor start tag up to its href attribute; possessive so long tags cannot backtrack.
-_ANCHOR_HREF_RE = (
-    r"(?is)<a"
+# A whole anchor start tag with its href attribute, if any. Possessive, and consumed to its end even where it never
+# ends, so that no part of a page is read twice.
+_ANCHOR_RE = (
+    r"(?is)<a(?=[\s/>])"
     r"(?:[\s/]++(?!href[\s=/>])[^\s=>/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+"
-    r"[\s/]++href(?=[\s=/>])(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
+    r"(?:[\s/]++(href(?=[\s=/>])(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+))?+[^>]*+"
 )
+_HREF_NAME_RE = r"(?i)^href(?:\s*+=\s*+)?+"
 _ENTITY_RE = r"(?s)&#?[0-9A-Za-z]+;?|[^&]+|&"
 
 
@@ -70,16 +72,6 @@ def unescape_entities(c: Column) -> Column:
 
 def anchor_hrefs(html_col: Column | str) -> Column:
     """Decoded ``href`` values of all anchors, in document order; anchors without one are skipped."""
-    raw = F.regexp_extract_all(without_opaque(html_col), F.lit(_ANCHOR_HREF_RE), 1)
-    return F.transform(raw, lambda h: unescape_entities(F.regexp_replace(h, "^[\"']|[\"']$", "")))
-
-
-def main_region(html_col: Column | str) -> Column:
-    """Which element holds the main content: main, article, role or the whole document."""
-    c = without_opaque(html_col)
-    return (
-        F.when(c.rlike(r"(?i)<main[\s/>]"), F.lit("main"))
-        .when(c.rlike(r"(?i)<article[\s/>]"), F.lit("article"))
-        .when(c.rlike(r"(?i)<[a-z][^<>]*\srole\s*=\s*[\"']?main[\"'\s/>]"), F.lit("role"))
-        .otherwise(F.lit("document"))
-    )
+    found = F.regexp_extract_all(without_opaque(html_col), F.lit(_ANCHOR_RE), 1)
+    values = F.transform(F.filter(found, lambda h: h != ""), lambda h: F.regexp_replace(h, _HREF_NAME_RE, ""))
+    return F.transform(values, lambda h: unescape_entities(F.regexp_replace(h, "^[\"']|[\"']$", "")))

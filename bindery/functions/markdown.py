@@ -25,12 +25,12 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(?P<raw>script|style|textarea|title|iframe|xmp)(?P<rawattrs>(?:[\s/][^>]*)?)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)"
-    r"(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_STYLING = re.compile(r"\s+(?:class|style)\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|\Z)", re.I)
+_STYLING = re.compile(r"(?<!\s)\s++(?:class|style)\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|\Z)", re.I)
 _BLANKS = re.compile(r"[ \t\r\n\f]{2,}|[\t\r\n\f]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -61,7 +61,11 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def balanced(page: str) -> list[list]:
-    """Events ``[kind, tag, attribute text or text, index of the matching end]``."""
+    """Events ``[kind, tag, attribute text or text, index of the matching end]``.
+
+    Linear in the page: behind the last ``>`` all is text, and once a quote has been followed to the end of the page
+    in vain, later tags end at their first ``>``.
+    """
     events: list[list] = []
     stack: list[int] = []
     n_open = Counter()
@@ -97,8 +101,18 @@ def balanced(page: str) -> list[list]:
             stack.append(at)
             n_open[tag] += 1
 
-    for m in _TOKEN.finditer(page):
-        kind = m.lastgroup
+    at, last, quotes = 0, page.rfind(">"), True
+    while at < len(page):
+        if at > last:
+            events.append(["text", "", html.unescape(page[at:].partition("<!--")[0]), 0])
+            break
+        m = _TOKEN.match(page, at)
+        at = m.end()
+        if m["tag"]:
+            quoted = _QUOTED.match(page, at) if quotes else None
+            quotes = quoted is not None
+            stop = quoted.end() if quotes else page.index(">", at)
+            attrs, at = page[at:stop], stop + 1
         if m["text"] is not None:
             events.append(["text", "", html.unescape(m["text"]), 0])
         elif m["raw"]:
@@ -107,9 +121,9 @@ def balanced(page: str) -> list[list]:
             close_down_to(len(stack) - 1)
         elif m["close"]:
             close_nearest({m["tag"].lower()}, frozenset())
-        elif kind is not None:
+        elif m["tag"]:
             tag = m["tag"].lower()
-            open_tag(tag, m["attrs"], tag in _VOID or (tag not in _BLOCK and m["attrs"].endswith("/")))
+            open_tag(tag, attrs, tag in _VOID or (tag not in _BLOCK and attrs.endswith("/")))
     close_down_to(0)
     return events
 

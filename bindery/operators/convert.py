@@ -47,7 +47,8 @@ def convert_files(
 
     Adds ``md_path``. Where ``x.html`` and ``x.htm`` share a Markdown name the first path
     wins and the other row is reported as a duplicate, unconverted; so is a file whose
-    name is among the ``taken`` ``md_path`` values.
+    name is among the ``taken`` ``md_path`` values. Where the scan has an ``error`` column,
+    its errors stay with their rows.
 
     Duplicates are found from names alone and written out first. They are few, and their
     measured size lets the join with the contents broadcast instead of moving contents.
@@ -61,7 +62,8 @@ def convert_files(
     marked = files.join(lost, "key", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
     text = t.decode_utf8(F.when(~F.col("lost"), F.col("content")))
     text = F.when(F.col("is_text_file"), t.universal_newlines(text)).otherwise(text)
-    identity = F.struct("key", t.markdown_path("rel_path").alias("md_path"), "lost")
+    scan_error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    identity = F.struct("key", t.markdown_path("rel_path").alias("md_path"), "lost", scan_error.alias("error"))
     done = convert_pages(marked.select(identity.alias("id"), text.alias("html")), "id", "html", strip_tags, strip_classes)
     return done.select(
         "key.key",
@@ -71,7 +73,7 @@ def convert_files(
         "n_bytes",
         "region",
         F.when(F.col("key.lost"), F.lit(DUPLICATE)).otherwise(F.col("status")).alias("status"),
-        F.when(F.col("key.lost"), F.lit("another file has the same Markdown name")).otherwise(F.col("error")).alias("error"),
+        F.when(F.col("key.lost"), F.lit("another file has the same Markdown name")).otherwise(F.coalesce("key.error", "error")).alias("error"),
     )
 
 

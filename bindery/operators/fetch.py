@@ -25,11 +25,18 @@ def response_outcome(status: Column | str = "status", content_type: Column | str
 def site_table(fetch_log: DataFrame) -> DataFrame:
     """``url, response, hrefs``: all that traversal needs, without the page bodies.
 
-    ``fetch_log`` holds at most one answer per URL.
+    Of several answers for a URL one counts: a page before other content before a failure, then the page of the
+    least content hash. :func:`new_files` stores the same page.
     """
     response = response_outcome()
     hrefs = F.when(response == DOWNLOADED, anchor_hrefs("body"))
-    return fetch_log.select("url", response.alias("response"), hrefs.alias("hrefs"))
+    answer = F.struct(_rank(response).alias("rank"), F.xxhash64("body").alias("hash"), response.alias("response"), hrefs.alias("hrefs"))
+    best = fetch_log.groupBy("url").agg(F.min(answer).alias("a"))
+    return best.select("url", "a.response", "a.hrefs")
+
+
+def _rank(response: Column) -> Column:
+    return F.when(response == DOWNLOADED, F.lit(0)).when(response == NON_HTML, F.lit(1)).otherwise(F.lit(2))
 
 
 def classify(
@@ -88,7 +95,9 @@ def fetch_urls(
     urls: DataFrame, fetch_log: DataFrame, start_url: str, cached: DataFrame | None = None
 ) -> DataFrame:
     """Fetch exactly the given ``(url, visit_seq)`` rows: duplicates kept, no links followed."""
-    answers = fetch_log.select("url", response_outcome().alias("response"))
+    response = response_outcome()
+    answers = fetch_log.groupBy("url").agg(F.min(F.struct(_rank(response), response.alias("response"))).alias("a"))
+    answers = answers.select("url", "a.response")
     stored = cached_files(cached, fetch_log).select("filename", "owner")
     return classify(urls.select("url", "visit_seq"), answers, stored, url_to_filename("url", F.lit(start_url)))
 
@@ -107,4 +116,6 @@ def crawl_counters(crawl: DataFrame, by: list[str] | None = None) -> DataFrame:
 def new_files(crawl: DataFrame, fetch_log: DataFrame) -> DataFrame:
     """``filename, url, html`` of the pages this crawl stores."""
     saved = crawl.filter(F.col("outcome") == DOWNLOADED).select("url", "filename")
-    return saved.join(fetch_log.select("url", F.col("body").alias("html")), "url")
+    pages = fetch_log.filter(response_outcome() == DOWNLOADED).select("url", F.col("body").alias("html"))
+    best = pages.groupBy("url").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html"))
+    return saved.join(best, "url").select("url", "filename", "html")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from bindery.functions import text as t
 from bindery.functions import urls as u
-from bindery.functions.html import main_region
 from bindery.functions.markdown import clean_html
 from bindery.operators.combine import (
     SEPARATOR,
@@ -246,7 +245,11 @@ def site_reach_limited(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_region(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", main_region("html").alias("region"))
+    """Region that conversion takes; by page number the main element is article, main, a role or none."""
+    element = F.element_at(F.array(*map(F.lit, ("article", "main", 'div role="main"', "section"))), (F.col("page_id") % 4 + 1).cast("int"))
+    html = F.regexp_replace("html", F.lit("<article>"), F.concat(F.lit("<"), element, F.lit(">")))
+    pages = convert_pages(table(spark, sf, "pages"), "page_id", html)
+    return pages.select(F.col("key").alias("page_id"), "region")
 
 
 @query

@@ -72,22 +72,28 @@ def open_archive(path: str) -> zipfile.ZipFile:
 def read_zip(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """HTML entries of ZIP archives: ``key, rel_path, archive, content, is_text_file, error``.
 
-    Archives are listed first. The entries are then spread over as many tasks as their
-    bytes call for, each seeking to its own entries, so one huge archive is read in
-    parallel. Keys are ``archive!entry``.
+    Archives are listed first. The entries are then spread in stretches of an archive's
+    bytes, each seeking to its own entries, so an archive of normal size is opened once
+    more and a huge one is read in parallel. Keys are ``archive!entry``. An archive that
+    cannot be listed is one row with its error, under its own path and name.
     """
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path")
 
     def list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                with open_archive(path) as z:
-                    found = [
-                        (path, i.filename, i.file_size)
-                        for i in z.infolist()
-                        if i.filename.endswith((".html", ".htm")) and not i.filename.startswith("__MACOSX")
-                    ]
-                yield pd.DataFrame(found, columns=["archive", "name", "n_bytes"])
+                try:
+                    with open_archive(path) as z:
+                        found = [
+                            (path, i.filename, i.file_size, None)
+                            for i in z.infolist()
+                            if i.filename.endswith((".html", ".htm")) and not i.filename.startswith("__MACOSX")
+                        ]
+                except Exception as exc:  # a damaged archive is a failed row
+                    found = [(path, None, 0, f"{type(exc).__name__}: {exc}")]
+                rows = pd.DataFrame(found, columns=["archive", "name", "n_bytes", "error"])
+                rows["stretch"] = rows["n_bytes"].cumsum() // _BYTES_PER_TASK
+                yield rows
 
     def read_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -100,14 +106,17 @@ def read_zip(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                             row = (path, name, None, f"{type(exc).__name__}: {exc}")
                         yield pd.DataFrame([row], columns=["archive", "name", "content", "error"])
 
-    listed = materialize(archives.mapInPandas(list_entries, "archive string, name string, n_bytes long"), "entries")
+    columns = "archive string, name string, n_bytes long, error string, stretch long"
+    listed = materialize(archives.mapInPandas(list_entries, columns), "entries")
     total = listed.agg(F.sum("n_bytes")).first()[0] or 0
     # a fixed count: names are tiny, so sizing tasks by shuffled bytes would leave too few
     n_tasks = max(spark.sparkContext.defaultParallelism, -(-total // _BYTES_PER_TASK))
-    spread = listed.repartition(n_tasks, "archive", "name").sortWithinPartitions("archive", "name")
-    return spread.mapInPandas(read_entries, _ENTRY).select(
+    readable = listed.filter("error is null").repartition(n_tasks, "archive", "stretch")
+    entries = readable.sortWithinPartitions("archive", "name").mapInPandas(read_entries, _ENTRY)
+    broken = listed.filter("error is not null").withColumn("content", F.lit(None).cast("binary"))
+    return entries.unionByName(broken.select("archive", "name", "content", "error")).select(
         F.concat_ws("!", "archive", "name").alias("key"),
-        F.col("name").alias("rel_path"),
+        F.coalesce("name", F.substring_index("archive", "/", -1)).alias("rel_path"),
         "archive",
         "content",
         F.lit(False).alias("is_text_file"),

@@ -28,9 +28,10 @@ def read_page_store(spark, path: str) -> DataFrame:
 
 
 def append_pages(pages: DataFrame, path: str) -> None:
-    """Add pages whose file name is not stored yet."""
+    """Add pages whose file name is not stored yet; of one name the least URL, then the least text, is stored."""
     known = read_page_store(pages.sparkSession, path).select("filename")
-    pages.select("filename", "url", "html").join(known, "filename", "left_anti").write.mode("append").parquet(path)
+    first = pages.groupBy("filename").agg(F.min(F.struct("url", "html")).alias("page"))
+    first.select("filename", "page.url", "page.html").join(known, "filename", "left_anti").write.mode("append").parquet(path)
 
 
 def write_markdown(results: DataFrame, path: str) -> None:

@@ -30,6 +30,22 @@ def urls(rows):
     return [r[0] for r in rows]
 
 
+def test_one_answer_counts_for_a_url(spark):
+    rows = [
+        (ROOT, 200, "text/html", page("a")), (ROOT + "a", 500, None, None), (ROOT + "a", 200, "text/html", page()),
+        (ROOT + "a", 200, "text/html", page()), (ROOT + "b", 404, None, None), (ROOT + "b", 200, "image/png", None),
+    ]
+    log = spark.createDataFrame(rows, LOG)
+    crawl = traverse_site(log, ROOT)
+    assert [tuple(r) for r in crawl.select("url", "outcome").orderBy("visit_seq").collect()] == [
+        (ROOT, "downloaded"), (ROOT + "a", "downloaded"),
+    ]
+    assert new_files(crawl, log).count() == 2
+    asked = spark.createDataFrame([(ROOT + "a", 0), (ROOT + "b", 1)], "url string, visit_seq long")
+    got = fetch_urls(asked, log, ROOT).orderBy("visit_seq").collect()
+    assert [r.outcome for r in got] == ["downloaded", "non_html"]
+
+
 def test_cycle_is_walked_once_in_breadth_first_order(spark):
     site = {
         ROOT: page("a", "b", "https://elsewhere.example/x", "mailto:m@x"),

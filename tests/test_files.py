@@ -9,7 +9,7 @@ from bindery.operators.combine import build_sections, combine
 from bindery.operators.convert import convert_files, converted, failures
 from bindery.operators.report import failure_keys, report_json, select_retry, step_summary, pipeline_summary
 from bindery.sources.files import read_html_dir, read_html_files, read_markdown_dir, read_report, read_zip
-from bindery.sources.sinks import export_files, write_markdown, write_report
+from bindery.sources.sinks import append_pages, export_files, read_page_store, write_markdown, write_report
 from bindery.streaming.incremental import convert_new_files, read_converted
 
 
@@ -51,6 +51,24 @@ def test_retry_list_reports_missing_paths(spark, tmp_path):
     assert [r.key for r in missing.collect()] == [f"{root}/gone.html"]
 
 
+def test_broken_archive_is_a_failed_row(spark, tmp_path):
+    (tmp_path / "bad.zip").write_bytes(b"no archive" * 10)
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
+        z.writestr("a.html", "<p>a")
+    done = {r.md_path: r for r in convert_files(read_zip(spark, str(tmp_path))).collect()}
+    assert (done["a.md"].status, done["a.md"].markdown) == ("ok", "a\n")
+    (bad,) = [r for name, r in done.items() if name != "a.md"]
+    assert bad.status == "failed" and "BadZipFile" in bad.error and bad.key.endswith("bad.zip")
+
+
+def test_page_store_keeps_one_page_a_name(spark, tmp_path):
+    rows = [("f.html", "u2", "x"), ("f.html", "u1", "y"), ("g.html", "u3", "z")]
+    for _ in range(2):
+        append_pages(spark.createDataFrame(rows, "filename string, url string, html string"), str(tmp_path / "store"))
+    got = sorted(tuple(r) for r in read_page_store(spark, str(tmp_path / "store")).collect())
+    assert got == [("f.html", "u1", "y"), ("g.html", "u3", "z")]
+
+
 def test_zip_entries_fail_one_by_one(spark, tmp_path):
     for n in (1, 2):
         with zipfile.ZipFile(tmp_path / f"site{n}.zip", "w") as z:

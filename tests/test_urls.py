@@ -1,9 +1,11 @@
+import time
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
 from bindery.functions import urls as u
-from bindery.functions.html import anchor_hrefs, main_region
+from bindery.functions.html import anchor_hrefs
+from bindery.functions.markdown import balanced, html_to_markdown
 from bindery.operators.links import discover_links
 
 BASES = ["http://h/a/b/c", "https://h.x/", "http://h", "http://h/a/b/?q=1#f", "http://h/a;p?x", "http://h/a//b/../c/d.html"]
@@ -80,6 +82,28 @@ def test_long_tags_and_many_quotes_do_not_exhaust_the_matcher(spark):
     assert df.select(anchor_hrefs("html").alias("h")).first().h == ["end"]
 
 
+BROKEN = ('<a x="', "<a ", "<script ", "<!", "<a '", "<a \"'>'\"", "<title", "<a class" + " " * 50)
+
+
+def test_broken_megabytes_are_read_once(spark):
+    pages = [(i, unit * (1_000_000 // len(unit)) + end) for i, unit in enumerate(BROKEN) for end in ("", ">")]
+    df = spark.createDataFrame(pages, "id int, html string").repartition(8).cache()
+    df.count()
+    began = time.monotonic()
+    df.select(F.sum(F.size(anchor_hrefs("html")))).collect()
+    assert time.monotonic() - began < 20
+    for _, page in pages:
+        began = time.monotonic()
+        balanced(page)
+        assert time.monotonic() - began < 3, page[:20]
+
+
+def test_a_tag_is_one_anchor(spark):
+    html = '<a href=x title="<a href=y>">1</a><a class=z href="w"'
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(anchor_hrefs("html").alias("h")).first().h == ["x", "w"]
+
+
 def test_discovered_links_are_canonical_scoped_and_distinct(spark):
     html = (
         '<a href="/one">1</a><a href="/two?x=1">2</a><a href="https://else.example/o">3</a>'
@@ -97,6 +121,8 @@ def test_main_region_priority(spark):
         '<div class="x" role="main">r</div>': "role",
         "<mainframe>x</mainframe>": "document",
         "<!-- <main> --><p>x": "document",
+        '<div role="Main">x</div>': "document",
+        '<p title="<main >">x<article>y</article>': "article",
     }
     df = spark.createDataFrame(list(cases.items()), "html string, want string")
-    assert df.filter(main_region("html") != F.col("want")).count() == 0
+    assert df.filter(html_to_markdown("html")["region"] != F.col("want")).count() == 0
