@@ -16,10 +16,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bindery.operators.order import ranked, with_ordinal
 from bindery.session import materialize
 
 BLOCK_ROWS_LOG2 = 16
@@ -123,14 +124,10 @@ def next_fit(
     sections = sections.withColumn("n_words", F.col("n_words").cast("long")).withColumn(
         "block", F.shiftright("gid", block_rows_log2)
     )
-    in_order = Window.partitionBy("corpus").orderBy("block")
-    blocks = materialize(
-        sections.select("corpus", "block")
-        .distinct()
-        .withColumn("node", F.row_number().over(in_order).cast("long") - 1)
-        .withColumn("blocks", F.count("*").over(Window.partitionBy("corpus"))),
-        "blocks",
-    )
+    listed = with_ordinal(ranked(sections.select("corpus", "block").distinct(), [F.col("corpus"), F.col("block")], "listed"), "at")
+    spans = listed.groupBy("corpus").agg(F.min("at").alias("first"), F.count("*").alias("blocks"))
+    numbered = listed.join(spans, "corpus").select("corpus", "block", (F.col("at") - F.col("first")).alias("node"), "blocks")
+    blocks = materialize(numbered, "blocks")
     widest = blocks.agg(F.max("blocks")).first()[0] or 0
 
     alone = blocks.filter("blocks = 1") if widest > 1 else blocks

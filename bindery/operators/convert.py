@@ -12,6 +12,7 @@ from bindery.functions.markdown import STRIP_CLASSES, STRIP_TAGS, html_to_markdo
 from bindery.session import materialize
 
 OK, FAILED, DUPLICATE = "ok", "failed", "duplicate"
+SAME_NAME = "another file has the same Markdown name"
 
 
 def convert_pages(
@@ -41,14 +42,12 @@ def convert_files(
     files: DataFrame,
     strip_tags: Sequence[str] = STRIP_TAGS,
     strip_classes: Sequence[str] = STRIP_CLASSES,
-    taken: DataFrame | None = None,
 ) -> DataFrame:
     """Convert a scanned file table ``key, rel_path, content, is_text_file``.
 
     Adds ``md_path``. Where ``x.html`` and ``x.htm`` share a Markdown name the first path
-    wins and the other row is reported as a duplicate, unconverted; so is a file whose
-    name is among the ``taken`` ``md_path`` values. Where the scan has an ``error`` column,
-    its errors stay with their rows.
+    wins and the other row is reported as a duplicate, unconverted. Where the scan has an
+    ``error`` column, its errors stay with their rows.
 
     Duplicates are found from names alone and written out first. They are few, and their
     measured size lets the join with the contents broadcast instead of moving contents.
@@ -56,8 +55,6 @@ def convert_files(
     names = files.select("key", "rel_path", t.markdown_path("rel_path").alias("md_path"))
     first = names.groupBy("md_path").agg(F.min_by("key", t.path_order("rel_path")).alias("owner"), F.count("*").alias("n"))
     lost = names.join(first.filter("n > 1"), "md_path").filter("key <> owner").select("key")
-    if taken is not None:
-        lost = lost.union(names.join(taken.select("md_path"), "md_path", "left_semi").select("key")).distinct()
     lost = materialize(lost, "duplicates").withColumn("lost", F.lit(True))
     marked = files.join(lost, "key", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
     text = t.decode_utf8(F.when(~F.col("lost"), F.col("content")))
@@ -73,7 +70,7 @@ def convert_files(
         "n_bytes",
         "region",
         F.when(F.col("key.lost"), F.lit(DUPLICATE)).otherwise(F.col("status")).alias("status"),
-        F.when(F.col("key.lost"), F.lit("another file has the same Markdown name")).otherwise(F.coalesce("key.error", "error")).alias("error"),
+        F.when(F.col("key.lost"), F.lit(SAME_NAME)).otherwise(F.coalesce("key.error", "error")).alias("error"),
     )
 
 

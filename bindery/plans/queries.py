@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +41,8 @@ from bindery.operators.report import (
 from bindery.operators.traverse import traverse_site
 from bindery.plans.pipeline import markdown_chunks, run_pipeline
 from bindery.session import materialize, scratch_root
-from bindery.sources.files import read_html_dir
-from bindery.sources.sinks import export_files
+from bindery.sources.files import read_html_dir, read_html_files, read_markdown_dir, read_zip
+from bindery.sources.sinks import append_pages, export_files, read_page_store
 from bindery.streaming.incremental import convert_new_files, read_converted
 
 START = "https://blog.tionsh.example.net/es/533/"
@@ -119,6 +122,31 @@ def page_files(spark: SparkSession, pages: DataFrame) -> str:
     return root
 
 
+def page_archives(spark: SparkSession, pages: DataFrame) -> str:
+    """Pages in ZIP archives of a hundred, each page with two entries to be refused; one file is no archive.
+
+    Pages with feed links end in a byte that is not UTF-8.
+    """
+    root = f"{scratch_root(spark)}/zip-{uuid.uuid4().hex}"
+    html = F.encode("html", "UTF-8")
+    damaged = F.when(F.contains("url", F.lit("utm_source=feed")), F.concat(html, F.unhex(F.lit("FF")))).otherwise(html)
+    names = (("p/%d.html", damaged), ("__MACOSX/%d.html", html), ("p/%d.txt", html))
+    parts = F.array(*[F.struct(F.format_string(n, "page_id").alias("entry"), c.alias("content")) for n, c in names])
+    entries = pages.select(F.floor(F.col("page_id") / 100).alias("archive"), F.inline(parts))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for entry, content in zip(group["entry"], group["content"], strict=True):
+                z.writestr(entry, bytes(content))
+        return pd.DataFrame({"name": [f"{group['archive'].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    archives = entries.groupBy("archive").applyInPandas(pack, "name string, content binary")
+    broken = pages.agg(F.lit("broken.zip").alias("name"), F.encode(F.max("url"), "UTF-8").alias("content"))
+    export_files(archives.unionByName(broken), "name", "content", root)
+    return root
+
+
 # ---- URLs and links -----------------------------------------------------------------
 
 
@@ -296,12 +324,62 @@ def html_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def path_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page asked for under the suffix of only some: found files are converted, the others missing."""
+    pages = table(spark, sf, "pages")
+    root = page_files(spark, pages)
+    name = F.format_string("p/%d.html", "page_id")
+    wanted = pages.select(F.concat(F.lit(f"{root}/"), name).alias("key"), name.alias("rel_path"))
+    found, missing = read_html_files(read_html_dir(spark, root), wanted)
+    done = convert_files(found).select(_below_root("key").alias("rel_path"), "status", "markdown")
+    return done.unionByName(missing.select("rel_path", F.lit("missing").alias("status")), allowMissingColumns=True)
+
+
+@query
+def zip_convert(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of archives by name: refused ones are absent, damaged ones and a broken archive failed."""
+    root = page_archives(spark, table(spark, sf, "pages"))
+    entry = F.regexp_extract("key", r"([^/]+\.zip.*)$", 1)
+    return convert_files(read_zip(spark, root)).select(entry.alias("entry"), "status", "markdown")
+
+
+@query
+def strip_inside_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags, drawings, classes and images inside the main region leave no trace."""
+    extra = (
+        '<aside>side</aside><header><h2>top</h2></header><svg><text>drawn</text></svg>'
+        '<div class="Stock x"><p>list</p></div><img src="a.png" alt="seen">'
+    )
+    html = F.replace("html", F.lit("</article>"), F.lit(f"{extra}</article>"))
+    done = convert_pages(table(spark, sf, "pages"), "page_id", html)
+    return done.select(F.col("key").alias("page_id"), "markdown", "n_words", "n_bytes")
+
+
+@query
+def page_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Page store after two runs: https pages first, then all."""
+    path = f"{scratch_root(spark)}/store-{uuid.uuid4().hex}"
+    pages = table(spark, sf, "pages").select(u.url_to_filename("url", F.lit(START)).alias("filename"), "url", "html")
+    append_pages(pages.filter(F.startswith("url", F.lit("https:"))), path)
+    append_pages(pages, path)
+    return read_page_store(spark, path)
+
+
 @query
 def incremental_convert(spark: SparkSession, sf: str) -> DataFrame:
-    """Files written by one job, picked up and converted by a stream."""
-    root = page_files(spark, table(spark, sf, "pages"))
-    convert_new_files(spark, root, f"{root}.md", f"{root}.state")
-    return read_converted(spark, f"{root}.md").select("md_path", "status", "markdown")
+    """Files written by two jobs, picked up by two runs of a stream; late files take over shared names."""
+    pages = table(spark, sf, "pages")
+    root = f"{scratch_root(spark)}/html-{uuid.uuid4().hex}"
+    for suffix, arrived in ((".html", pages), (".htm", pages.filter(F.startswith("url", F.lit("https"))))):
+        name = F.format_string(f"p/%d{suffix}", "page_id")
+        export_files(arrived.select(name.alias("name"), "html"), "name", "html", root)
+        convert_new_files(spark, root, f"{root}.md", f"{root}.state")
+    return read_converted(spark, f"{root}.md").select(_below_root("key").alias("rel_path"), "md_path", "status", "markdown")
+
+
+def _below_root(key: str) -> Column:
+    return F.regexp_extract(key, "(p/[^/]+)$", 1)
 
 
 # ---- text and sections ----------------------------------------------------------------
@@ -394,6 +472,25 @@ def bundle_files(spark: SparkSession, sf: str) -> DataFrame:
     return combine(document_sections(documents, name), max_words=BUDGET, stem="bundle", corpora=corpora)
 
 
+@query
+def bundle_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Bundles written to files under their own names and read back; Spark lists no empty file, so those show by size."""
+    root = f"{scratch_root(spark)}/export-{uuid.uuid4().hex}"
+    named = bundle_files(spark, sf).select(F.concat_ws("/", "corpus", "file_name").alias("name"), "text")
+    written = export_files(named, "name", "text", root)
+    back = written.join(read_markdown_dir(spark, root), "rel_path", "full")
+    return back.select("rel_path", F.when(F.col("n_bytes") == 0, F.lit("")).otherwise(F.col("body")).alias("body"))
+
+
+@query
+def newline_reading(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the line ends of other systems read like their own."""
+    crlf, cr = (F.replace("text", F.lit("\n"), F.lit(end)) for end in ("\r\n", "\r"))
+    return table(spark, sf, "documents").select(
+        "doc_id", t.universal_newlines(crlf).alias("crlf"), t.universal_newlines(cr).alias("cr")
+    )
+
+
 @query
 def joined_word_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Words of each joined corpus for separators that touch, or do not touch, their neighbours."""

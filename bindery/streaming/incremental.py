@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions.markdown import STRIP_CLASSES, STRIP_TAGS
-from bindery.operators.convert import convert_files
+from bindery.functions.text import path_order
+from bindery.operators.convert import DUPLICATE, SAME_NAME, convert_files
 from bindery.sources.files import FILE_SCHEMA, as_html_files
 
+_TEXT = ("markdown", "n_words", "n_bytes", "region")
+
 
 def convert_new_files(
     spark: SparkSession,
@@ -25,8 +28,8 @@ def convert_new_files(
     """Convert everything new below ``root`` into ``output`` and stop.
 
     The file source's checkpoint remembers what was seen. Each micro-batch overwrites its
-    own ``batch`` folder, so a replayed batch after a failure does not duplicate rows. A
-    file whose Markdown name was written by an earlier batch is reported as a duplicate.
+    own ``batch`` folder, so a replayed batch after a failure does not duplicate rows.
+    Names shared across batches are settled by :func:`read_converted`.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -38,10 +41,7 @@ def convert_new_files(
     )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        earlier = read_converted(spark, output)
-        if earlier is not None:
-            earlier = earlier.filter((F.col("batch") < batch_id) & (F.col("status") == "ok")).select("md_path")
-        done = convert_files(as_html_files(batch, root), strip_tags, strip_classes, taken=earlier)
+        done = convert_files(as_html_files(batch, root), strip_tags, strip_classes)
         done.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     (
@@ -54,10 +54,25 @@ def convert_new_files(
 
 
 def read_converted(spark: SparkSession, output: str) -> DataFrame | None:
-    """All rows converted so far with their ``batch``, or None before the first run."""
+    """All rows converted so far with their ``batch``, or None before the first run.
+
+    Of files that share a Markdown name the first path wins whatever batch it came in, so
+    the cut into batches does not show; the others are duplicates without text.
+    """
     try:
-        return spark.read.parquet(output)
+        rows = spark.read.parquet(output)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    claims = rows.filter(F.col("status") != DUPLICATE).groupBy("md_path")
+    owners = claims.agg(F.min_by("key", path_order("key")).alias("_owner"), F.count("*").alias("_n"))
+    # only names claimed in several batches: few, and sized at run time
+    shared = owners.filter("_n > 1").select("md_path", "_owner")
+    marked = rows.join(shared, "md_path", "left").withColumn("_lost", F.col("key") != F.col("_owner"))
+    values = {
+        "status": F.when(F.col("_lost"), F.lit(DUPLICATE)).otherwise(F.col("status")),
+        "error": F.when(F.col("_lost"), F.lit(SAME_NAME)).otherwise(F.col("error")),
+        **{c: F.when(F.coalesce("_lost", F.lit(False)), None).otherwise(F.col(c)) for c in _TEXT},
+    }
+    return marked.select(*[values.get(c, F.col(c)).alias(c) for c in rows.columns])

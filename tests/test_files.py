@@ -157,10 +157,22 @@ def test_stream_converts_only_new_files(spark, tmp_path):
     convert_new_files(spark, str(root), out, state)
     convert_new_files(spark, str(root), out, state)
     rows = sorted((r.md_path, r.status, r.markdown, r.batch) for r in read_converted(spark, out).collect())
-    assert [r[:3] for r in rows if r[1] == "ok"] == [("a.md", "ok", "a\n"), ("c.md", "ok", "c\n"), ("d/b.md", "ok", "b\n")]
-    assert [r[:2] for r in rows if r[1] != "ok"] == [("a.md", "duplicate")]
+    assert [r[:3] for r in rows if r[1] == "ok"] == [("a.md", "ok", "late\n"), ("c.md", "ok", "c\n"), ("d/b.md", "ok", "b\n")]
+    assert [r[:3] for r in rows if r[1] != "ok"] == [("a.md", "duplicate", None)]
     assert {r[3] for r in rows} == {0, 1}
 
 
+def test_batches_do_not_decide_who_keeps_a_name(spark, tmp_path):
+    root = put(tmp_path / "in", {"a.html": "<p>1", "a.htm": "<p>2", "b/x.htm": "<p>3", "b/x.html": "<p>4", "c.html": b"\xff"})
+    found = []
+    for size in (1, 2, 100):
+        out = str(tmp_path / f"out{size}")
+        convert_new_files(spark, root, out, str(tmp_path / f"state{size}"), max_files_per_batch=size)
+        rows = read_converted(spark, out).drop("batch").collect()
+        found.append(sorted((r.key, r.md_path, r.status, r.markdown or "", r.error or "") for r in rows))
+    assert found[0] == found[1] == found[2]
+    assert [r[2] for r in found[0]] == ["ok", "duplicate", "ok", "duplicate", "failed"]
+
+
 def test_path_key_is_posix(spark):
     assert spark.range(1).select(t.posix_path(F.lit("a\\b")).alias("p")).first().p == "a/b"
