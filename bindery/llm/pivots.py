@@ -37,9 +37,13 @@ SPARE = 2
 PIVOTS = 8
 TABLE_PIVOTS = 24
 BLOCK = 4096
+#: Texts of a block when shingle sets are compared.
+TEXTS = 1024
 #: Buckets up to this size are compared in one step.
-SMALL = 64
-RECALL = 0.9
+SMALL = 128
+RECALL = 0.97
+#: Standard deviations beyond the expected distance: the radius that tables are made for, and the farthest candidate.
+BEYOND, FARTHEST = 2, 4
 #: Shingles whose bits are counted at a time.
 CHUNK = 20_000
 
@@ -59,7 +63,10 @@ def _shingle_hashes(text: str, size: int) -> np.ndarray:
 
 def simhash(text: str, size: int, words: int) -> np.ndarray:
     """``words`` 64-bit words; a bit is 1 if set in over half of the shingle hashes (mixed anew for each word)."""
-    hashes = _shingle_hashes(text, size)
+    return _majority(_shingle_hashes(text, size), words)
+
+
+def _majority(hashes: np.ndarray, words: int) -> np.ndarray:
     if not len(hashes):
         return np.zeros(words, np.uint64)
     votes = np.zeros((words, 64), np.int64)
@@ -95,7 +102,7 @@ def tables(radius: int, words: int, n: int, recall: float = RECALL) -> list[np.n
     """Bit masks of the pivot tables.
 
     A radius up to 3 gets every choice of ``SPARE`` out of ``radius + SPARE`` groups of bits: all pairs are found.
-    A wider one gets random bits, so many a table that buckets of unlike fingerprints stay small at ``n`` rows,
+    A wider one gets random bits, so many a table that buckets of unlike fingerprints stay near ``SMALL`` at ``n`` rows,
     and so many tables that a pair just at the radius is found with probability ``recall``.
     """
     bits = 64 * words
@@ -105,8 +112,8 @@ def tables(radius: int, words: int, n: int, recall: float = RECALL) -> list[np.n
         groups = np.array_split(order, radius + SPARE)
         chosen = [np.concatenate(c) for c in itertools.combinations(groups, SPARE)]
     else:
-        k = max(12, math.ceil(math.log2(max(n, 2))) - 4)
-        hit = (1 - radius / bits) ** k
+        k = max(8, math.ceil(math.log2(max(n, 2))) - 6)
+        hit = math.comb(bits - radius, k) / math.comb(bits, k)
         count = math.ceil(math.log(1 - recall) / math.log(1 - hit))
         chosen = [rng.choice(bits, k, replace=False) for _ in range(count)]
     masks = np.zeros((len(chosen), bits), np.uint8)
@@ -143,9 +150,10 @@ def _linked(fps: np.ndarray, far: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def links(distinct: DataFrame, radius: int, words: int) -> DataFrame:
+def links(distinct: DataFrame, radius: int, words: int, reach: int | None = None) -> DataFrame:
     """Edges ``a, b`` that connect the ids of ``distinct(id, fp)`` whose fingerprints lie within the radius.
 
+    With ``reach``, rows that meet in a table made for the radius are linked up to this larger distance.
     Each task reports one edge per row to its group's first row: enough for components, and linear in its rows.
     """
     n = distinct.count()
@@ -174,7 +182,7 @@ def links(distinct: DataFrame, radius: int, words: int) -> DataFrame:
         ids = g["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, fps = ids[order], matrix(g["fp"])[order].view(np.uint64)
-        label = _linked(fps, _distances(fps, general), radius)
+        label = _linked(fps, _distances(fps, general), radius if reach is None else reach)
         first = ids[label]
         at = ids != first
         return {"a": ids[at], "b": first[at]}
@@ -193,20 +201,115 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, words: int
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def radius_for(similarity: float, words: int) -> int:
-    """Expected Hamming distance of equally long shingle sets of this Jaccard similarity."""
-    return int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def radius_for(similarity: float, words: int, beyond: float = 0) -> int:
+    """Expected Hamming distance of equally long shingle sets of this Jaccard similarity.
+
+    ``beyond`` standard deviations are added; sets of unlike length lie closer than that.
+    """
+    bits, p = 64 * words, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + beyond * math.sqrt(bits * p * (1 - p)))
+
+
+def _shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(_shingle_hashes(text or "", size))
+
+
+def set_fingerprints(rows: DataFrame, size: int, words: int) -> DataFrame:
+    """``k1, k2, doc_id, d1, d2, fp`` of ``rows(k1, k2, doc_id, text)``.
+
+    Every shingle votes once, however often it stands in the text, as it counts once for similarity; ``d1, d2`` is a
+    digest of the set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sets = [_shingle_set(t, size) for t in b.column(3).to_pylist()]
+                fps = np.stack([_majority(s, words) for s in sets])
+                ends = np.arange(0, fps.size + 1, words, dtype=np.int32)
+                fp = pa.ListArray.from_arrays(pa.array(ends), pa.array(fps.ravel().view(np.int64)))
+                seeds = (SEED, SEED + 1)
+                d = [np.array([xxhash.xxh64_intdigest(s.tobytes(), x) for s in sets], np.uint64) for x in seeds]
+                digests = [pa.array(x.view(np.int64)) for x in d]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *digests, fp], ["k1", "k2", "doc_id", "d1", "d2", "fp"])
+
+    rows = rows.select("k1", "k2", "doc_id", "text")
+    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, d1 long, d2 long, fp array<long>")
+
+
+def _alike(sets: list[np.ndarray], fps: np.ndarray, similarity: float, reach: int) -> np.ndarray:
+    """A label for each set, equal for sets connected through pairs of this Jaccard similarity or more."""
+    n = parts = len(sets)
+    label, sizes = np.arange(n), np.array([len(s) for s in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    begins = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(flat), bool)
+    for i in range(n - 1):
+        if parts == 1:
+            break
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        other = other[np.minimum(sizes[other], sizes[i]) >= similarity * np.maximum(sizes[other], sizes[i]) - 1e-9]
+        other = other[np.bitwise_count(fps[other] ^ fps[i]).sum(1) <= reach]
+        if not len(other):
+            continue
+        mine = flat[begins[i] : begins[i] + sizes[i]]
+        mark[mine] = True
+        common = np.array([np.count_nonzero(mark[flat[b : b + k]]) for b, k in zip(begins[other], sizes[other])])
+        mark[mine] = False
+        hit = other[common >= similarity * (sizes[other] + sizes[i] - common) - 1e-9]
+        for old in np.unique(label[hit]):
+            if old != label[i]:
+                label[label == old] = label[i]
+                parts -= 1
+    return label
+
+
+def similar(texts: DataFrame, size: int, similarity: float, reach: int) -> DataFrame:
+    """Edges ``a, b`` that connect the ids of ``texts(component, id, fp, text)`` which are similar in a component."""
+
+    def connect(g: dict) -> dict | None:
+        ids = g["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, fps = ids[order], matrix(g["fp"])[order].view(np.uint64)
+        held = g["text"].to_pylist()
+        first = ids[_alike([_shingle_set(held[i], size) for i in order.tolist()], fps, similarity, reach)]
+        at = ids != first
+        return {"a": ids[at], "b": first[at]}
+
+    dealt = in_blocks(texts, ["component"], "id", TEXTS)
+    return map_groups(dealt, ["component", "_i", "_j"], connect, "a long, b long").distinct()
 
 
 def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """All columns of one document of each group of near-duplicates: the one with the smallest doc_id.
 
-    ``words`` times 64 bits make the estimate of similarity sharp, so that unlike documents never meet at any size.
-    Of rows that share the smallest doc_id one stays.
+    Groups are connected through pairs whose shingle sets have this Jaccard similarity or more. Fingerprints of
+    ``words`` times 64 bits only say which pairs are compared: those up to ``FARTHEST`` standard deviations beyond
+    the expected distance that meet in a table. Candidate groups are then compared by their texts, each of which is
+    dealt once a block of its group.
+
+    A row is known by doc_id and text: unlike texts without a doc_id, or under one, each stay, and of rows equal in both
+    one stays. A document without a doc_id stays only where no near-duplicate has one.
     """
-    groups = near_duplicates(docs, size, radius_for(similarity, words), words)
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stays.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # rows of one doc_id: only these few are numbered by content
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    whole = (F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    rows = docs.withColumn("_k1", F.xxhash64(F.lit(1), *whole)).withColumn("_k2", F.xxhash64(F.lit(2), *whole))
+    keyed = rows.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "doc_id", "text")
+    prints = materialize(set_fingerprints(keyed, size, words), "set-fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    units = prints.groupBy("d1", "d2", "fp").agg(F.min(order).alias("first"))
+    units = units.select(F.monotonically_increasing_id().alias("id"), "fp", "first", "first.k1", "first.k2")
+    units = materialize(units, "shingle-sets")
+    reach = radius_for(similarity, words, FARTHEST)
+    met = links(units.select("id", "fp"), radius_for(similarity, words, BEYOND), words, reach)
+    likely = components(met, "pivot-links")
+    members = units.join(likely, units.id == likely.node).select("component", "id", "fp", "k1", "k2")
+    texts = keyed.select("k1", "k2", "text").join(members, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    texts = materialize(texts.select("component", "id", "fp", "text"), "likely-texts")
+    found = components(similar(texts, size, similarity, reach), "near-duplicates")
+    groups = units.join(found, units.id == found.node, "left")
+    groups = groups.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("first").alias("first"))
+    stays = groups.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2"))
+    kept = rows.join(stays, ["_k1", "_k2"], "left_semi")
+    # rows equal in doc_id and text: only these few are numbered
+    first = Window.partitionBy("_k1", "_k2").orderBy(F.to_json(F.struct(*docs.drop("text").columns)))
+    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
