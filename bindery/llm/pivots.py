@@ -194,10 +194,14 @@ def links(distinct: DataFrame, radius: int, words: int, reach: int | None = None
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, words: int = 1) -> DataFrame:
     """``doc_id, fp, component_id`` of every document."""
     prints = materialize(fingerprints(docs, size, words), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
-    found = components(links(distinct.filter("id is not null").select("id", "fp"), radius, words), "pivot-links")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # fingerprints of documents without an id link others, so all are linked by a number of their own
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-fingerprints")
+    found = components(links(distinct.select("id", "fp"), radius, words), "pivot-links")
     labels = distinct.join(found, distinct.id == found.node, "left")
-    labels = labels.select("fp", F.coalesce("component", "id").alias("component_id"))
+    least = labels.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = labels.join(least, "component", "left")
+    labels = labels.select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 

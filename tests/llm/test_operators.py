@@ -303,6 +303,28 @@ def test_keep_first_takes_every_pair_from_the_similarity_on(spark):
     assert want <= set(got) and len(got) - len(want) <= 3 and 300 <= len(want) <= 330
 
 
+def test_keep_first_keeps_unlike_texts_under_one_doc_id(spark):
+    rnd = random.Random(22)
+    text = lambda: " ".join(f"{rnd.getrandbits(40):x}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, c + " x"), (3, d), (3, e), (3, e), (None, None), (None, "")]
+    rows += [(9, "ha " * 400 + a[:400]), (10, "ha " * 400 + b[:400])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 1, "", 0) for i, t in rows], SCHEMA)
+    got = sorted(str((r["doc_id"], (r["text"] or "")[:460])) for r in _all(pivots.keep_first(df)))
+    want = [(None, a), (None, b), (7, c + " x"), (3, d), (3, e), (None, ""), *rows[-2:]]
+    assert got == sorted(str((i, t[:460])) for i, t in want)
+
+
+def test_fingerprints_without_an_id_link_others(spark, monkeypatch):
+    fps = {0: 0, 1: 0b11, 2: 0b1111, 3: 1 << 40, 4: 7 << 50}
+    fake = lambda docs, size, words: spark.createDataFrame(
+        [(5, [fps[0]]), (None, [fps[1]]), (9, [fps[2]]), (None, [fps[4]])], "doc_id long, fp array<long>"
+    )
+    monkeypatch.setattr(pivots, "fingerprints", fake)
+    got = {r["fp"][0]: r["component_id"] for r in _all(pivots.near_duplicates(None))}
+    assert got == {0: 5, 0b11: 5, 0b1111: 5, 7 << 50: None}
+
+
 def test_url_rules(spark, empty):
     urls = ["http://A.Example.NET/en/1?x", "https://x.example.net/de/", "http://example.com/de/a#b", "ftp://x.org/fr/1"]
     urls += [None, "nothing", "http://net", "http://m.cheap-pills.example.org/fr/x", "http://m.free-bets.example.com/en/", "x://y.org?://n.net/a"]
