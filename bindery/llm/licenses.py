@@ -1,10 +1,12 @@
 """Licence scan with a positional rare-token index.
 
 Templates are short licence notices. Their words are weighed by inverse document frequency, counted over the whole
-corpus. For each file the highest-weighted template words it holds are looked up; the postings (template, position)
-of each occurrence vote for where the template would start, so hits that agree in relative position pile up on one
-start. A template is reported where enough of its words stand in place and each of its mandatory key phrases is
-found word for word at its own position. The listed base phrases are searched for exactly, everywhere.
+corpus. Of each template the highest-weighted words of its first mandatory key phrase are looked up; the postings
+(template, position) of each occurrence vote for where the template would start, so hits that agree in relative
+position pile up on one start. The phrase has to be there, so a start that all of these words vote for is verified,
+whatever else the file holds. A template is reported where enough of its words stand in place and each of its mandatory
+key phrases is found word for word at its own position. A template that the file cuts off at its beginning is voted for
+by all of its words. The listed base phrases are searched for exactly, everywhere.
 
 Defined cases: null and empty texts have no words and no labels, score 0; matches overlap freely; equal votes are
 settled by template and position; repeated rows are scanned alike; an empty table gives no rows; other columns are
@@ -45,8 +47,8 @@ TEMPLATES = {
     ),
     "mpl-2": ("subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
 }
-#: Words of a file that are looked up, by weight; a place once voted for is checked over its whole template.
-LOOKED_UP = 12
+#: Words of each template's key phrase that are looked up, by weight; a start that all of them vote for is verified.
+LOOKED_UP = 3
 #: Share of a template's weight that must stand in place.
 MATCH = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,27 +72,38 @@ class _Index:
                 self.postings[word].append((label, at))
         self.weight = {w: math.log1p((n_docs + 1) / (1 + df.get(w, 0))) for w in self.postings}
         self.total = {label: sum(self.weight[w] for w in words) for label, words in self.words.items()}
+        self.places = {
+            label: [next(i for i in range(len(n)) if n[i : i + len(k)] == k) for k in self.keys[label]]
+            for label, n in self.words.items()
+        }
+        self.rare: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        self.needed: dict[str, int] = {}
+        for label, words in self.words.items():
+            first = range(self.places[label][0], self.places[label][0] + len(self.keys[label][0]))
+            chosen = sorted(first, key=lambda i: (-self.weight[words[i]], i))[:LOOKED_UP]
+            self.needed[label] = len(chosen)
+            for at in chosen:
+                self.rare[words[at]].append((label, at))
+        self.longest = max(map(len, self.words.values()))
 
     def scan(self, words: list[str]) -> dict[str, float]:
         """Label and weighted share in place of each verified template."""
-        rare = sorted(set(words) & self.weight.keys(), key=lambda w: (-self.weight[w], w))[:LOOKED_UP]
-        looked_up = set(rare)
         votes: Counter = Counter()
         for at, word in enumerate(words):
-            if word in looked_up:
-                for label, place in self.postings[word]:
-                    votes[label, at - place] += self.weight[word]
+            for label, place in self.rare.get(word, ()):
+                votes[label, at - place] += 1
+        starts = {(label, start) for (label, start), n in votes.items() if start >= 0 and n == self.needed[label]}
+        # cut off at the beginning of the file
+        for at, word in enumerate(words[: self.longest]):
+            starts |= {(label, at - place) for label, place in self.postings.get(word, ()) if place > at}
         found: dict[str, float] = {}
-        for (label, start), got in votes.items():
+        for label, start in starts:
             notice = self.words[label]
-            if got < 0.4 * MATCH * self.total[label]:
-                continue
             span = range(max(0, -start), min(len(notice), len(words) - start))
             inside = sum(self.weight[notice[i]] for i in span if words[start + i] == notice[i])
             if inside >= MATCH * self.total[label] and all(
                 words[start + i : start + i + len(k)] == k
-                for k in self.keys[label]
-                for i in [next(i for i in range(len(notice)) if notice[i : i + len(k)] == k)]
+                for k, i in zip(self.keys[label], self.places[label], strict=True)
                 if start + i >= 0
             ):
                 found[label] = max(found.get(label, 0.0), min(1.0, inside / self.total[label]))

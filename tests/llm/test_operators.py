@@ -238,6 +238,19 @@ def test_license_phrases_and_labels(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_every_notice_of_a_long_file_is_found(spark):
+    notices = [notice for notice, _ in licenses.TEMPLATES.values()]
+    scattered = sorted({w for n in notices for w in n.split()})
+    texts = [" . filler words stand here . ".join(notices)]
+    texts += [" x ".join(scattered) + " x " + n + " x " + " x ".join(reversed(scattered)) for n in notices]
+    texts += [f"permission is hereby granted free of charge {n}" for n in notices] + ["common gnu general public license"] * 90
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in _all(licenses.scan(df))}
+    labels = list(licenses.TEMPLATES)
+    assert got[0] == set(labels)
+    assert all(label in got[1 + i] and label in got[11 + i] for i, label in enumerate(labels))
+
+
 def test_pivot_groups_equal_brute_force(docs):
     got = _all(pivots.near_duplicates(docs))
     want = {}
