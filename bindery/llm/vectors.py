@@ -3,9 +3,10 @@
 Vectors are projected on many random lines. Along each line, sorted, a window around every query vector takes in the
 vectors that collide with it; a pair is verified in double precision when it has collided on so many lines as a pair
 at the threshold does with probability ``RECALL`` (the count is the binomial quantile). Equal vectors are one row
-from the start. A label's vectors are dealt by the signs of ``b`` further projections to cells of bounded size, in so
-many rounds that a pair at the threshold shares a cell with probability ``RECALL``; ``b`` is 0 up to ``CELL``
-vectors a label. Cells are cut in blocks; each pair is counted in the first round that brings it together.
+from the start. Labels of up to ``CELL`` vectors are compared whole, whatever size others have. A larger label's vectors
+are dealt by the signs of ``b`` further projections to cells of bounded size, in so many rounds that a pair at the
+threshold shares a cell with probability ``SHARED``; with the collision count, it is found with ``RECALL`` or more in
+all. Cells are cut in blocks; each pair is counted in the first round that brings it together.
 
 Defined cases: a null label, a null vector, a zero vector and one with a null or non-finite component link with
 nothing, as do vectors of different lengths; rows with a null vec_id are left unlinked; repeated rows count as
@@ -15,6 +16,7 @@ vectors of their own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ from bindery.session import materialize
 THRESHOLD = 0.93
 LINES = 24
 RECALL = 0.99
+#: Probability that a pair at the threshold shares a cell; the collision count of 24 lines reaches 0.9936.
+SHARED = 0.9995
 CELL = 16_384
 BLOCK = 1024
 SEED = 5
@@ -44,12 +48,17 @@ def calibrate(threshold: float, lines: int, recall: float) -> tuple[float, int]:
 
 
 def cells(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Sign bits and rounds for the largest label of ``n`` vectors."""
+    """Sign bits and rounds for a label of ``n`` vectors of one length."""
     bits = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
     together = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, 1 if bits == 0 else math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
+@cache
+def planes(count: int, dim: int) -> np.ndarray:
+    return np.random.default_rng([SEED, 1]).standard_normal((count, dim))
+
+
 def collide(a: np.ndarray, b: np.ndarray, lines: np.ndarray, width: float, least: int) -> np.ndarray:
     """Index pairs (row of a, row of b) whose projections lie within ``width`` on ``least`` lines or more."""
     counts = np.zeros((len(a), len(b)), np.uint8)
@@ -72,24 +81,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     same = ["label", "embedding"]
     distinct = rows.filter("_ok").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     distinct = materialize(distinct.withColumn("dim", F.size("embedding")), "distinct-vectors")
-    largest = distinct.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    bits, rounds = cells(largest, threshold, RECALL)
+    sizes = distinct.groupBy("label", "dim").count().filter(F.col("count") > CELL)
+    # at most one row for each CELL vectors
+    split = {(r["label"], r["dim"]): cells(r["count"], threshold, SHARED) for r in sizes.collect()}
 
     def unit(group: dict) -> tuple[np.ndarray, np.ndarray]:
         x = matrix(group["embedding"]).astype(np.float64)
         return x, x / np.sqrt((x * x).sum(1))[:, None]
 
-    def signs(x: np.ndarray) -> np.ndarray:
-        planes = np.random.default_rng([SEED, 1]).standard_normal((rounds * bits, x.shape[1]))
-        on = (x @ planes.T > 0).reshape(len(x), rounds, bits)
-        return (on * (1 << np.arange(bits))).sum(2)
+    def signs(label: int, vector: list[float]) -> list[int]:
+        if (label, len(vector)) not in split:
+            return [0]
+        bits, rounds = split[label, len(vector)]
+        on = (planes(rounds * bits, len(vector)) @ np.array(vector, np.float64) > 0).reshape(rounds, bits)
+        return (on * (1 << np.arange(bits))).sum(1).tolist()
 
     def codes(batches):
         import pyarrow as pa
 
         for b in batches:
-            values = b.column("embedding").to_pylist()
-            cell = [signs(np.array([v], np.float64))[0].tolist() if bits else [0] for v in values]
+            labels, values = b.column("label").to_pylist(), b.column("embedding").to_pylist()
+            cell = [signs(label, v) for label, v in zip(labels, values, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.list_(pa.int64()))], [*b.schema.names, "cells"])
 
     coded = distinct.mapInArrow(codes, "label int, embedding array<float>, rep long, copies long, dim int, cells array<long>")

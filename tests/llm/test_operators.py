@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -226,6 +227,25 @@ def test_vector_links_equal_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_large_label_takes_no_links_from_small_ones(spark, monkeypatch):
+    width, least = vectors.calibrate(0.93, vectors.LINES, vectors.RECALL)
+    p = 0.6826894921370859
+    counted = sum(math.comb(24, k) * p**k * (1 - p) ** (24 - k) for k in range(least, 25))
+    for n in (vectors.CELL + 1, 1_000_000, 1_000_000_000):
+        bits, rounds = vectors.cells(n, 0.93, vectors.SHARED)
+        assert counted * (1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** rounds) >= vectors.RECALL
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((100, 16))
+    near = [base[i % 100] * 1.0 + 0.28 * rng.standard_normal(16) for i in range(400)]
+    small = [(i, [float(np.float32(x)) for x in v], i % 4 + 1) for i, v in enumerate(near)]
+    large = [(1000 + i, [float(x) for x in rng.standard_normal(16).astype(np.float32)], 0) for i in range(1500)]
+    monkeypatch.setattr(vectors, "CELL", 128)
+    schema = "vec_id long, embedding array<float>, label int"
+    alone = sorted(map(tuple, vectors.near_duplicates(spark.createDataFrame(small, schema)).collect()))
+    beside = vectors.near_duplicates(spark.createDataFrame(small + large, schema)).filter("vec_id < 1000")
+    assert alone == sorted(map(tuple, beside.collect())) and sum(r[1] for r in alone) > 100
+
+
 def test_license_phrases_and_labels(spark, empty):
     texts = ["Released Under the MIT-License; under the mit license!", None, "", "CC BY NC cc by nc by nc", "the mit"]
     texts += ["x This work is licensed under the GNU General Public License, version 3 y", "general public license"]
