@@ -1,4 +1,4 @@
-"""Building blocks shared by the operators: grouped prefix sums, bucket blocks, components."""
+"""Building blocks shared by the operators: text slices, tree folds, grouped prefix sums, bucket blocks, components."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +15,59 @@ from bindery.session import materialize
 
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
+#: Bytes of text that a task holds as Python objects at a time.
+TEXT_SLICE = 4 << 20
+#: States that one task folds into one.
+FAN = 16
 
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column bears it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = TEXT_SLICE) -> Iterator[pa.RecordBatch]:
+    """Views of the batches with about ``limit`` bytes in the column ``text``; a longer text is one by itself.
+
+    A batch of ten thousand documents may hold a gigabyte of text; a worker that looks at a view at a time, and lets
+    go of what it made of it, stays small whatever the batch.
+    """
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def folded(states: DataFrame, merge: Callable[[Iterator[bytes]], bytes], label: str) -> bytes | None:
+    """One state out of ``states(part long, state binary)``, merged ``FAN`` at a time in a tree of written tables.
+
+    A state has a fixed size, so no task holds more than ``FAN`` of them and the driver gets one.
+    """
+
+    def combine(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")
+        state = merge(x.as_py() for x in group["state"])
+        return pa.table({"part": [group["part"][0].as_py() // FAN], "state": pa.array([state], pa.binary())})
+
+    level = materialize(states, label)
+    while level.count() > 1:
+        up = F.floor(F.col("part") / FAN)
+        level = materialize(level.groupBy(up).applyInArrow(combine, "part long, state binary"), label)
+    last = level.first()
+    return None if last is None else bytes(last["state"])
+
+
 def running_sum(df: DataFrame, group: str, order: list, value: str, label: str) -> DataFrame:
     """Add ``before`` (sum of ``value`` over earlier rows of the group) and ``total`` (of the group).
 

@@ -59,6 +59,29 @@ select page_id, host, path, rule, coalesce(v, case when listed_host then 'block'
 from listed
 """
 
+# inner products of whole numbers are exact in double precision
+OP13 = r"""
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [floor(256 * c::double) for c in embedding] as x
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len([c for c in embedding if c is null or not isfinite(c)]) = 0),
+pairs as (
+  select a.r, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+         list_dot_product(a.x, b.x)::bigint as score, b.label, b.r as other
+  from v a join v b on a.vec_id % 50 = 0 and a.r <> b.r and len(a.x) = len(b.x)),
+positives as (
+  select r, anchor_id, vec_id as positive_id, score as positive_score, other from pairs where same
+  qualify row_number() over (partition by r order by score desc, vec_id, other) <= 5),
+fits as (
+  select p.anchor_id, p.positive_id, n.vec_id as negative_id, p.positive_score, n.score as negative_score,
+         row_number() over (partition by p.r, p.other order by n.score desc, n.vec_id, n.label) as rank
+  from positives p join pairs n
+    on p.r = n.r and not n.same and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from fits where rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op10_url_filter": OP10}
+    return {"op1_mix_sources": OP1, "op10_url_filter": OP10, "op13_hard_negatives": OP13}

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import langid, licenses, mixing, packing, pivots, sharding, simhash, suffixes, urlfilter, vectors
+from bindery.llm import (
+    langid,
+    licenses,
+    mixing,
+    negatives,
+    packing,
+    pivots,
+    quality,
+    sharding,
+    simhash,
+    suffixes,
+    urlfilter,
+    vectors,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +94,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened, one row per component."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels of those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.withColumn("held_out", quality.held_out()), model, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh has its label moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
 
@@ -95,4 +128,7 @@ _QUERIES = (
     op8_license_scan,
     op9_simhash_near_dedup,
     op10_url_filter,
+    op11_whitening,
+    op12_quality_classifier,
+    op13_hard_negatives,
 )
