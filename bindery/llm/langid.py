@@ -2,12 +2,13 @@
 
 Each language is a distribution over hashed letter trigrams, counted over training texts. A document's language
 proportions are estimated by expectation-maximisation over its trigrams; the set of languages is chosen by penalised
-likelihood (a further language must raise the log-likelihood by more than ``PENALTY`` times the log of the trigram
-count), and the language of the largest proportion is the prediction.
+likelihood (languages are added in the order of their proportions as long as each raises the log-likelihood by more
+than ``PENALTY`` times the log of the trigram count), and the language of the largest proportion is the prediction.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text when nothing could
 be learned; ties go to the first language in code point order; rows with a null doc_id are never used for training;
-repeated rows are predicted alike; an empty table gives no rows; other columns are ignored.
+repeated rows are predicted alike; an empty table gives no rows; other columns are ignored, and a carried one that bears
+the name of a result is an error unless the results are given other names.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.llm.common import slices
+
 BUCKETS = 1 << 15
 #: Bound on the training sample: about this many documents of each language, taken by hash.
 SAMPLE_DOCS = 2_000
 PENALTY = 4.0
 SMOOTHING = 0.2
-MAX_LANGUAGES = 3
 STEPS = 8
 SLICE = 1 << 20
 
@@ -47,17 +49,18 @@ def _buckets(codes: np.ndarray) -> np.ndarray:
     c = codes.astype(np.uint64)
     h = (c[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F))
     h = (h ^ (c[2:] * np.uint64(0x165667B19E3779F9))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(49)).astype(np.int64)
+    return (h >> np.uint64(49)).astype(np.int32)
 
 
 def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``doc, bucket, count`` of the trigrams of each text, sorted by document; whole texts, slice by slice."""
     keys, n, held = [], [], []
+    kind = np.int32 if len(texts) * BUCKETS < 1 << 31 else np.int64
 
     def close() -> None:
         if held:
             k, c = np.unique(np.concatenate(held), return_counts=True)
-            keys.append(k), n.append(c)
+            keys.append(k), n.append(c.astype(np.int32))
             held.clear()
 
     size = 0
@@ -69,14 +72,14 @@ def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if long is not None:
                 long += np.bincount(b, minlength=BUCKETS)
             else:
-                held.append(b + doc * BUCKETS)
+                held.append(b.astype(kind, copy=False) + kind(doc * BUCKETS))
                 size += len(b)
         if long is not None or size > SLICE:
             close()
             size = 0
         if long is not None:
             at = np.flatnonzero(long)
-            keys.append(at + doc * BUCKETS), n.append(long[at])
+            keys.append((at + doc * BUCKETS).astype(kind)), n.append(long[at])
     close()
     if not keys:
         return (np.zeros(0, np.int64),) * 3
@@ -95,12 +98,16 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], n
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.filter(~held_out()).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    # one number a language; the texts are filtered where they lie
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return [], np.ones((BUCKETS, 1), np.float32) / BUCKETS
+    size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")]
     at = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
-    sample = rows.join(sizes, "lang").filter(at * F.col("_n") < sample_docs * 1_000_000)
+    sample = rows.filter(at * size < sample_docs * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             doc, bucket, n = _counts(texts)
             names = sorted(set(langs))
@@ -151,44 +158,62 @@ def infer(texts: list[str], p: np.ndarray) -> np.ndarray:
         order = np.argsort(-theta, 1, kind="stable")
         cost = PENALTY * np.log(np.add.reduceat(c, starts))
         best, chosen = np.full(m, -np.inf), np.zeros((m, k))
-        for size in range(1, min(k, MAX_LANGUAGES) + 1):
-            few = np.zeros((m, k), np.float32)
-            np.put_along_axis(few, order[:, :size], np.float32(1 / size), 1)
-            few, fit = _em(few, q, local, starts, c, STEPS if size > 1 else 0)
-            value = fit - (size - 1) * cost
-            better = value > best
-            best[better], chosen[better] = value[better], few[better]
+        # documents that still gain from a further language, and their rows
+        live, mine, begin = np.arange(m), slice(None), starts
+        for size in range(1, k + 1):
+            few = np.zeros((len(live), k), np.float32)
+            np.put_along_axis(few, order[live, :size], np.float32(1 / size), 1)
+            here = np.repeat(np.arange(len(live)), np.diff(np.append(begin, len(c[mine]))))
+            few, fit = _em(few, q[mine], here, begin, c[mine], STEPS if size > 1 else 0)
+            value = fit - (size - 1) * cost[live]
+            gains = value > best[live]
+            live = live[gains]
+            if not len(live):
+                break
+            best[live], chosen[live] = value[gains], few[gains]
+            mine = np.isin(local, live)
+            begin = np.searchsorted(local[mine], live)
         out[doc[bounds[at:end]]] = chosen
         at = end
     return out
 
 
-def predict(docs: DataFrame, languages: list[str], p: np.ndarray, carry: list[str]) -> DataFrame:
-    """Columns ``carry`` with ``lang_pred``, ``score`` and ``languages`` (map of language to proportion)."""
+def predict(
+    docs: DataFrame,
+    languages: list[str],
+    p: np.ndarray,
+    carry: list[str],
+    names: tuple[str, str, str] = ("lang_pred", "score", "languages"),
+) -> DataFrame:
+    """Columns ``carry`` with the prediction, its score and the map of language to proportion, under ``names``."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in carry}:
+        raise ValueError(f"carried columns bear names of results: {sorted(clash)}")
     kept = ", ".join(f"`{n}` {t}" for n, t in docs.select(*carry).dtypes)
+    # a text that is carried is read from there
+    asked = [*carry] if "text" in carry else [*carry, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in slices(batches, "text"):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             theta = infer(texts, p) if languages else np.zeros((len(texts), 1))
             top = theta.argmax(1)
             spoken = [
                 bool(languages) and letters[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")].any()
                 for t in texts
             ]
-            names = [languages[i] if ok else "und" for i, ok in zip(top.tolist(), spoken, strict=True)]
+            found = [languages[i] if ok else "und" for i, ok in zip(top.tolist(), spoken, strict=True)]
             score = np.where(spoken, np.clip(theta.max(1), 0, 1), 0.0)
             shares = [
                 [(languages[i], float(row[i])) for i in np.flatnonzero(row)] if ok else []
                 for row, ok in zip(theta, spoken, strict=True)
             ]
-            columns = batch.columns[:-1] + [
-                pa.array(names, pa.string()),
+            columns = batch.columns[: len(carry)] + [
+                pa.array(found, pa.string()),
                 pa.array(score, pa.float64()),
                 pa.array(shares, pa.map_(pa.string(), pa.float64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [*carry, "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays(columns, [*carry, *names])
 
-    rows = docs.select(*carry, F.col("text").alias("_text"))
-    return rows.mapInArrow(run, f"{kept}, lang_pred string, score double, languages map<string, double>")
+    results = f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` map<string, double>"
+    return docs.select(*asked).mapInArrow(run, f"{kept}, {results}")

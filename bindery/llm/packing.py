@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import running_sum
+from bindery.llm.common import running_sum, slices
 from bindery.session import materialize
 
 CAPACITY = 4096
@@ -126,7 +126,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = _Words(tokenizer), np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             rows, blobs = [], []
 
             def packed(rows=rows, blobs=blobs):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import components, in_blocks, map_groups, matrix
+from bindery.llm.common import components, in_blocks, map_groups, matrix, slices
 from bindery.session import materialize
 
 SEED = 42
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, size: int = 3, words: int = 1) -> DataFrame:
     """``doc_id, fp`` (array of ``words`` longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             if b.num_rows:
                 fps = np.stack([simhash(t or "", size, words) for t in b.column(1).to_pylist()])
                 ends = np.arange(0, fps.size + 1, words, dtype=np.int32)
@@ -226,7 +226,7 @@ def set_fingerprints(rows: DataFrame, size: int, words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             if b.num_rows:
                 sets = [_shingle_set(t, size) for t in b.column(3).to_pylist()]
                 fps = np.stack([_majority(s, words) for s in sets])

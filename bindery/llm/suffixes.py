@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery.llm.common import slices
 from bindery.session import materialize
 
 WINDOW = 50
 TRIGGER = 24
 #: Bytes of text per bucket of dictionary entries.
 BUCKET_TEXT = 32 << 20
+#: Bytes of texts whose phrases are combined before they are sent.
+COMBINED = 16 << 20
 #: Bytes of a text parsed at a time.
 STRETCH = 1 << 21
 _PLACE = np.uint64((1 << 22) - 1)
@@ -162,7 +165,8 @@ def _replies(doc: np.ndarray, phrase: np.ndarray, kind: int, buckets: int) -> It
         return
     cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
     for s, e in zip(cuts, [*cuts[1:], len(doc)], strict=True):
-        yield int(doc[s]) % buckets, None, None, None, int(doc[s]), kind, phrase[s:e].tobytes()
+        bucket = int(_mix(doc[s : s + 1].view(np.uint64))[0] % np.uint64(buckets))
+        yield bucket, None, None, None, int(doc[s]), kind, phrase[s:e].tobytes()
 
 
 _BLOCK_COLUMNS = {
@@ -197,7 +201,7 @@ def _settled(rows: DataFrame, gather, buckets: int, whole: bool) -> DataFrame:
     """
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches((r for b in batches for r in _blocks(*gather(b), buckets, whole)), _BLOCK_COLUMNS)
+        yield from _batches((r for b in slices(batches, "text", COMBINED) for r in _blocks(*gather(b), buckets, whole)), _BLOCK_COLUMNS)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, entries = [], []
@@ -336,7 +340,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             rows = []
             for text, whole, repeated in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 data, gone = _spans(text, whole, repeated)
@@ -358,11 +362,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A character goes only when all of its bytes do, so the text stays well formed.
     """
     columns = docs.columns
-    rows = _found(docs.drop("whole", "repeated")).select(*[c for c in columns if c not in ("whole", "repeated")], "whole", "repeated")
-    at = rows.columns.index("text")
+    # columns get plain names on the way, so that the caller's may be called anything
+    plain = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(columns)]
+    rows = _found(docs.toDF(*plain)).select(*plain, "whole", "repeated")
+    at = plain.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             out = []
             for text, *found in zip(*(b.column(n).to_pylist() for n in ("text", "whole", "repeated")), strict=True):
                 data, gone = _spans(text, *found)
@@ -373,9 +379,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     all_gone = np.logical_and.reduceat(gone, np.flatnonzero(lead))
                     text = raw[~all_gone[char]].tobytes().decode("utf-8", "replace")
                 out.append(text)
-            columns = list(b.columns)[:-2]
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-2])
+            kept = list(b.columns)[:-2]
+            kept[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(kept, plain)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("whole", "repeated").dtypes)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*columns)

@@ -131,6 +131,81 @@ def test_language_mixture(spark, empty):
     assert langid.predict(empty, languages, model, ["doc_id"]).count() == 0
 
 
+def _plain_em(counts, p, among, steps=langid.STEPS):
+    """Proportions and log-likelihood of ``{bucket: n}``, one language and one trigram after the other."""
+    theta = {k: 1 / len(among) for k in among}
+    total = sum(counts.values())
+    for _ in range(steps if len(among) > 1 else 0):
+        new = dict.fromkeys(among, 0.0)
+        for b, n in counts.items():
+            whole = sum(theta[k] * p[b, k] for k in among)
+            for k in among:
+                new[k] += n * theta[k] * p[b, k] / whole
+        theta = {k: v / total for k, v in new.items()}
+    return theta, sum(n * math.log(sum(theta[k] * p[b, k] for k in among)) for b, n in counts.items())
+
+
+def test_mixture_inference_against_plain_em():
+    rnd = random.Random(7)
+    syllables = [["the", "ing", "and"], ["ção", "lho", "que"], ["sch", "ung", "ein"], ["eau", "oui", "ais"], ["szy", "prz", "nie"]]
+    make = lambda k, n: " ".join("".join(rnd.choice(syllables[k]) for _ in range(3)) for _ in range(n))
+    p = np.full((langid.BUCKETS, 5), langid.SMOOTHING)
+    for k in range(5):
+        _, bucket, n = langid._counts([make(k, 4000)])
+        p[bucket, k] += n
+    p = (p / p.sum(0)).astype(np.float32)
+    texts = [make(0, 50), " ".join(make(k, 80) for k in range(5)), make(1, 100) + " " + make(3, 40), "", "qq"]
+    texts += [" ".join(make(k, 60) for k in range(4)), make(2, 5)]
+    got = langid.infer(texts, p)
+    for row, text in zip(got, texts, strict=True):
+        codes = langid._codes(" " + text + " ")
+        counts = {}
+        for b in langid._buckets(codes).tolist():
+            counts[b] = counts.get(b, 0) + 1
+        if not counts:
+            assert not row.any()
+            continue
+        theta, _ = _plain_em(counts, p, range(5))
+        order, best, want = sorted(range(5), key=lambda k: -theta[k]), -math.inf, {}
+        for size in range(1, 6):
+            few, fit = _plain_em(counts, p, order[:size])
+            value = fit - (size - 1) * langid.PENALTY * math.log(sum(counts.values()))
+            if value <= best:
+                break
+            best, want = value, few
+        assert np.allclose(row, [want.get(k, 0.0) for k in range(5)], atol=2e-3)
+    # five languages in equal parts give five proportions
+    assert (got[1] > 0.15).all() and (got[0] > 0).sum() == 1 and (got[5] > 0.2).sum() == 4
+
+
+def test_languages_of_a_batch_of_long_texts_stay_small():
+    """What a slice of a batch takes does not grow with the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from bindery.llm.common import slices
+
+    text = "the quick brown fox " * 120
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 10_000})
+    p = np.full((langid.BUCKETS, 4), 1 / langid.BUCKETS, np.float32)
+    tracemalloc.start()
+    for part in slices(iter([batch]), "text"):
+        langid.infer(part.column(0).to_pylist(), p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 20 << 20 and peak < 160 << 20
+
+
+def test_predictions_beside_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "the the the", "en", 5)], "doc_id long, text string, lang string, score int")
+    languages, p = langid.train(docs)
+    with pytest.raises(ValueError):
+        langid.predict(docs, languages, p, docs.columns)
+    got = langid.predict(docs, languages, p, docs.columns, ("pred", "score_", "shares")).first()
+    assert got["score"] == 5 and got["pred"] in ("en", "und")
+
+
 def _gone(rows):
     first = {}
     for i, text in ((r[0], (r[1] or "").encode()) for r in rows):
@@ -157,7 +232,8 @@ def test_repeats_equal_brute_force(docs):
 
 
 def test_remove_repeats_keeps_columns_and_characters(docs):
-    got = _all(suffixes.remove_repeats(docs.drop("whole")))
+    got = _all(suffixes.remove_repeats(docs.withColumn("repeated", docs.doc_id)))
+    assert all(r["whole"] == "x" and r["repeated"] == r["doc_id"] for r in got)
     by_id = {r["doc_id"]: r for r in got}
     assert by_id[43]["text"] == "" and by_id[40]["text"] is None and by_id[None]["text"] == ROWS[5][1]
     assert by_id[0]["text"] == ROWS[0][1] and by_id[0]["shard"] == 7
@@ -177,6 +253,8 @@ def test_shards_are_even_and_gapless(docs):
     assert len(got) == len(ROWS)
     sizes = [sorted(r["slot"] for r in got if r["shard"] == s) for s in range(7)]
     assert all(s == list(range(len(s))) for s in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
+    odd = docs.withColumns({"_order": docs.n_chars, "_pos": docs.lang})
+    assert sharding.shuffle_shards(odd, 7).columns == [*(c for c in odd.columns if c != "shard"), "slot", "shard", "bucket"]
     again = _all(sharding.shuffle_shards(docs.repartition(2), 7, bucket_bytes=4096))
     assert sorted(map(str, got)) == sorted(map(str, again))
 
@@ -268,7 +346,50 @@ def test_every_notice_of_a_long_file_is_found(spark):
     got = {r["doc_id"]: set(r["labels"].split(",")) for r in _all(licenses.scan(df))}
     labels = list(licenses.TEMPLATES)
     assert got[0] == set(labels)
-    assert all(label in got[1 + i] and label in got[11 + i] for i, label in enumerate(labels))
+    assert all(label in got[1 + i] and label in got[1 + len(labels) + i] for i, label in enumerate(labels))
+
+
+def _scanned(words, templates, weight):
+    """Labels by trying every template at every start."""
+    found = {}
+    for label, (notice, keys) in templates.items():
+        n, keys = notice.split(), [k.split() for k in keys]
+        total = sum(weight[w] for w in n)
+        places = [next(i for i in range(len(n)) if n[i : i + len(k)] == k) for k in keys]
+        for start in range(-len(n) + 1, len(words)):
+            inside = sum(weight[w] for i, w in enumerate(n) if 0 <= start + i < len(words) and words[start + i] == w)
+            there = all(words[start + i : start + i + len(k)] == k for k, i in zip(keys, places) if start + i >= 0)
+            if inside >= licenses.MATCH * total and there:
+                found[label] = max(found.get(label, 0), min(1.0, inside / total))
+    return found
+
+
+def test_license_labels_against_every_start_of_every_template(spark):
+    rnd = random.Random(3)
+    notices = list(licenses.TEMPLATES.values())
+    common = [w for n, _ in notices for w in n.split()]
+    texts = ["and use in source and binary forms with or without modification are permitted"]
+    texts += [texts[0] + " under the mit license"]
+    for n, _ in notices:
+        words = n.split()
+        for _ in range(4):
+            some = words[rnd.randrange(len(words) // 2) :] if rnd.random() < 0.5 else words[: rnd.randint(1, len(words))]
+            some = [w if rnd.random() > 0.1 else rnd.choice(common) for w in some]
+            before = [rnd.choice(common) for _ in range(rnd.choice([0, 0, 7]))]
+            texts.append(" ".join([*before, *some, *(rnd.choice(common) for _ in range(10))]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    templates = licenses.TEMPLATES
+    index = licenses._Index(templates, *licenses.document_frequency(df, sorted(set(common))))
+    got = {r["doc_id"]: r for r in _all(licenses.scan(df))}
+    base = [(p.split(), label) for p, label in licenses.BASE.items()]
+    for i, t in enumerate(texts):
+        words = t.split()
+        hits = [(at, label) for p, label in base for at in range(len(words)) if words[at : at + len(p)] == p]
+        want = _scanned(words, templates, index.weight)
+        assert got[i]["labels"] == ",".join(sorted({*want, *(label for _, label in hits)})), t
+        assert got[i]["n_base"] == len(hits)
+        assert got[i]["score"] == pytest.approx(1.0 if hits else max(want.values(), default=0.0))
+    assert got[0]["labels"] == "bsd-3" and got[1]["labels"] == "bsd-3,mit"
 
 
 def test_pivot_groups_equal_brute_force(docs):
