@@ -32,7 +32,10 @@ def shuffle_shards(
     docs: DataFrame, n_shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
     """All columns of ``docs`` with ``bucket``, ``shard`` and ``slot`` (gapless from 0 in each shard)."""
-    docs = docs.drop("bucket", "shard", "slot", "_bucket", "_pos")
+    named = docs.drop("bucket", "shard", "slot")
+    # columns get plain names on the way, so that the caller's may be called anything
+    plain = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(named.columns)]
+    docs = named.toDF(*plain)
     total = docs.agg(F.sum(record_bytes(F.col("text")))).first()[0] or 0
     n_buckets = max(1, -(-int(total) // bucket_bytes))
     salt = F.xxhash64(F.lit(seed), "doc_id", "text")
@@ -57,7 +60,7 @@ def shuffle_shards(
     placed = written.join(offsets, "_bucket").withColumn("_shard", shard)
     placed = placed.withColumn("slot", F.col("_before") + F.col("_pos") - first)
     placed = placed.withColumn("shard", F.col("_shard").cast("int")).withColumn("bucket", F.col("_bucket"))
-    return placed.drop("_bucket", "_pos", "_before", "_total", "_shard")
+    return placed.select(*plain, "slot", "shard", "bucket").toDF(*named.columns, "slot", "shard", "bucket")
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
