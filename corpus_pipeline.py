@@ -4,7 +4,10 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which :func:
 as the next stage's ``docs``. All but the last keep the columns of ``documents``. A stage sees only what the stage
 before it kept.
 
-Nulls, empty texts and repeated rows pass through as each operator defines; an empty table stays empty.
+Nulls, empty texts and repeated rows pass through as each operator defines: a null text, or one without a letter, is
+rejected by the first stage, a repeated row by the second; a document cut to nothing stays, empty, until the last stage,
+where it is its end token; documents without an id are kept, never cut, and packed with a null id; an empty table stays
+empty. Further columns of the documents are carried up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.llm import langid, mixing, packing, pivots, suffixes
+from bindery.llm.common import fresh
 from bindery.session import materialize
 
 #: A document whose largest language holds less than this share is no text of any learned language.
@@ -28,8 +32,10 @@ def _sized(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a language: no letter, or no language with half of the text."""
     languages, model = langid.train(docs)
-    rows = langid.predict(docs, languages, model, docs.columns)
-    known = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)
+    # results under names that no column of the documents has
+    names = tuple(fresh(n, docs.columns) for n in ("lang_pred", "score", "languages"))
+    rows = langid.predict(docs, languages, model, docs.columns, names)
+    known = (F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SHARE)
     # with nothing to learn from, nothing can be rejected but texts without a letter
     kept = rows.filter(known) if languages else docs.filter(F.col("text").rlike(r"\p{L}"))
     return kept.select(*docs.columns)
