@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions import text as t
@@ -13,6 +15,8 @@ from bindery.session import materialize
 # Default separator and word limit of one bundle.
 SEPARATOR = "\n\n---\n\n"
 MAX_WORDS = 500_000
+#: Characters of a text that stand in one row when bundles are written piece by piece.
+PIECE_CHARS = 4 << 20
 
 
 def build_sections(
@@ -53,9 +57,13 @@ def seam_flags(section: Column, separator: str = SEPARATOR) -> Column:
 
 
 def corpus_words(
-    sections: DataFrame, order: Column, separator: str = SEPARATOR, seam: str | None = None
+    sections: DataFrame,
+    order: Column,
+    separator: str = SEPARATOR,
+    seam: str | None = None,
+    by: tuple[str, ...] = ("corpus",),
 ) -> DataFrame:
-    """``corpus, total_words`` of the joined text, without joining it.
+    """``corpus, total_words`` of the joined text, without joining it; ``by`` names other groups to join.
 
     Tokens that touch across a seam count once. With white space at both ends of the
     separator (the default) nothing can touch and the sum is exact as it stands. ``seam``
@@ -76,7 +84,7 @@ def corpus_words(
             lone_lead = F.when(~F.min_by(filled, order) & (n > 1), F.lit(int(tail))).otherwise(F.lit(0))
             total = total - int(tail) * (F.sum(starts) - F.min_by(starts, order))
             total = total - int(head) * (F.sum(before) - F.max_by(before, order) - lone_lead)
-    return sections.groupBy("corpus").agg(total.cast("long").alias("total_words"))
+    return sections.groupBy(*by).agg(total.cast("long").alias("total_words"))
 
 
 def assign_chunks(
@@ -168,3 +176,98 @@ def combine(
             zero.alias("n_sections"),
         )
     )
+
+
+class Pieces(NamedTuple):
+    """Bundles of any size: ``files(rel_path, corpus, chunk_no, n_words, n_sections, n_bytes)`` and what stands where
+    in them, ``pieces(rel_path, offset, text)``, by byte offset."""
+
+    files: DataFrame
+    pieces: DataFrame
+
+
+def bundle_pieces(
+    sections: DataFrame,
+    order: list[Column] | None = None,
+    *,
+    separator: str = SEPARATOR,
+    max_words: int = MAX_WORDS,
+    stem: str = "combined",
+    suffix: str = ".md",
+    corpora: DataFrame | None = None,
+    piece_chars: int = PIECE_CHARS,
+    **tuning,
+) -> Pieces:
+    """The bundles of :func:`combine` without a row that holds one: every section knows its place in its file.
+
+    Places are running sums of byte lengths over numbers alone; texts are joined to their places and cut to
+    ``piece_chars``, so a bundle may outgrow a row (the word limit bounds words, not the bytes of a text without
+    blanks). ``files`` has each file's words, sections and bytes; paths are ``corpus/file name``.
+    """
+    edges = [seam_flags(F.col("section"), separator).alias("seam"), F.octet_length("section").cast("long").alias("n_bytes")]
+    placed = _placed(sections.select("corpus", "rel_path", "n_words", *edges), order, "seam", "n_bytes")
+    totals = corpus_words(placed, F.col("gid"), separator, seam="seam")
+    over = materialize(totals.filter(F.col("total_words") > max_words).select("corpus"), "over")
+    split = next_fit(
+        placed.select("corpus", "rel_path", "gid", "n_words").join(over, "corpus", "left_semi"),
+        max_words,
+        separator_words(separator),
+        **tuning,
+    )
+    numbers = split.select("corpus", "gid", "chunk_no")
+    name = F.when(F.col("chunk_no").isNull(), F.lit(stem + suffix)).otherwise(
+        t.chunk_file_name(F.lit(stem), "chunk_no", F.lit(suffix))
+    )
+    named = placed.join(numbers, ["corpus", "gid"], "left").withColumn("rel_path_in", F.col("rel_path"))
+    named = materialize(named.withColumn("rel_path", F.concat_ws("/", "corpus", name)), "named")
+
+    sep_bytes = len(separator.encode())
+    in_file = Window.partitionBy("rel_path").orderBy("gid")
+    before = F.sum(F.col("n_bytes") + sep_bytes).over(in_file.rowsBetween(Window.unboundedPreceding, -1))
+    first, last = F.lag("gid").over(in_file).isNull(), F.lead("gid").over(in_file).isNull()
+    places = named.select(
+        "corpus",
+        "rel_path_in",
+        "rel_path",
+        F.when(first, F.lit(0)).otherwise(before - sep_bytes).cast("long").alias("offset"),
+        first.alias("first"),
+        last.alias("last"),
+    )
+    once = F.when(F.count("*") == 1, F.max(F.struct("rel_path", "offset", "first", "last"))).otherwise(
+        F.raise_error(F.concat(F.lit("repeated path: "), F.col("rel_path_in"))).cast(
+            "struct<rel_path string, offset bigint, first boolean, last boolean>"
+        )
+    )
+    places = places.groupBy("corpus", "rel_path_in").agg(once.alias("at"))
+    texts = sections.select("corpus", F.col("rel_path").alias("rel_path_in"), "section").join(places, ["corpus", "rel_path_in"])
+    whole = F.concat(
+        F.when(F.col("at.first"), F.lit("")).otherwise(F.lit(separator)),
+        "section",
+        F.when(F.col("at.last"), F.lit("\n")).otherwise(F.lit("")),
+    )
+    texts = texts.select("at.rel_path", "at.offset", whole.alias("text"))
+    cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.char_length("text"), F.lit(1)) - 1) / piece_chars).cast("int"))
+    cut = texts.select("rel_path", "offset", "text", F.explode(cuts).alias("nth"))
+    start = F.col("nth") * piece_chars
+    ahead = F.when(F.col("nth") == 0, F.lit(0)).otherwise(F.octet_length(F.substring("text", F.lit(1), start)))
+    pieces = cut.select(
+        "rel_path", (F.col("offset") + ahead).alias("offset"), F.substring("text", start + 1, F.lit(piece_chars)).alias("text")
+    )
+
+    words = corpus_words(named, F.col("gid"), separator, seam="seam", by=("rel_path",))
+    n = F.count("*")
+    sizes = named.groupBy("rel_path").agg(
+        F.first("corpus").alias("corpus"),
+        F.coalesce(F.first("chunk_no"), F.lit(1)).cast("long").alias("chunk_no"),
+        n.alias("n_sections"),
+        (F.sum("n_bytes") + (n - 1) * sep_bytes + 1).alias("n_bytes"),
+    )
+    columns = ["rel_path", "corpus", "chunk_no", F.col("total_words").alias("n_words"), "n_sections", "n_bytes"]
+    files = sizes.join(words, "rel_path").select(*columns)
+    if corpora is not None:
+        empty = corpora.select("corpus").distinct().join(files.select("corpus"), "corpus", "left_anti")
+        zero = F.lit(0).cast("long")
+        none = [zero.alias(c) for c in ("n_words", "n_sections", "n_bytes")]
+        path = F.concat_ws("/", "corpus", F.lit(stem + suffix)).alias("rel_path")
+        files = files.unionByName(empty.select(path, "corpus", F.lit(1).cast("long").alias("chunk_no"), *none))
+    return Pieces(materialize(files, "bundle-files"), pieces)

@@ -38,3 +38,18 @@ def with_ordinal(r: DataFrame, name: str, id_col: str = "gid") -> DataFrame:
         .withColumn(name, F.col("_before") + local)
         .drop("_part", "_before", id_col)
     )
+
+
+def prefix_sums(r: DataFrame, value: str, name: str, id_col: str = "gid") -> DataFrame:
+    """Add to a :func:`ranked` table the sum of ``value`` over all earlier rows.
+
+    Each range adds up its own rows; only one sum per range goes through a window of all.
+    """
+    ranged = r.withColumn("_part", F.shiftright(id_col, _ROW_BITS))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    # one row per range: bounded by the cluster, not the data
+    offsets = F.broadcast(sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")))
+    here = Window.partitionBy("_part").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn(name, F.coalesce(F.sum(value).over(here), F.lit(0)))
+    return within.join(offsets, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions import text as t
@@ -72,6 +72,23 @@ def step_result(
     )
 
 
+def step_row(spark: SparkSession, step_name: str, output_path: str, elapsed_seconds: float | None = None, **counts: int) -> DataFrame:
+    """A step result from counts that are known already; the word map is empty (see :func:`report_lines`)."""
+    numbers = ("file_count", "total_bytes", *_COUNTERS)
+    if unknown := set(counts) - set(numbers):
+        raise TypeError(f"no such counts: {sorted(unknown)}")
+    given = {c: F.lit(counts.get(c) or 0).cast("bigint").alias(c) for c in numbers}
+    return spark.range(1).select(
+        F.lit(step_name).alias("step_name"),
+        given["file_count"],
+        given["total_bytes"],
+        F.coalesce(t.round_tenth(F.lit(elapsed_seconds).cast("double")), F.lit(0.0)).alias("elapsed_seconds"),
+        t.posix_path(F.lit(output_path)).alias("output_path"),
+        *[given[c] for c in _COUNTERS],
+        F.from_json(F.lit("{}"), "map<string,bigint>").alias("output_word_counts"),
+    )
+
+
 def step_summary(step: Column | None = None) -> Column:
     """One readable line per step; ``step`` is a struct, default the row's own columns."""
     get = F.col if step is None else step.getField

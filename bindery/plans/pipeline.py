@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Sequence
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions.markdown import STRIP_TAGS
 from bindery.operators.combine import MAX_WORDS, SEPARATOR, build_sections, combine
-from bindery.operators.convert import convert_files, convert_pages, failures
-from bindery.operators.fetch import FAILED, crawl_counters, fetch_urls, new_files
-from bindery.operators.report import COMBINE_STEP, CONVERT_STEP, CRAWL_STEP, pipeline_report, step_result
-from bindery.operators.traverse import MAX_PAGES, traverse_site
+from bindery.operators.convert import convert_pages
+from bindery.operators.fetch import CACHED, DOWNLOADED, new_files
+from bindery.operators.report import COMBINE_STEP, pipeline_report, report_lines, step_row
+from bindery.operators.report_document import write_report_document
+from bindery.operators.traverse import MAX_PAGES
+from bindery.plans.steps import convert_table, crawl_step, observed
 from bindery.session import materialize
 
+
 class Run(NamedTuple):
     crawl: DataFrame
     pages: DataFrame
@@ -22,7 +28,12 @@ class Run(NamedTuple):
     bundles: DataFrame
     crawl_failures: DataFrame
     convert_failures: DataFrame
+    #: The report as one row, for as long as it fits one; nothing is computed unless it is read.
     report: DataFrame
+    #: The same report as rows of any number, see :func:`report_lines`.
+    lines: DataFrame
+    #: Writes the report to the file of the path given, as :func:`write_report_document` does.
+    write_report: Callable[[str], None]
 
 
 def run_pipeline(
@@ -38,6 +49,7 @@ def run_pipeline(
     separator: str = SEPARATOR,
     add_source_header: bool = True,
     max_words: int = MAX_WORDS,
+    strip_tags: Sequence[str] = STRIP_TAGS,
     corpus: str = "combined",
     command: str = "",
 ) -> Run:
@@ -49,26 +61,18 @@ def run_pipeline(
     """
     spark = fetch_log.sparkSession
     began = time.monotonic()
-    if retry_crawl is None:
-        crawl = traverse_site(fetch_log, start_url, url_prefix, max_pages, cached)
-    else:
-        nth = F.col("ordinal").cast("long") if "ordinal" in retry_crawl.columns else F.monotonically_increasing_id()
-        wanted = materialize(retry_crawl.select(F.col("key").alias("url"), nth.alias("visit_seq")), "retry")
-        crawl = fetch_urls(wanted, fetch_log, start_url, cached)
-    crawl = materialize(crawl, "crawl")
+    crawled = crawl_step(
+        fetch_log, start_url, retry=retry_crawl, url_prefix=url_prefix, max_pages=max_pages, cached=cached
+    )
+    crawl = crawled.result
     pages = new_files(crawl, fetch_log).select("filename", "url", "html")
     if cached is not None:
         pages = pages.unionByName(cached.select("filename", "url", "html"))
     pages = materialize(pages.withColumn("n_bytes", F.octet_length("html").cast("long")), "pages")
-    kept = crawl.filter(F.col("outcome").isin("cached", "downloaded")).join(
-        pages.select("filename", "n_bytes"), "filename", "left"
-    )
-    counters = crawl_counters(crawl)
-    crawl_step = step_result(kept, CRAWL_STEP, "html", elapsed_seconds=time.monotonic() - began, counters=counters)
 
-    started = time.monotonic()
     targets, missing = pages, None
     if retry_convert is not None:
+        kept = crawl.filter(F.col("outcome").isin(CACHED, DOWNLOADED))
         asked = retry_convert.select("key").unionByName(kept.select(F.col("filename").alias("key"))).distinct()
         targets = pages.join(asked.select(F.col("key").alias("filename")), "filename", "left_semi")
         missing = asked.join(pages.select(F.col("filename").alias("key")), "key", "left_anti")
@@ -78,18 +82,9 @@ def run_pipeline(
         F.encode("html", "UTF-8").alias("content"),
         F.lit(True).alias("is_text_file"),
     )
-    results = materialize(convert_files(files), "markdown")
-    failed = failures(results)
-    if missing is not None:
-        failed = failed.unionByName(missing.select("key", F.lit("not found").alias("error")))
-    good = results.filter(F.col("status") == "ok").select("md_path", "markdown", "n_bytes")
-    convert_step = step_result(
-        good,
-        CONVERT_STEP,
-        "md",
-        elapsed_seconds=time.monotonic() - started,
-        counters=failed.agg(F.count("*").alias("failure_count")),
-    )
+    converted = convert_table(files, missing=missing, strip_tags=strip_tags)
+    failed = converted.failures
+    good = converted.result.filter(F.col("status") == "ok").select("md_path", "markdown", "n_bytes")
 
     started = time.monotonic()
     texts = good.select("md_path", "markdown")
@@ -97,27 +92,28 @@ def run_pipeline(
         texts = texts.unionByName(markdown.select("md_path", "markdown").join(good.select("md_path"), "md_path", "left_anti"))
     sections = build_sections(texts, F.lit(corpus), F.col("md_path"), F.col("markdown"), add_source_header)
     corpora = spark.range(1).select(F.lit(corpus).alias("corpus"))
-    bundles = materialize(
-        combine(sections, separator=separator, max_words=max_words, stem=corpus, corpora=corpora), "bundles"
-    )
-    combine_step = step_result(
-        bundles,
-        COMBINE_STEP,
-        f"{corpus}.md",
-        n_bytes=F.octet_length("text"),
-        elapsed_seconds=time.monotonic() - started,
-        word_counts=("file_name", "n_words"),
+    bundles, n = observed(
+        combine(sections, separator=separator, max_words=max_words, stem=corpus, corpora=corpora),
+        "bundles",
+        file_count=F.count("*"),
+        total_bytes=F.sum(F.octet_length("text")),
     )
+    joined = step_row(spark, COMBINE_STEP, f"{corpus}.md", time.monotonic() - started, **n)
 
-    crawl_failed = crawl.filter(F.col("outcome") == FAILED).select(F.col("url").alias("key"))
-    report = pipeline_report(
-        [crawl_step, convert_step, combine_step],
-        time.monotonic() - began,
-        crawl_failed,
-        failed.select("key"),
-        command,
-    )
-    return Run(crawl, pages, texts, bundles, crawl_failed, failed, report)
+    steps = [crawled.row, converted.row, joined]
+    crawl_failed = crawled.failures.select("key")
+    seconds = time.monotonic() - began
+    words = bundles.select(F.col("file_name").alias("key"), "n_words")
+    listed = {"crawl": crawl_failed, "convert": failed.select("key")}
+    lines = report_lines(steps, {COMBINE_STEP: words}, listed)
+    mapped = words.agg(F.map_from_entries(F.collect_list(F.struct("key", "n_words"))).alias("output_word_counts"))
+    whole = [crawled.row, converted.row, joined.drop("output_word_counts").join(mapped)]
+    report = pipeline_report(whole, seconds, crawl_failed, failed.select("key"), command)
+    document = partial(
+        write_report_document, steps=steps, words={COMBINE_STEP: words}, failures=listed,
+        total_elapsed_seconds=seconds, command=command,
+    )
+    return Run(crawl, pages, texts, bundles, crawl_failed, failed, report, lines, document)
 
 
 def markdown_chunks(

@@ -30,6 +30,7 @@ from bindery.operators.report import (
     COMBINE_STEP,
     CRAWL_STEP,
     failure_keys,
+    line_failures,
     parse_report,
     pipeline_report,
     pipeline_summary,
@@ -38,8 +39,10 @@ from bindery.operators.report import (
     step_result,
     step_summary,
 )
+from bindery.operators.report_document import read_report_document, write_report_document
 from bindery.operators.traverse import traverse_site
 from bindery.plans.pipeline import markdown_chunks, run_pipeline
+from bindery.plans.steps import combine_step, convert_step, crawl_step
 from bindery.session import materialize, scratch_root
 from bindery.sources.files import read_html_dir, read_html_files, read_markdown_dir, read_zip
 from bindery.sources.sinks import append_pages, export_files, read_page_store
@@ -122,12 +125,12 @@ def page_files(spark: SparkSession, pages: DataFrame) -> str:
     return root
 
 
-def page_archives(spark: SparkSession, pages: DataFrame) -> str:
+def page_archives(spark: SparkSession, pages: DataFrame, root: str | None = None) -> str:
     """Pages in ZIP archives of a hundred, each page with two entries to be refused; one file is no archive.
 
     Pages with feed links end in a byte that is not UTF-8.
     """
-    root = f"{scratch_root(spark)}/zip-{uuid.uuid4().hex}"
+    root = root or f"{scratch_root(spark)}/zip-{uuid.uuid4().hex}"
     html = F.encode("html", "UTF-8")
     damaged = F.when(F.contains("url", F.lit("utm_source=feed")), F.concat(html, F.unhex(F.lit("FF")))).otherwise(html)
     names = (("p/%d.html", damaged), ("__MACOSX/%d.html", html), ("p/%d.txt", html))
@@ -482,6 +485,39 @@ def bundle_export(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("rel_path", F.when(F.col("n_bytes") == 0, F.lit("")).otherwise(F.col("body")).alias("body"))
 
 
+@query
+def empty_file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of zero bytes among others: a page becomes an empty line, a Markdown file a section of its header."""
+    pages, documents = table(spark, sf, "pages"), table(spark, sf, "documents")
+    emptied = F.when(F.startswith("url", F.lit("https")), F.col("html")).otherwise(F.lit(""))
+    read = read_html_dir(spark, page_files(spark, pages.withColumn("html", emptied)))
+    done = convert_files(read).select(_below_root("key").alias("name"), "status", F.col("markdown").alias("text"))
+    root = f"{scratch_root(spark)}/md-{uuid.uuid4().hex}"
+    body = F.when(F.col("lang") == "de", F.lit("")).otherwise(F.col("text"))
+    export_files(documents.select(document_path().alias("name"), body.alias("body")), "name", "body", root)
+    files = read_markdown_dir(spark, root)
+    sections = build_sections(files, F.lit("docs"), F.col("rel_path"), F.col("body"))
+    return done.unionByName(sections.select(F.col("rel_path").alias("name"), F.lit("section").alias("status"), F.col("section").alias("text")))
+
+
+@query
+def bundle_pieces_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Bundles written piece by piece, most of them larger than a piece, and read back; every fiftieth text has no blank.
+
+    A first export with more chunks leaves no file behind.
+    """
+    documents = table(spark, sf, "documents")
+    name = F.concat_ws("-", "lang", "source")
+    solid = F.when(F.col("doc_id") % 50 == 0, F.regexp_replace("text", r"\s+", "")).otherwise(F.col("text"))
+    sections = build_sections(documents, name, document_path(), solid)
+    corpora = documents.select(name.alias("corpus")).union(documents.select("source")).distinct()
+    root = f"{scratch_root(spark)}/export-{uuid.uuid4().hex}"
+    for words in (BUDGET // 5, BUDGET):
+        step = combine_step(sections, root, max_words=words, stem="bundle", corpora=corpora, piece_chars=5_000)
+    back = read_markdown_dir(spark, root).select("rel_path", "body")
+    return back.join(step.result.select("rel_path", "n_words", "n_sections", "n_bytes"), "rel_path", "full")
+
+
 @query
 def newline_reading(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with the line ends of other systems read like their own."""
@@ -582,6 +618,81 @@ def retry_selection(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _written_report(spark: SparkSession, sf: str, convert_failures: DataFrame | None = None) -> str:
+    """A report file of two steps with every word count and failure."""
+    crawl, joined = _steps(spark, sf)
+    outcomes = materialize(fetch_outcomes(spark, sf), "outcomes")
+    failed = {"crawl": outcomes.filter("outcome = 'failed'").select(F.col("url").alias("key"))}
+    if convert_failures is not None:
+        failed["convert"] = convert_failures
+    words = joined.select(F.explode("output_word_counts").alias("key", "n_words"))
+    path = f"{scratch_root(spark)}/report-{uuid.uuid4().hex}/report.json"
+    write_report_document(path, [crawl, joined], {COMBINE_STEP: words}, failed, 47.75, "pipeline")
+    return path
+
+
+@query
+def report_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every step, word count and failure of a report file that no row or task holds whole."""
+    report, lines = read_report_document(spark, _written_report(spark, sf))
+    return lines.select(
+        "kind",
+        "step_name",
+        "key",
+        "n_words",
+        F.get_json_object("step", "$.file_count").cast("long").alias("file_count"),
+        F.lit(report["command"]).alias("command"),
+        F.lit(report["total_elapsed_seconds"]).cast("double").alias("total_seconds"),
+    )
+
+
+@query
+def retry_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures of both kinds from a report file: URLs against a later fetch, archive entries against mended archives."""
+    pages = table(spark, sf, "pages")
+    root = page_archives(spark, pages)
+    first = convert_step(spark, zip_paths=root)
+    _, lines = read_report_document(spark, _written_report(spark, sf, first.failures))
+    answered = fetch_log(pages).filter(F.startswith("url", F.lit("https:"))).select("url")
+    again, missing = select_retry(answered, line_failures(lines, "crawl"), "url")
+    crawled = again.select("key", F.lit("again").alias("action")).union(missing.select("key", F.lit("missing").alias("action")))
+    # pages are whole now, but for a page that is in no archive any more
+    mended = pages.withColumn("url", F.regexp_replace("url", "utm_source=feed", "x")).filter("page_id % 9 <> 0")
+    page_archives(spark, mended, root)
+    second = convert_step(spark, zip_paths=root, retry=line_failures(lines, "convert"))
+    entry = F.regexp_extract("key", r"([^/]+\.zip.*)$", 1).alias("key")
+    done = second.result.select(entry, F.concat(F.lit("convert "), F.col("status")).alias("action"))
+    gone = second.failures.filter("error = 'not found'").select(entry, F.lit("convert missing").alias("action"))
+    return crawled.unionByName(done).unionByName(gone)
+
+
+@query
+def step_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of three steps run one by one, and the command, as their report file gives them back."""
+    pages = table(spark, sf, "pages")
+    asked = pages.select(F.col("url").alias("key"), F.col("page_id").alias("ordinal"))
+    cache = page_cache(pages)
+    steps = [crawl_step(fetch_log(pages), START, "out\\html", retry=asked, cached=cache)]
+    markdown = f"{scratch_root(spark)}/markdown-{uuid.uuid4().hex}"
+    steps.append(convert_step(spark, zip_paths=page_archives(spark, pages), output="out/md", table=markdown))
+    texts = spark.read.parquet(markdown)
+    sections = build_sections(texts, F.lit("pages"), F.col("md_path"), F.col("markdown"))
+    steps.append(combine_step(sections, f"{scratch_root(spark)}/joined-{uuid.uuid4().hex}", max_words=BUDGET))
+    path = f"{scratch_root(spark)}/report-{uuid.uuid4().hex}/report.json"
+    words = steps[2].result.select(F.col("rel_path").alias("key"), "n_words")
+    failed = {"crawl": steps[0].failures, "convert": steps[1].failures}
+    write_report_document(path, [s.row for s in steps], {COMBINE_STEP: words}, failed, command="pipeline out")
+    report, lines = read_report_document(spark, path)
+    number = lambda f: F.get_json_object("step", f"$.{f}").cast("long").alias(f)
+    counts = ("file_count", "total_bytes", "skipped_count", "downloaded_count", "failure_count")
+    rows = lines.filter("kind = '1 step'").select(
+        "step_name", *map(number, counts), F.get_json_object("step", "$.output_path").alias("output_path")
+    )
+    listed = lines.filter("kind <> '1 step'").groupBy("kind").agg(F.count("*").alias("file_count"))
+    listed = listed.select(F.col("kind").alias("step_name"), "file_count")
+    return rows.unionByName(listed, allowMissingColumns=True).withColumn("command", F.lit(report["command"]))
+
+
 @query
 def site_run(spark: SparkSession, sf: str) -> DataFrame:
     """Traverse, convert and combine the document site in one run."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,21 +13,13 @@ from pyspark.sql import functions as F
 from bindery.functions import text as t
 from bindery.operators.report import parse_report
 from bindery.session import materialize
+from bindery.sources.storage import SCHEME_RE, relative_to, unseen_files
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-_SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
 _BYTES_PER_TASK = 128 << 20
 _ENTRY = "archive string, name string, content binary, error string"
 
 
-def relative_to(path: Column, root: str) -> Column:
-    """Path below ``root``; scheme and authority do not take part."""
-    if not re.match(_SCHEME_RE, root):
-        root = os.path.abspath(root)
-    base = re.sub(_SCHEME_RE, "", root).rstrip("/") + "/"
-    return F.substring(F.regexp_replace(path, _SCHEME_RE, ""), len(base) + 1, 1 << 30)
-
-
 def as_html_files(files: DataFrame, root: str) -> DataFrame:
     """``key, rel_path, content, is_text_file`` from a binary-file table (batch or stream)."""
     return files.select(
@@ -39,10 +30,18 @@ def as_html_files(files: DataFrame, root: str) -> DataFrame:
     )
 
 
-def read_html_dir(spark: SparkSession, root: str) -> DataFrame:
-    """All ``*.html`` and ``*.htm`` below ``root`` (case-sensitive); none is an empty table."""
+def _all_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """``path, content`` of every file below ``root``: Spark's scan and what it passes over."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return as_html_files(reader.option("pathGlobFilter", "*.{html,htm}").load(root), root)
+    names = "{" + ",".join(f"*{s}" for s in suffixes) + "}"
+    # hidden names come from the listing alone
+    seen = reader.option("pathGlobFilter", names).load(root).select("path", "content")
+    return seen.unionByName(unseen_files(spark, root, suffixes))
+
+
+def read_html_dir(spark: SparkSession, root: str) -> DataFrame:
+    """All ``*.html`` and ``*.htm`` below ``root`` (case-sensitive), empty ones too; none is an empty table."""
+    return as_html_files(_all_files(spark, root, (".html", ".htm")), root)
 
 
 def read_html_files(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +50,7 @@ def read_html_files(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Dat
     Paths match whether or not they carry a ``file:`` scheme.
     """
     def bare(c: str) -> Column:
-        return F.regexp_replace(F.col(c), _SCHEME_RE, "")
+        return F.regexp_replace(F.col(c), SCHEME_RE, "")
 
     keyed, asked = files.withColumn("_bare", bare("key")), wanted.withColumn("_bare", bare("key"))
     found = keyed.join(asked.select("_bare").distinct(), "_bare", "left_semi").drop("_bare")
@@ -64,20 +63,34 @@ def open_archive(path: str) -> zipfile.ZipFile:
     from pyarrow import fs
 
     if re.match(r"^(file:|/)", path):
-        return zipfile.ZipFile(fs.LocalFileSystem().open_input_file(re.sub(_SCHEME_RE, "", path)))
+        return zipfile.ZipFile(fs.LocalFileSystem().open_input_file(re.sub(SCHEME_RE, "", path)))
     system, inner = fs.FileSystem.from_uri(path)
     return zipfile.ZipFile(system.open_input_file(inner))
 
 
-def read_zip(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+#: An archive's own path, and the entry that a key names in it, if any.
+_ZIP_KEY = r"(?s)^(.*?\.zip)(?:!(.*))?$"
+
+
+def is_zip_key(key: Column) -> Column:
+    return key.rlike(_ZIP_KEY)
+
+
+def read_zip(spark: SparkSession, paths: str | list[str], wanted: DataFrame | None = None) -> DataFrame:
     """HTML entries of ZIP archives: ``key, rel_path, archive, content, is_text_file, error``.
 
+    With ``wanted(key)``, keys of an earlier read, only these entries (or, where a key is an archive's, all of its
+    entries) are read, and only archives that hold any are opened.
+
     Archives are listed first. The entries are then spread in stretches of an archive's
     bytes, each seeking to its own entries, so an archive of normal size is opened once
     more and a huge one is read in parallel. Keys are ``archive!entry``. An archive that
     cannot be listed is one row with its error, under its own path and name.
     """
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(paths).select("path")
+    if wanted is not None:
+        asked = wanted.select(F.regexp_extract("key", _ZIP_KEY, 1).alias("path"), "key").distinct()
+        archives = archives.join(asked.select("path"), "path", "left_semi")
 
     def list_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,7 +120,13 @@ def read_zip(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                         yield pd.DataFrame([row], columns=["archive", "name", "content", "error"])
 
     columns = "archive string, name string, n_bytes long, error string, stretch long"
-    listed = materialize(archives.mapInPandas(list_entries, columns), "entries")
+    listed = archives.mapInPandas(list_entries, columns)
+    if wanted is not None:
+        of_entry = listed.withColumn("key", F.concat_ws("!", "archive", "name"))
+        whole = of_entry.join(asked.select(F.col("path").alias("archive"), F.col("key").alias("_key")).filter("archive = _key"), "archive", "left_semi")
+        single = of_entry.join(asked.select("key"), "key", "left_semi")
+        listed = whole.unionByName(single).distinct().select(*listed.columns)
+    listed = materialize(listed, "entries")
     total = listed.agg(F.sum("n_bytes")).first()[0] or 0
     # a fixed count: names are tiny, so sizing tasks by shuffled bytes would leave too few
     n_tasks = max(spark.sparkContext.defaultParallelism, -(-total // _BYTES_PER_TASK))
@@ -125,11 +144,9 @@ def read_zip(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_markdown_dir(spark: SparkSession, root: str) -> DataFrame:
-    """``rel_path, body, status`` of all ``*.md`` below ``root``."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = reader.option("pathGlobFilter", "*.md").load(root)
+    """``rel_path, body, status`` of all ``*.md`` below ``root``, empty ones too."""
     body = t.universal_newlines(t.decode_utf8("content"))
-    return files.select(
+    return _all_files(spark, root, (".md",)).select(
         relative_to(F.col("path"), root).alias("rel_path"),
         body.alias("body"),
         F.when(body.isNull(), F.lit("failed")).otherwise(F.lit("ok")).alias("status"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -11,9 +10,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery.operators.combine import Pieces
 from bindery.operators.report import report_json
 from bindery.session import materialize
+from bindery.sources.storage import delete_files, storage, write_pieces
 
+_MANIFESTS, _MANIFEST = "_manifests", "corpus string, rel_path string"
 PAGE_STORE = "filename string, url string, html string"
 
 
@@ -54,6 +56,41 @@ def write_bundles(chunks: DataFrame, path: str) -> None:
     )
 
 
+def read_manifest(spark, root: str) -> DataFrame:
+    """``corpus, rel_path`` of all files that the current generation below ``root`` consists of."""
+    system, base, _ = storage(root)
+    try:
+        with system.open_input_stream(f"{base}/{_MANIFESTS}/current") as pointer:
+            generation = pointer.read().decode()
+    except FileNotFoundError:
+        return spark.createDataFrame([], _MANIFEST)
+    return spark.read.schema(_MANIFEST).parquet(f"{root}/{_MANIFESTS}/{generation}")
+
+
+def export_bundles(bundles: Pieces, root: str) -> DataFrame:
+    """Write bundles to files below ``root`` as a new generation of their corpora; returns ``rel_path, n_bytes``.
+
+    A manifest lists the files of every corpus. It is switched at once, when all files stand; files that the old one
+    lists for an exported corpus and the new one does not (``-003`` of what has two chunks now, a plain name of what is
+    split now) are removed after that. Other files below ``root`` are left alone.
+    """
+    spark = bundles.files.sparkSession
+    done = write_pieces(bundles.files, bundles.pieces, root)
+    now = bundles.files.select("corpus", "rel_path")
+    old = materialize(read_manifest(spark, root), "old-manifest")
+    exported = now.select("corpus").distinct()
+    generation = uuid.uuid4().hex
+    old.join(exported, "corpus", "left_anti").unionByName(now).write.parquet(f"{root}/{_MANIFESTS}/{generation}")
+    system, base, _ = storage(root)
+    part = f"{base}/{_MANIFESTS}/.current.{generation}"
+    with system.open_output_stream(part) as pointer:
+        pointer.write(generation.encode())
+    system.move(part, f"{base}/{_MANIFESTS}/current")
+    stale = old.join(exported, "corpus", "left_semi").join(now, "rel_path", "left_anti")
+    delete_files(stale, root)
+    return done
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """One pretty-printed JSON document; the writer adds the final newline."""
     report.select(F.rtrim(report_json(), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
@@ -72,12 +109,7 @@ def export_files(df: DataFrame, rel_path: str, text: str, root: str) -> DataFram
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        if re.match(r"^(file:|/)", root):
-            system, base = fs.LocalFileSystem(), re.sub(r"^file:(//)?", "", root)
-        else:
-            system, base = fs.FileSystem.from_uri(root)
+        system, base, _ = storage(root)
         for batch in batches:
             sizes = []
             for name, content in zip(batch["rel_path"], batch["text"], strict=True):
