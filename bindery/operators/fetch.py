@@ -42,7 +42,17 @@ def _rank(response: Column) -> Column:
 def classify(
     requests: DataFrame, site: DataFrame, stored: DataFrame, filename: Column, order: str = "visit_seq"
 ) -> DataFrame:
-    """Outcome of each request ``(url, <order>, …)`` plus its ``filename`` and ``owner``.
+    """Outcome of each request ``(url, <order>, …)`` plus its ``filename`` and ``owner``; see :func:`owned`."""
+    named = (
+        requests.withColumn("filename", filename)
+        .join(site.select("url", "response"), "url", "left")
+        .withColumn("response", F.coalesce("response", F.lit(FAILED)))
+    )
+    return owned(named, stored, order)
+
+
+def owned(named: DataFrame, stored: DataFrame | None, order: str) -> DataFrame:
+    """``outcome`` and ``owner`` of answered requests ``(url, <order>, filename, response, …)``.
 
     ``stored(filename, owner)`` are files that exist already. Requests run in ``order``,
     so the first successful one claims its file name and later ones of the same name are
@@ -52,19 +62,18 @@ def classify(
     no other operator on its key, so a name shared by a third of all URLs is split at run
     time like any skewed join.
     """
-    answers = site.select("url", "response")
-    named = (
-        requests.withColumn("filename", filename)
-        .join(answers, "url", "left")
-        .withColumn("response", F.coalesce("response", F.lit(FAILED)))
-    )
     claims = named.filter(F.col("response") == DOWNLOADED).select(
         "filename", F.col(order).alias("seq"), F.col("url").alias("claimant")
     )
-    kept = stored.select("filename", F.col("owner").alias("stored_owner"))
+    claims = claims.withColumn("stored_owner", F.lit(None).cast("string"))
+    if stored is not None:
+        # of all stored files only those asked for now
+        kept = stored.join(named.select("filename").distinct(), "filename", "left_semi")
+        claims = claims.unionByName(
+            kept.select("filename", F.col("owner").alias("stored_owner")), allowMissingColumns=True
+        )
     owners = (
-        claims.unionByName(kept, allowMissingColumns=True)
-        .groupBy("filename")
+        claims.groupBy("filename")
         .agg(
             F.min("seq").alias("claim_seq"),
             F.min_by("claimant", "seq").alias("claimant"),

@@ -47,9 +47,10 @@ def document_pieces(
     spark = steps[0].sparkSession
     words, failures = words or {}, failures or {}
     parts: list[DataFrame] = []
+    frame: list[tuple[int, str, str]] = []
 
     def fixed(place: int, text: str) -> None:
-        parts.append(spark.range(1).select(F.lit(place), F.lit(""), F.lit(text)))
+        frame.append((place, "", text))
 
     # the places of lists and of what closes them, by number; entries are preceded by what parts them
     lists: dict[int, str] = {}
@@ -79,6 +80,7 @@ def document_pieces(
         fixed(at + 2, "")
     fixed(end + 30, f',\n  "command": {json.dumps(command, ensure_ascii=False)}\n}}\n')
 
+    parts.append(spark.createDataFrame(frame, "place int, key string, text string").coalesce(1))
     rows = reduce(DataFrame.unionAll, parts).toDF("place", "key", "text")
     rows = ranked(rows, [F.col("place"), F.col("key")], "report")
     # one row for each list: a few per step

@@ -271,6 +271,25 @@ def site_reach_limited(spark: SparkSession, sf: str) -> DataFrame:
     return traverse_site(site, "https://docs.example/d/0", max_pages=50).select("url", "visit_seq", "depth")
 
 
+def linked_site(pages: DataFrame) -> DataFrame:
+    """A site that answers every link of ``pages`` with one of them, whole; which one, the link's letters say."""
+    root = "https://site.example"
+    found = discover_links(pages.withColumn("url", F.lit(f"{root}/")), f"{root}/", keep=["page_id"])
+    urls = found.select("url").distinct()
+    word = F.substring("url", F.lit(len(root) + 2), F.length("url"))
+    letters = F.ascii(word) * 131 + F.ascii(F.reverse(word)) * 17 + F.length(word) * 7
+    chosen = urls.withColumn("page_id", (letters % pages.count()).cast("long"))
+    answered = chosen.join(pages.select("page_id", "html"), "page_id")
+    return answered.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.col("html").alias("body"))
+
+
+@query
+def page_site_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything within reach over the pages' own links and bodies."""
+    reached = traverse_site(linked_site(table(spark, sf, "pages")), "https://site.example/the", max_pages=1 << 40)
+    return reached.select("url", "depth", "outcome")
+
+
 # ---- conversion -----------------------------------------------------------------------
 
 

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its executor.
-    """
+    """Folder named by ``spark.checkpoint.dir``, or else one below the warehouse, which all executors share too."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="bindery-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    spark.sparkContext.setCheckpointDir(f"{warehouse}/bindery-scratch")
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -34,3 +27,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a bucket of a bucketed table.
+BUCKET_ROWS = 200_000
+
+
+def materialize_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """:func:`materialize` in buckets by ``key``: joins on it do not move the table, however often it is joined.
+
+    The table is first written as it comes, so that its size can set the number of buckets.
+    """
+    spark = df.sparkSession
+    written = materialize(df, label)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-written.count() // BUCKET_ROWS))
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}"
+    written.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)

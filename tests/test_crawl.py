@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bindery.operators.fetch import classify, crawl_counters, fetch_urls, new_files, site_table
-from bindery.operators.traverse import traverse_site
+from bindery.operators.traverse import Runs, traverse_site
 from bindery.sources.sinks import append_pages, read_page_store
 
 LOG = "url string, status int, content_type string, body string"
@@ -157,3 +157,32 @@ def test_hot_file_name_is_joined_without_a_window(spark):
     assert crawl_counters(done).first().downloaded_count == 1
     assert done.select("owner").distinct().first().owner == "https://h0.example/"
     assert "Window" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_tables_after_many_levels(spark):
+    runs = Runs("visited")
+    for i in range(70):
+        runs.add(spark.range(i, i + 1))
+    assert sum(map(len, runs.tiers)) <= 9
+    assert sorted(r.id for r in runs.rows().collect()) == list(range(70))
+
+
+def test_a_chain_of_levels_and_names_stored_along_it(spark):
+    site = {ROOT: page("1", "1?again")} | {f"{ROOT}{i}": page(str(i + 1), "1") for i in range(1, 12)}
+    rows = walk(spark, site)
+    assert [r[1] for r in rows] == list(range(12)) + [12] and rows[-1][2] == "failed"
+
+
+def test_a_large_level_does_not_move_the_site(spark):
+    from bindery.session import materialize_bucketed
+
+    site = materialize_bucketed(spark.range(1000).select(F.col("id").cast("string").alias("url"), F.lit("x").alias("response")), "site", "url")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = spark.range(50).select(F.col("id").cast("string").alias("url")).join(site, "url", "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.filter("response = 'x'").count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
