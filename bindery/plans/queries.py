@@ -18,6 +18,7 @@ from bindery.operators.combine import (
     SEPARATOR,
     assign_chunks,
     build_sections,
+    bundle_pieces,
     combine,
     corpus_words,
     gather_chunks,
@@ -578,28 +579,37 @@ def format_bytes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _steps(spark: SparkSession, sf: str) -> list[DataFrame]:
-    pages = table(spark, sf, "pages")
+def _steps(spark: SparkSession, sf: str) -> tuple[list[DataFrame], DataFrame]:
+    """Two step results, and the outcomes that the first one counts."""
+    outcomes = materialize(fetch_outcomes(spark, sf), "outcomes")
     crawl = step_result(
-        pages, CRAWL_STEP, "out\\html", n_bytes=F.octet_length("html"), elapsed_seconds=45.25, counters=crawl_counts(spark, sf)
+        table(spark, sf, "pages"),
+        CRAWL_STEP,
+        "out\\html",
+        n_bytes=F.octet_length("html"),
+        elapsed_seconds=45.25,
+        counters=crawl_counters(outcomes),
     )
+    # names, words and bytes of the bundles, without their texts
     sections = document_sections(table(spark, sf, "documents"), F.col("lang"))
-    bundles = materialize(combine(sections, max_words=BUDGET), "bundles").select(
-        F.concat_ws("/", "corpus", "file_name").alias("name"), "text", "n_words"
-    )
-    joined = step_result(bundles, COMBINE_STEP, "out/c.md", n_bytes=F.octet_length("text"), word_counts=("name", "n_words"))
-    return [crawl, joined]
+    files = bundle_pieces(sections, max_words=BUDGET).files
+    joined = step_result(files, COMBINE_STEP, "out/c.md", word_counts=("rel_path", "n_words"))
+    return [crawl, joined], outcomes
+
+
+def _failed(outcomes: DataFrame) -> DataFrame:
+    return outcomes.filter("outcome = 'failed'").select(F.col("url").alias("key"))
 
 
 @query
 def step_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    first, second = _steps(spark, sf)
+    (first, second), _ = _steps(spark, sf)
     return first.union(second).select("step_name", step_summary().alias("summary"))
 
 
 def _report(spark: SparkSession, sf: str) -> DataFrame:
-    failed = fetch_outcomes(spark, sf).filter("outcome = 'failed'").select(F.col("url").alias("key"))
-    return pipeline_report(_steps(spark, sf), 47.75, crawl_failures=failed, command="pipeline")
+    steps, outcomes = _steps(spark, sf)
+    return pipeline_report(steps, 47.75, crawl_failures=_failed(outcomes), command="pipeline")
 
 
 @query
@@ -639,9 +649,8 @@ def retry_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 def _written_report(spark: SparkSession, sf: str, convert_failures: DataFrame | None = None) -> str:
     """A report file of two steps with every word count and failure."""
-    crawl, joined = _steps(spark, sf)
-    outcomes = materialize(fetch_outcomes(spark, sf), "outcomes")
-    failed = {"crawl": outcomes.filter("outcome = 'failed'").select(F.col("url").alias("key"))}
+    (crawl, joined), outcomes = _steps(spark, sf)
+    failed = {"crawl": _failed(outcomes)}
     if convert_failures is not None:
         failed["convert"] = convert_failures
     words = joined.select(F.explode("output_word_counts").alias("key", "n_words"))
