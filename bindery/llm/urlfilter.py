@@ -6,8 +6,11 @@ level 0 lets through; level 2 the listed keys that level 1 lets through; and so
 through. A key belongs to the list if the first level to refuse it is an odd one. Over the universe this is exact,
 and pages are judged by bit tests alone, without a join.
 
-The filters grow with the list that the caller gives (about ``BITS`` bits a key), not with the corpus; a level over
-``MAX_BITS`` raises an error that says so, and such a list has to be split.
+Keys are dealt by hash to parts of about ``PART_KEYS`` keys of the universe, each a cascade of its own that one task
+builds; hashes of distinct keys cannot be skewed. The filters hold some ``BITS`` bits a listed key, more where the
+universe outweighs the list so far that the levels behind would grow with it. They are sent to all tasks while they
+fit ``SENT_BYTES``; beyond that the pages' keys go to the filter of their part instead, hot parts salted, with the
+same result.
 
 Defined cases: a URL that is null or has no ``://`` has empty host and path and fits no rule; a path counts only up
 to ``?`` or ``#``; of equally long fitting rules the one with the longer host wins; repeated pages are judged alike;
@@ -16,7 +19,9 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +35,15 @@ from bindery.session import materialize
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Host labels whose hosts the method lists for blocking.
 BLOCKED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-BITS = 12
+#: Bits of a filter per key that it encodes, at least and at most.
+BITS, MOST_BITS = 12, 48
 HASHES = 4
-MAX_BITS = 1 << 26
+#: Keys of the universe in a part.
+PART_KEYS = 1 << 18
+#: Filters of up to this size in all are sent to every task.
+SENT_BYTES = 32 << 20
+#: Keys of pages that one task looks up in a part, once filters are not sent.
+TASK_KEYS = 4_000_000
 
 
 def host(url: Column) -> Column:
@@ -57,77 +68,171 @@ def keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when(F.length(host) > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
-def _places(hashes: np.ndarray, bits: int, level: int) -> np.ndarray:
+class Level(NamedTuple):
+    """One level of all parts: the words of part p are ``words[begin[p]:begin[p + 1]]``; without words all are refused."""
+
+    begin: np.ndarray
+    words: np.ndarray
+
+
+def part_of(h: Column, parts: int) -> Column:
+    return F.shiftrightunsigned(h, 40) % F.lit(parts)
+
+
+def _places(hashes: np.ndarray, bits: np.ndarray | int, level: int) -> np.ndarray:
     """``HASHES`` bit numbers per key, by double hashing of (key hash, level)."""
     x = hashes.astype(np.uint64) ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     step = (x >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(x + np.uint64(i) * step) % np.uint64(bits) for i in range(HASHES)]).astype(np.int64)
+    bits = np.asarray(bits, np.uint64)
+    return np.stack([(x + np.uint64(i) * step) % bits for i in range(HASHES)]).astype(np.int64)
 
 
-def _passes(hashes: np.ndarray, level: int, words: np.ndarray) -> np.ndarray:
-    at = _places(hashes, len(words) * 64, level)
-    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(0)
+def _passes(hashes: np.ndarray, number: int, level: Level) -> np.ndarray:
+    if not len(level.words):
+        return np.zeros(len(hashes), bool)
+    part = ((hashes.astype(np.uint64) >> np.uint64(40)) % np.uint64(len(level.begin) - 1)).astype(np.int64)
+    begin = level.begin[part]
+    bits = (level.begin[part + 1] - begin) * 64
+    at = _places(hashes, np.maximum(bits, 1), number)
+    words = level.words[np.minimum(begin + (at >> 6), len(level.words) - 1)]
+    return ((words >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(0) & (bits > 0)
 
 
-def member(hashes: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """Whether each key is listed: the first level to refuse it is an odd one, or none is."""
+def member(hashes: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """Whether each key is listed: the first level to refuse it is an odd one, or none is and their number is odd."""
     alive, listed = np.ones(len(hashes), bool), np.zeros(len(hashes), bool)
-    for level, words in enumerate(levels):
-        ok = _passes(hashes, level, words)
-        listed |= alive & ~ok & (level % 2 == 1)
+    for number, level in enumerate(levels):
+        ok = _passes(hashes, number, level)
+        listed |= alive & ~ok & (number % 2 == 1)
         alive &= ok
     return listed | (alive & (len(levels) % 2 == 1))
 
 
-def _encode(rows: DataFrame, level: int) -> np.ndarray | None:
-    """Bits of one level over ``rows(h)``: set per task, merged word by word with bitwise or."""
-    n = rows.count()
-    if not n:
-        return None
-    bits = max(64, -(-n * BITS // 64) * 64)
-    if bits > MAX_BITS:
-        raise ValueError(f"level {level} needs {bits} bits for {n} keys; the bound is {MAX_BITS}: split the list")
+def _one(words: np.ndarray) -> Level:
+    return Level(np.array([0, len(words)]), words)
+
+
+def _bits(coded: int, other: int) -> int:
+    """Size of a filter of ``coded`` keys that lets through no more than about as many of ``other`` keys."""
+    share = min(0.5, coded / max(other, 1)) ** (1 / HASHES)
+    a_key = min(MOST_BITS, max(BITS, -HASHES / math.log1p(-share)))
+    return max(64, math.ceil(coded * a_key / 64) * 64)
+
+
+def _levels(hashes: np.ndarray, listed: np.ndarray) -> list[np.ndarray]:
+    """Filters of one part: listed keys, unlisted ones that pass, listed ones that pass those, and so on."""
+    coded, other, out = hashes[listed], hashes[~listed], []
+    while len(coded):
+        words = np.zeros(_bits(len(coded), len(other)) // 64, np.uint64)
+        at = _places(coded, len(words) * 64, len(out)).ravel()
+        np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        coded, other = other[_passes(other, len(out), _one(words))], coded
+        out.append(words)
+    return out
+
+
+def filters(universe: DataFrame, listed: DataFrame, part_keys: int = PART_KEYS) -> tuple[DataFrame, int]:
+    """``part, level, words`` that tell ``listed(h)`` from the rest of ``universe(h)`` exactly, and the number of parts."""
+    both = universe.select("h", F.lit(False).alias("listed")).unionByName(listed.select("h", F.lit(True).alias("listed")))
+    keys_ = materialize(both.groupBy("h").agg(F.max("listed").alias("listed")), "url-universe")
+    parts = max(1, -(-keys_.count() // part_keys))
+
+    def build(group: pa.Table) -> pa.Table:
+        h = group["h"].to_numpy()
+        found = _levels(h, group["listed"].to_numpy())
+        columns = {
+            "part": pa.array([group["part"][0].as_py()] * len(found), pa.int64()),
+            "level": pa.array(range(len(found)), pa.int32()),
+            "words": pa.array([w.tobytes() for w in found], pa.binary()),
+        }
+        return pa.table(columns)
+
+    dealt = keys_.withColumn("part", part_of(F.col("h"), parts))
+    return materialize(dealt.groupBy("part").applyInArrow(build, "part long, level int, words binary"), "filters"), parts
+
+
+def gathered(made: DataFrame, parts: int) -> list[Level]:
+    """The filters of all parts as levels; the caller has seen to their size."""
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for r in made.collect():
+        found.setdefault(r["level"], {})[r["part"]] = np.frombuffer(r["words"], np.uint64)
+    out = []
+    for number in range(len(found)):
+        words = [found[number].get(p, np.zeros(0, np.uint64)) for p in range(parts)]
+        out.append(Level(np.cumsum([0] + [len(w) for w in words]), np.concatenate(words)))
+    return out
+
+
+def cascade(universe: DataFrame, listed: DataFrame, part_keys: int = PART_KEYS) -> list[Level]:
+    """Levels that tell ``listed(h)`` from the rest of ``universe(h)`` exactly, for lists that the driver can hold."""
+    return gathered(*filters(universe, listed, part_keys))
+
+
+def _found_here(keyed: DataFrame, levels: list[Level]) -> DataFrame:
+    """``found``, the listed ones of each row's keys, with the filters at hand in every task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(bits // 64, np.uint64)
         for b in batches:
-            at = _places(b.column(0).to_numpy(), bits, level).ravel()
-            np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], ["at", "word"])
-
-    found = rows.select("h").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    out = np.zeros(bits // 64, np.uint64)
-    for r in found.collect():  # at most MAX_BITS / 64 words
-        out[r["at"]] = np.int64(r["word"]).view(np.uint64)
-    return out
+            flat = b.column("_h").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = member(flat, levels)
+            ends = np.cumsum(b.column("_h").value_lengths().to_numpy(zero_copy_only=False))
+            offsets = np.append(0, np.cumsum(hit))[np.append(0, ends)].astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), b.column("_keys").flatten().filter(pa.array(hit)))
+            columns = [b.column(c) for c in ("page_id", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*columns, found], ["page_id", "host", "path", "found"])
 
+    kind = keyed.schema["page_id"].dataType.simpleString()
+    return keyed.mapInArrow(run, f"page_id {kind}, host string, path string, found array<string>")
 
-def cascade(universe: DataFrame, listed: DataFrame) -> list[np.ndarray]:
-    """Levels that tell ``listed(h)`` from the rest of ``universe(h)`` exactly."""
 
-    def passing(rows: DataFrame, level: int, words: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(_passes(b.column(0).to_numpy(), level, words)))
+def _found_in_parts(keyed: DataFrame, made: DataFrame, parts: int, task_keys: int) -> DataFrame:
+    """:func:`_found_here` with every key sent to the filter of its part, whose levels come first in its task.
 
-        return materialize(rows.mapInArrow(run, "h long"), f"level-{level}")
+    A part that many pages ask for (a host suffix that a third of them share) is salted, its filter sent to each salt.
+    """
+    rows = materialize(keyed.withColumn("_row", F.monotonically_increasing_id()), "url-rows")
+    asked = rows.select("_row", F.inline(F.arrays_zip(F.col("_keys").alias("key"), F.col("_h").alias("h"))))
+    asked = asked.withColumn("part", part_of(F.col("h"), parts))
+    load = asked.groupBy("part").agg(F.ceil(F.count("*") / F.lit(task_keys)).alias("ways"))
+    ways = materialize(load.join(made.select("part").distinct(), "part"), "url-ways")  # parts without filters list nothing
+    asked = asked.join(ways, "part").withColumn("salt", F.pmod(F.xxhash64("_row"), "ways")).drop("ways")
+    sent = made.join(ways, "part").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
+    both = sent.drop("ways").unionByName(asked, allowMissingColumns=True)
+    task = ["part", "salt"]
+    both = both.repartition(*task).sortWithinPartitions(*task, F.col("level").asc_nulls_last())
 
-    inside = materialize(listed.select("h").distinct(), "listed")
-    outside = materialize(universe.select("h").distinct().join(inside, "h", "left_anti"), "unlisted")
-    levels: list[np.ndarray] = []
-    coded, other = inside, outside
-    while (words := _encode(coded, len(levels))) is not None:
-        levels.append(words)
-        other = passing(other, len(levels) - 1, words)
-        coded, other = other, coded
-    return levels
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, levels = None, []
+        for b in batches:
+            marks = np.stack([b.column(c).to_numpy() for c in task])
+            starts = np.flatnonzero(np.append(True, (marks[:, 1:] != marks[:, :-1]).any(0)))
+            for begin, end in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
+                run_ = b.slice(begin, end - begin)
+                here = tuple(marks[:, begin])
+                if here != now:
+                    now, levels = here, []
+                filters_ = run_.column("words").drop_null()
+                levels += [_one(np.frombuffer(w.as_py(), np.uint64)) for w in filters_]
+                keys_ = run_.slice(len(filters_))
+                if keys_.num_rows:
+                    hit = pa.array(member(keys_.column("h").to_numpy(), levels))
+                    yield keys_.select(["_row", "key"]).filter(hit)
+
+    hits = both.mapInArrow(run, "_row long, key string").groupBy("_row").agg(F.collect_list("key").alias("found"))
+    joined = rows.select("_row", "page_id", "host", "path").join(hits, "_row", "left")
+    return joined.withColumn("found", F.coalesce("found", F.array().cast("array<string>"))).drop("_row")
 
 
 def judge(
-    pages: DataFrame, rules: dict[str, str] | None = None, blocked_labels: tuple[str, ...] = BLOCKED_LABELS
+    pages: DataFrame,
+    rules: dict[str, str] | None = None,
+    blocked_labels: tuple[str, ...] = BLOCKED_LABELS,
+    *,
+    part_keys: int = PART_KEYS,
+    sent_bytes: int = SENT_BYTES,
+    task_keys: int = TASK_KEYS,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, listed_host`` of every page.
 
@@ -145,27 +250,18 @@ def judge(
     blocked = F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, blocked_labels)).cast("array<string>"))
     hosts = universe.filter(~F.col("key").contains("/") & blocked).select("h")
     given = spark.createDataFrame([(r,) for r in rules], "key string").select(F.xxhash64("key").alias("h"))
-    levels = cascade(universe, given.unionByName(hosts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = b.column("_h").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(b.column("_h").value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            hit, names = member(flat, levels), b.column("_keys").flatten()
-            chosen, listed, begin = [], [], 0
-            for end in ends:
-                at = np.flatnonzero(hit[begin:end]) + begin
-                found = [names[int(i)].as_py() for i in at]
-                fits = [f for f in found if f in rules]
-                chosen.append(max(fits, key=lambda f: (len(f), f.index("/")), default=None))
-                listed.append(any(f not in rules for f in found))
-                begin = end
-            rule = pa.array(chosen, pa.string())
-            verdict = [rules[r] if r else "block" if x else "allow" for r, x in zip(chosen, listed, strict=True)]
-            columns = [b.column("page_id"), b.column("host"), b.column("path"), rule]
-            columns += [pa.array(verdict, pa.string()), pa.array(listed, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "rule", "verdict", "listed_host"])
-
-    return keyed.mapInArrow(
-        run, "page_id long, host string, path string, rule string, verdict string, listed_host boolean"
+    made, n_parts = filters(universe, given.unionByName(hosts), part_keys)
+    size = made.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    if size <= sent_bytes:
+        found = _found_here(keyed, gathered(made, n_parts))
+    else:
+        found = _found_in_parts(keyed, made, n_parts, task_keys)
+    is_rule = lambda f: f.isin(*rules)
+    fits = F.transform(F.filter("found", is_rule), lambda f: F.struct(F.length(f), F.instr(f, "/"), f.alias("rule")))
+    verdicts = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]).cast("map<string,string>")
+    judged = found.select(
+        "page_id", "host", "path", F.array_max(fits)["rule"].alias("rule"), F.exists("found", lambda f: ~is_rule(f)).alias("listed_host")
     )
+    by_method = F.when(F.col("listed_host"), F.lit("block")).otherwise(F.lit("allow"))
+    verdict = F.coalesce(F.try_element_at(verdicts, F.col("rule")), by_method)
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed_host")

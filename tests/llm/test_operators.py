@@ -501,6 +501,47 @@ def test_cascade_is_exact(spark):
     assert len(levels) > 1 and (urlfilter.member(h, levels) == (np.arange(20_000) % 7 == 0)).all()
 
 
+def test_cascade_in_parts(spark):
+    from pyspark.sql import functions as F
+
+    universe = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    h = np.array([r["h"] for r in universe.collect()])
+    for step in (1, 7, 9_000, 20_001):  # all, many, fewer than parts, one
+        listed = spark.range(0, 20_000, step).select(F.xxhash64("id").alias("h"))
+        levels = urlfilter.cascade(universe, listed, part_keys=900)
+        assert (urlfilter.member(h, levels) == (np.arange(20_000) % step == 0)).all()
+    none = urlfilter.cascade(universe, universe.limit(0), part_keys=900)
+    assert not urlfilter.member(h, none).any()
+
+
+def test_url_filter_by_brute_force_with_and_without_sent_filters(spark):
+    rnd = random.Random(10)
+    labels = ["net", "org", "com", "example", "spam-farm", "a", "b", "cheap-pills"]
+    hot = "http://x.example.net/en/1"
+    urls = [f"http://{'.'.join(rnd.choice(labels) for _ in range(rnd.randint(1, 4)))}/{rnd.choice(['en', 'de', 'fr'])}/x" for _ in range(600)]
+    urls += [hot] * 400 + [None, "", "no url", "http:///en/", "http://.net"]
+    df = spark.createDataFrame([(i % 900, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(4)
+
+    def expected(page_id, url):
+        host, path = "", ""
+        if url and "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.split("[/?#]", rest)[0].lower()
+            path = re.split("[?#]", rest[len(host):])[0]
+        parts = host.split(".")
+        suffixes = [".".join(parts[i:]) for i in range(len(parts))] if host else []
+        fits = [r for r in urlfilter.RULES if r[: r.index("/")] in suffixes and path.startswith(r[r.index("/") :])]
+        rule = max(fits, key=lambda r: (len(r), r.index("/")), default=None)
+        listed = any(set(s.split(".")) & set(urlfilter.BLOCKED_LABELS) for s in suffixes)
+        return page_id, host, path, rule, urlfilter.RULES[rule] if rule else "block" if listed else "allow", listed
+
+    want = sorted((expected(i % 900, u) for i, u in enumerate(urls)), key=str)
+    for tuning in ({}, {"part_keys": 40}, {"part_keys": 40, "sent_bytes": 0, "task_keys": 50}, {"sent_bytes": 0}):
+        assert sorted((tuple(r) for r in urlfilter.judge(df, **tuning).collect()), key=str) == want
+    bare = urlfilter.judge(df, rules={}, blocked_labels=(), sent_bytes=-1)
+    assert {(r["rule"], r["verdict"]) for r in bare.collect()} == {(None, "allow")} and bare.count() == len(urls)
+
+
 def test_empty_tables(empty):
     assert mixing.mixture(empty).count() == mixing.draw(empty).count() == packing.pack(empty).count() == 0
     assert suffixes.repeats(empty).count() == sharding.shuffle_shards(empty, 3).count() == 0
