@@ -57,10 +57,20 @@ def convert_files(
     lost = names.join(first.filter("n > 1"), "md_path").filter("key <> owner").select("key")
     lost = materialize(lost, "duplicates").withColumn("lost", F.lit(True))
     marked = files.join(lost, "key", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
+    return convert_marked(marked, strip_tags, strip_classes)
+
+
+def convert_marked(
+    marked: DataFrame,
+    strip_tags: Sequence[str] = STRIP_TAGS,
+    strip_classes: Sequence[str] = STRIP_CLASSES,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """:func:`convert_files` of files whose duplicates are known (``lost``); columns of ``carry`` follow the others."""
     text = t.decode_utf8(F.when(~F.col("lost"), F.col("content")))
     text = F.when(F.col("is_text_file"), t.universal_newlines(text)).otherwise(text)
-    scan_error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
-    identity = F.struct("key", t.markdown_path("rel_path").alias("md_path"), "lost", scan_error.alias("error"))
+    scan_error = F.col("error") if "error" in marked.columns else F.lit(None).cast("string")
+    identity = F.struct("key", t.markdown_path("rel_path").alias("md_path"), "lost", scan_error.alias("error"), *carry)
     done = convert_pages(marked.select(identity.alias("id"), text.alias("html")), "id", "html", strip_tags, strip_classes)
     return done.select(
         "key.key",
@@ -71,6 +81,7 @@ def convert_files(
         "region",
         F.when(F.col("key.lost"), F.lit(DUPLICATE)).otherwise(F.col("status")).alias("status"),
         F.when(F.col("key.lost"), F.lit(SAME_NAME)).otherwise(F.coalesce("key.error", "error")).alias("error"),
+        *[f"key.{c}" for c in carry],
     )
 
 

@@ -47,6 +47,7 @@ from bindery.plans.steps import combine_step, convert_step, crawl_step
 from bindery.session import materialize, scratch_root
 from bindery.sources.files import read_html_dir, read_html_files, read_markdown_dir, read_zip
 from bindery.sources.sinks import append_pages, export_files, read_page_store
+from bindery.streaming.fetched import FETCHED, store_fetched_pages
 from bindery.streaming.incremental import convert_new_files, read_converted
 
 START = "https://blog.tionsh.example.net/es/533/"
@@ -389,6 +390,18 @@ def page_store(spark: SparkSession, sf: str) -> DataFrame:
     return read_page_store(spark, path)
 
 
+@query
+def page_store_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Page store after two runs of a stream on a fetch log: answers of even pages arrive first, then the others."""
+    root = f"{scratch_root(spark)}/fetched-{uuid.uuid4().hex}"
+    log = fetch_log(table(spark, sf, "pages")).withColumnRenamed("page_id", "seq")
+    log = log.select(*[c.split()[0] for c in FETCHED.split(", ")])
+    for rest in (0, 1):
+        log.filter(F.col("seq") % 2 == rest).write.mode("append").parquet(root)
+        store_fetched_pages(spark, root, f"{root}.pages", f"{root}.state", START)
+    return read_page_store(spark, f"{root}.pages")
+
+
 @query
 def incremental_convert(spark: SparkSession, sf: str) -> DataFrame:
     """Files written by two jobs, picked up by two runs of a stream; late files take over shared names."""

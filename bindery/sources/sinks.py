@@ -22,7 +22,7 @@ PAGE_STORE = "filename string, url string, html string"
 def read_page_store(spark, path: str) -> DataFrame:
     """Stored pages; a store that was never written is empty."""
     try:
-        return spark.read.schema(PAGE_STORE).parquet(path)
+        return spark.read.schema(PAGE_STORE).parquet(path).select("filename", "url", "html")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

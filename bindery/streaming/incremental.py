@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions.markdown import STRIP_CLASSES, STRIP_TAGS
-from bindery.functions.text import path_order
-from bindery.operators.convert import DUPLICATE, SAME_NAME, convert_files
+from bindery.functions.text import markdown_path, path_order
+from bindery.operators.convert import DUPLICATE, SAME_NAME, convert_marked
 from bindery.sources.files import FILE_SCHEMA, as_html_files
+from bindery.streaming.names import least_owners, run_once, stream_settings
 
 _TEXT = ("markdown", "n_words", "n_bytes", "region")
 
@@ -27,9 +28,9 @@ def convert_new_files(
 ) -> None:
     """Convert everything new below ``root`` into ``output`` and stop.
 
-    The file source's checkpoint remembers what was seen. Each micro-batch overwrites its
-    own ``batch`` folder, so a replayed batch after a failure does not duplicate rows.
-    Names shared across batches are settled by :func:`read_converted`.
+    The file source's checkpoint remembers what was seen, and the stream's state who holds a Markdown name, so a run
+    costs what is new. Each micro-batch overwrites its own ``batch`` folder, so a replayed batch after a failure does
+    not duplicate rows. A file that takes a name from one of an earlier batch says so in ``instead``.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -39,18 +40,18 @@ def convert_new_files(
         .option("maxFilesPerTrigger", max_files_per_batch)
         .load(root)
     )
+    named = as_html_files(files, root).withColumn("md_path", markdown_path("rel_path"))
+    ranked = named.withColumn("rank", path_order("rel_path"))
+    settled = least_owners(
+        ranked, "md_path", "rank", "key", "content", "key string, rel_path string, content binary, is_text_file boolean"
+    )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        done = convert_files(as_html_files(batch, root), strip_tags, strip_classes)
+        done = convert_marked(batch, strip_tags, strip_classes, ["instead"])
         done.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
-    (
-        files.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    with stream_settings(spark):
+        run_once(settled, checkpoint, write_batch)
 
 
 def read_converted(spark: SparkSession, output: str) -> DataFrame | None:
@@ -65,14 +66,12 @@ def read_converted(spark: SparkSession, output: str) -> DataFrame | None:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    claims = rows.filter(F.col("status") != DUPLICATE).groupBy("md_path")
-    owners = claims.agg(F.min_by("key", path_order("key")).alias("_owner"), F.count("*").alias("_n"))
-    # only names claimed in several batches: few, and sized at run time
-    shared = owners.filter("_n > 1").select("md_path", "_owner")
-    marked = rows.join(shared, "md_path", "left").withColumn("_lost", F.col("key") != F.col("_owner"))
+    # only owners of earlier batches that lost their name: few, and sized at run time
+    replaced = rows.filter("instead is not null").select(F.col("instead").alias("key"), F.lit(True).alias("_lost"))
+    marked = rows.join(replaced, "key", "left")
     values = {
         "status": F.when(F.col("_lost"), F.lit(DUPLICATE)).otherwise(F.col("status")),
         "error": F.when(F.col("_lost"), F.lit(SAME_NAME)).otherwise(F.col("error")),
         **{c: F.when(F.coalesce("_lost", F.lit(False)), None).otherwise(F.col(c)) for c in _TEXT},
     }
-    return marked.select(*[values.get(c, F.col(c)).alias(c) for c in rows.columns])
+    return marked.select(*[values.get(c, F.col(c)).alias(c) for c in rows.columns if c != "instead"])

@@ -10,6 +10,7 @@ from bindery.operators.convert import convert_files, converted, failures
 from bindery.operators.report import failure_keys, report_json, select_retry, step_summary, pipeline_summary
 from bindery.sources.files import read_html_dir, read_html_files, read_markdown_dir, read_report, read_zip
 from bindery.sources.sinks import append_pages, export_files, read_page_store, write_markdown, write_report
+from bindery.streaming.fetched import FETCHED, store_fetched_pages
 from bindery.streaming.incremental import convert_new_files, read_converted
 
 
@@ -174,5 +175,52 @@ def test_batches_do_not_decide_who_keeps_a_name(spark, tmp_path):
     assert [r[2] for r in found[0]] == ["ok", "duplicate", "ok", "duplicate", "failed"]
 
 
+def test_a_name_changes_hands_between_runs(spark, tmp_path):
+    root, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    put(root, {"a.html": "<p>1", "b.htm": "<p>2"})
+    convert_new_files(spark, str(root), out, state)
+    put(root, {"a.htm": "<p>3", "b.html": "<p>4", "c.htm": b"\xff"})
+    convert_new_files(spark, str(root), out, state)
+    put(root, {"c.html": "<p>5"})  # the failed file keeps the name
+    convert_new_files(spark, str(root), out, state)
+    rows = {r.key.rsplit("/", 1)[1]: (r.status, r.markdown) for r in read_converted(spark, out).collect()}
+    lost = ("duplicate", None)
+    assert rows == {"a.html": lost, "a.htm": ("ok", "3\n"), "b.htm": ("ok", "2\n"), "b.html": lost, "c.htm": ("failed", None), "c.html": lost}
+    assert "instead" not in read_converted(spark, out).columns
+
+
+def _answers(spark, rows, log):
+    spark.createDataFrame(rows, FETCHED).coalesce(1).write.mode("append").parquet(log)
+
+
+def test_fetch_log_stream_stores_pages_once(spark, tmp_path):
+    log, html = str(tmp_path / "log"), "text/html"
+    site = "https://s.example/"
+    rows = [
+        (0, f"{site}a", 200, html, "first"), (1, f"{site}a?x", 200, html, "same name"), (2, f"{site}b", 404, html, "gone"),
+        (3, f"{site}c", 200, "application/pdf", "%PDF"), (4, f"{site}b", 200, html, "second try"), (5, f"{site}a", 200, html, "again"),
+        (None, f"{site}e", 200, html, None), (7, None, 200, html, "no url"), (8, f"{site}f", None, None, None),
+    ]
+    want = [("a.html", f"{site}a", "first"), ("b.html", f"{site}b", "second try"), ("e.html", f"{site}e", None)]
+    stored = lambda store: sorted(tuple(r) for r in read_page_store(spark, store).collect())
+    _answers(spark, rows, log)
+    store_fetched_pages(spark, log, str(tmp_path / "one"), str(tmp_path / "one.state"), site)
+    assert stored(str(tmp_path / "one")) == want
+    cut, store, state = str(tmp_path / "cut"), str(tmp_path / "two"), tmp_path / "two.state"
+    for part in (rows[:2], rows[2:5], rows[5:]):
+        _answers(spark, part, cut)
+        store_fetched_pages(spark, cut, store, str(state), site)
+        assert len(stored(store)) == len({name for name, *_ in stored(store)})
+    assert stored(store) == want
+    # a batch whose commit was lost runs again and adds nothing
+    last = max((p for p in (state / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    store_fetched_pages(spark, cut, store, str(state), site)
+    assert stored(store) == want
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert before != "500"
+
+
 def test_path_key_is_posix(spark):
     assert spark.range(1).select(t.posix_path(F.lit("a\\b")).alias("p")).first().p == "a/b"
