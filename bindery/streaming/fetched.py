@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from bindery.functions.urls import url_to_filename
 from bindery.operators.fetch import DOWNLOADED, response_outcome
-from bindery.sources.sinks import PAGE_STORE
 from bindery.streaming.names import first_comers, run_once, stream_settings
 
 FETCHED = "seq long, url string, status int, content_type string, body string"
@@ -35,7 +34,7 @@ def store_fetched_pages(
     )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        batch.select("filename", "url", "html").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     with stream_settings(spark):
-        run_once(first_comers(pages, "filename", ["seq", "url", "hash"], PAGE_STORE), checkpoint, write_batch)
+        run_once(first_comers(pages, "filename", ["seq", "url", "hash"]), checkpoint, write_batch)

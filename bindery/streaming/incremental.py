@@ -42,9 +42,7 @@ def convert_new_files(
     )
     named = as_html_files(files, root).withColumn("md_path", markdown_path("rel_path"))
     ranked = named.withColumn("rank", path_order("rel_path"))
-    settled = least_owners(
-        ranked, "md_path", "rank", "key", "content", "key string, rel_path string, content binary, is_text_file boolean"
-    )
+    settled = least_owners(ranked, "md_path", "rank", "key", "content")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         done = convert_marked(batch, strip_tags, strip_classes, ["instead"])

@@ -8,10 +8,14 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-# state on the executors' disks, not in their memory, and Arrow batches of few texts
+# state on the executors' disks, not in their memory, without reserving megabytes for each part of it; what changed is
+# written, not all; Arrow batches of few texts
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
@@ -35,49 +39,53 @@ def run_once(rows: DataFrame, checkpoint: str, write: Callable[[DataFrame, int],
     started.trigger(availableNow=True).start().awaitTermination()
 
 
-def first_comers(rows: DataFrame, name: str, order: list[str], schema: str) -> DataFrame:
-    """Of the rows of one ``name`` the least by ``order`` in the first batch that has any; later ones are dropped."""
+def _least(frame: pd.DataFrame, order: list[str]) -> int:
+    rows = list(zip(*(frame[c].to_list() for c in order), strict=True))
+    return rows.index(min(rows))
+
+
+def first_comers(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Of the rows of one ``name`` the least by ``order`` (no nulls) in the first batch that has any; later ones are dropped."""
 
     def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best = None
         for frame in frames:
             if not state.exists:
                 both = frame if best is None else pd.concat([best, frame])
-                best = both.sort_values(order, kind="stable").iloc[:1]
+                at = _least(both, order) if len(both) > 1 else 0
+                best = both.iloc[at : at + 1]
         if best is not None:
             state.update((True,))
             yield best
 
-    return _kept(rows, name, first, schema, "taken boolean")
+    return _kept(rows, name, first, rows.schema, "taken boolean")
 
 
-def least_owners(rows: DataFrame, name: str, rank: str, key: str, blank: str, schema: str) -> DataFrame:
+def least_owners(rows: DataFrame, name: str, rank: str, key: str, blank: str) -> DataFrame:
     """Each row with ``lost``, whether a row of less ``rank`` has its ``name`` by now, and ``instead``.
 
     ``instead`` is the ``key`` of an earlier batch's owner that this row takes the name from. A row that lost has no
-    ``blank``. The state is one rank and key a name.
+    ``blank``. The state is one rank and key a name. A name's rows in a batch are held together: they are few, one
+    for each suffix.
     """
 
     def settle(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values([rank, key], kind="stable")  # files of one name: one a suffix
-        least, was = (rows[rank].iloc[0], rows[key].iloc[0]), state.get if state.exists else None
-        wins = was is None or least < tuple(was)
-        lost = [not wins] + [True] * (len(rows) - 1)
-        instead = [was[1] if wins and was is not None else None] + [None] * (len(rows) - 1)
-        rows = rows.assign(lost=lost, instead=pd.Series(instead, index=rows.index, dtype=object))
-        rows[blank] = [None if x else v for x, v in zip(lost, rows[blank], strict=True)]
+        held = list(frames)
+        both = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        at, was = _least(both, [rank, key]), tuple(state.get) if state.exists else None
+        least = (both[rank].iat[at], both[key].iat[at])
+        wins = was is None or least < was
+        lost = [not wins or i != at for i in range(len(both))]
+        both[blank] = [None if x else v for x, v in zip(lost, both[blank], strict=True)]
+        both["lost"] = lost
+        both["instead"] = pd.Series([was[1] if was and not x else None for x in lost], index=both.index, dtype=object)
         if wins:
             state.update(least)
-        yield rows
-
-    return _kept(rows, name, settle, f"{schema}, lost boolean, instead string", "rank string, key string")
-
+        yield both
 
-def _kept(rows: DataFrame, name: str, fn: Callable, schema: str, state: str) -> DataFrame:
-    columns = [c.split()[0] for c in schema.split(", ")]
+    schema = StructType([*rows.schema, StructField("lost", BooleanType()), StructField("instead", StringType())])
+    return _kept(rows, name, settle, schema, "rank string, key string")
 
-    def shaped(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        for frame in fn(key, frames, held):
-            yield frame[columns]
 
-    return rows.groupBy(name).applyInPandasWithState(shaped, schema, state, "append", GroupStateTimeout.NoTimeout)
+def _kept(rows: DataFrame, name: str, fn: Callable, schema: StructType, state: str) -> DataFrame:
+    return rows.groupBy(name).applyInPandasWithState(fn, schema, state, "append", GroupStateTimeout.NoTimeout)
