@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,8 +30,20 @@ def without_opaque(html_col: Column | str) -> Column:
     return F.regexp_replace(c, _OPAQUE_RE, "")
 
 
+# A map is searched entry by entry, so names are dealt to small ones.
+_NAME_MAPS = 256
+
+
+def _named(name: Column) -> Column:
+    """Text of a named reference (``amp;``), or null."""
+    maps: list[dict[str, str]] = [{} for _ in range(_NAME_MAPS)]
+    for known, text in html.entities.html5.items():
+        maps[zlib.crc32(known.encode()) % _NAME_MAPS][known] = text
+    dealt = F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")
+    return F.try_element_at(F.get(dealt, (F.crc32(name) % _NAME_MAPS).cast("int")), name)
+
+
 def _decode_reference(token: Column) -> Column:
-    named = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
     decimal = F.regexp_extract(token, r"^&#([0-9]{1,7});?$", 1)
     hexadecimal = F.regexp_extract(token, r"(?i)^&#x([0-9a-f]{1,6});?$", 1)
     number = F.coalesce(F.nullif(decimal, F.lit("")), F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10))
@@ -38,7 +51,7 @@ def _decode_reference(token: Column) -> Column:
         F.when(~token.rlike("^&#?[0-9A-Za-z]"), token)
         .when(token == "&amp;", F.lit("&"))
         .when(F.startswith(token, F.lit("&#")), F.coalesce(let(number.cast("int"), _code_point), token))
-        .otherwise(F.coalesce(F.try_element_at(named, F.substr(token, F.lit(2))), token))
+        .otherwise(F.coalesce(let(F.substr(token, F.lit(2)), _named), token))
     )
 
 

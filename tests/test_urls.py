@@ -126,3 +126,15 @@ def test_main_region_priority(spark):
     }
     df = spark.createDataFrame(list(cases.items()), "html string, want string")
     assert df.filter(html_to_markdown("html")["region"] != F.col("want")).count() == 0
+
+
+def test_every_named_reference_is_decoded(spark):
+    import html.entities
+
+    from bindery.functions.html import unescape_entities
+
+    rows = [(f"a&{name}",) for name in html.entities.html5] + [("&nosuchname;",), ("&",), ("&;",)]
+    got = spark.createDataFrame(rows, "t string").select("t", unescape_entities(F.col("t")).alias("u")).collect()
+    assert len(got) == len(rows) > 2000
+    assert all(r.u == "a" + html.entities.html5[r.t[2:]] for r in got if r.t[0] == "a")
+    assert {r.u for r in got if r.t[0] != "a"} == {"&nosuchname;", "&", "&;"}
