@@ -33,6 +33,66 @@ select doc_id, size, s as source_size, target,
 from placed
 """
 
+# strings of 50 bytes as hex digits, taken from blocks of 512 starts
+OP4 = r"""
+with bytes as (
+  select row_number() over () as r, doc_id, coalesce(hex(encode(text)), '') as h from documents),
+blocks as (
+  select r, doc_id, off, substr(h, 2 * off + 1, 2 * 561) as h
+  from (select r, doc_id, h, unnest(range(0, length(h) // 2 - 49, 512)) as off from bytes)),
+starts as (
+  select r, doc_id, off, h, unnest(range(0, least(512, length(h) // 2 - 49))) as p from blocks),
+strings as (
+  select r, doc_id, off + p as p, substr(h, 2 * p + 1, 100) as s from starts),
+least as (
+  select s, min(doc_id) as first from strings group by s),
+again as (
+  select r, p from strings join least using (s) where first < doc_id),
+marked as (
+  select r, p, case when p <= lag(p) over (partition by r order by p) + 50 then 0 else 1 end as new from again),
+numbered as (
+  select r, p, sum(new) over (partition by r order by p) as k from marked),
+spans as (
+  select r, k, min(p) as b, max(p) + 50 as e from numbered group by r, k),
+gaps as (
+  select r, b, e, coalesce(lag(e) over (partition by r order by b), 0) as was from spans),
+cut as (
+  select g.r, sum(e - b)::bigint as n_removed, count(*)::bigint as n_spans, max(e) as last,
+         string_agg(substr(h, 2 * was + 1, 2 * (b - was)), '' order by b) as front
+  from gaps g join bytes using (r) group by g.r)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+       coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from bytes left join cut using (r)
+"""
+
+# every pair of a label
+OP7 = r"""
+with recursive rows as (
+  select row_number() over () as r, vec_id, label, [c::double for c in embedding] as x,
+         label is not null and embedding is not null and len(embedding) > 0
+         and len([c for c in embedding if c is null or not isfinite(c)]) = 0 as whole
+  from embeddings),
+vectors as (
+  select r, vec_id, label, len(x) as dim, list_transform(x, lambda c: c / sqrt(list_dot_product(x, x))) as u
+  from rows where whole and list_dot_product(x, x) > 0),
+links as (
+  select a.r as a, b.r as b, b.vec_id
+  from vectors a join vectors b on a.label = b.label and a.dim = b.dim and a.r <> b.r
+  where list_dot_product(a.u, b.u) >= 0.93),
+reach(a, b) as (
+  select a, b from links
+  union
+  select reach.a, links.b from reach join links on reach.b = links.a),
+found as (
+  select a as r, min(vec_id) as least from reach join rows on reach.b = rows.r group by a),
+counted as (
+  select a as r, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(least(least, vec_id), vec_id)::bigint as component_id,
+       coalesce(coalesce(least(least, vec_id), vec_id) = vec_id, false) as kept
+from rows left join found using (r) left join counted using (r)
+"""
+
 # keys of the method: hosts with a blocked label
 OP10 = r"""
 with parts as (
@@ -84,4 +144,10 @@ select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op10_url_filter": OP10, "op13_hard_negatives": OP13}
+    return {
+        "op1_mix_sources": OP1,
+        "op4_suffix_dedup": OP4,
+        "op7_vector_near_dedup": OP7,
+        "op10_url_filter": OP10,
+        "op13_hard_negatives": OP13,
+    }
