@@ -22,6 +22,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -268,8 +269,68 @@ def _alike(sets: list[np.ndarray], fps: np.ndarray, similarity: float, reach: in
     return label
 
 
+def from_leader(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``component, id, fp, text, leader, d, near``: exact Jaccard distance to the component's ``leader``.
+
+    ``rows(component, id, fp, text, leader, n)`` are dealt in blocks; each block gets one copy of its leader's text and
+    keeps one set of shingles besides the text it looks at, so the work is linear in the rows of a component.
+    """
+    columns = ["component", "id", "fp", "text", "leader"]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.zeros(0, np.uint64)
+        for b in slices(batches, "text"):
+            leads = np.asarray(b.column("_lead").to_pylist(), bool)
+            d, near = np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            for i, (lead, text) in enumerate(zip(leads, b.column("text").to_pylist(), strict=True)):
+                mine = _shingle_set(text, size)
+                if lead:
+                    base = mine
+                    continue
+                common = len(np.intersect1d(base, mine, assume_unique=True))
+                union = len(base) + len(mine) - common
+                d[i], near[i] = 1 - common / max(union, 1), common >= similarity * union - 1e-9
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(d), pa.array(near)], names)
+            yield out.filter(pa.array(~leads))
+
+    names = [*columns, "d", "near"]
+    cut = rows.withColumn("_blocks", F.ceil(F.col("n") / TEXTS).cast("int"))
+    own = cut.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).withColumn("_lead", F.lit(False))
+    lead = cut.filter("id = leader").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = own.unionByName(lead.withColumn("_lead", F.lit(True))).select(*columns, "_b", "_lead")
+    # a block's leader comes before its rows
+    dealt = dealt.repartition("component", "_b").sortWithinPartitions("component", "_b", F.desc("_lead"))
+    return dealt.mapInArrow(
+        measure, "component long, id long, fp array<long>, text string, leader long, d double, near boolean"
+    )
+
+
 def similar(texts: DataFrame, size: int, similarity: float, reach: int) -> DataFrame:
-    """Edges ``a, b`` that connect the ids of ``texts(component, id, fp, text)`` which are similar in a component."""
+    """Edges ``a, b`` that connect the ids of ``texts(component, id, fp, text)`` which are similar in a component.
+
+    A component of more than ``TEXTS`` rows is first measured against a leader, its smallest id. Jaccard distance is a
+    metric: rows near the leader are connected through it, and a row further from it than twice the radius is near none
+    of them. So the near rows are settled and leave, but for those within the radius of the nearest row that is
+    neither. This is repeated for what stays while that halves; a group of near copies takes one round and linear work.
+    The rest is compared pair by pair, in blocks, up to ``reach`` bits between fingerprints.
+    """
+    columns, radius = ["component", "id", "fp", "text"], 1 - similarity + 1e-9
+    active, settled, rest, was = texts, [], [], None
+    while True:
+        sizes = active.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
+        sizes = materialize(sizes.filter(F.col("n") > TEXTS), "large-components")
+        n = sizes.agg(F.sum("n")).first()[0]
+        if n is None or was is not None and 2 * n > was:
+            break
+        was = n
+        rest.append(active.join(sizes, "component", "left_anti").select(*columns))
+        measured = materialize(from_leader(active.join(sizes, "component"), size, similarity), "leader-distances")
+        settled.append(measured.filter("near and id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")))
+        between = measured.filter(~F.col("near") & (F.col("d") <= 2 * radius))
+        between = between.groupBy("component").agg(F.min("d").alias("closest"))
+        stays = ~F.col("near") | F.coalesce(F.col("d") >= F.col("closest") - radius, F.lit(False))
+        active = measured.join(between, "component", "left").filter(stays).select(*columns)
+    rest.append(active)
 
     def connect(g: dict) -> dict | None:
         ids = g["id"].to_numpy()
@@ -280,8 +341,10 @@ def similar(texts: DataFrame, size: int, similarity: float, reach: int) -> DataF
         at = ids != first
         return {"a": ids[at], "b": first[at]}
 
-    dealt = in_blocks(texts, ["component"], "id", TEXTS)
-    return map_groups(dealt, ["component", "_i", "_j"], connect, "a long, b long").distinct()
+    # a component's rows all left in the same round
+    dealt = in_blocks(reduce(DataFrame.unionByName, rest), ["component"], "id", TEXTS)
+    compared = map_groups(dealt, ["component", "_i", "_j"], connect, "a long, b long").distinct()
+    return reduce(DataFrame.unionByName, settled, compared)
 
 
 def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
@@ -289,8 +352,8 @@ def keep_first(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: i
 
     Groups are connected through pairs whose shingle sets have this Jaccard similarity or more. Fingerprints of
     ``words`` times 64 bits only say which pairs are compared: those up to ``FARTHEST`` standard deviations beyond
-    the expected distance that meet in a table. Candidate groups are then compared by their texts, each of which is
-    dealt once a block of its group.
+    the expected distance that meet in a table. Candidate groups are then compared by their texts, large ones first
+    with one leader after the other (:func:`similar`).
 
     A row is known by doc_id and text: unlike texts without a doc_id, or under one, each stay, and of rows equal in both
     one stays. A document without a doc_id stays only where no near-duplicate has one.

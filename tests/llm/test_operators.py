@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from bindery.llm import langid, licenses, mixing, packing, pivots, sharding, simhash, suffixes, urlfilter, vectors
+from bindery.llm.common import in_blocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, whole string, before long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -457,6 +458,51 @@ def test_keep_first_takes_every_pair_from_the_similarity_on(spark):
     assert want <= set(got) and len(got) - len(want) <= 3 and 300 <= len(want) <= 330
 
 
+@pytest.mark.parametrize("texts", [4, 1024])
+def test_similar_texts_of_large_components_against_every_pair(spark, monkeypatch, texts):
+    """Leaders, rounds and blocks connect what brute force connects, chains and rows at the edge included."""
+    monkeypatch.setattr(pivots, "TEXTS", texts)
+    rnd = random.Random(31)
+    word = lambda: f"{rnd.getrandbits(40):x}"
+    rows = []
+    for component, clusters in ((0, 3), (1, 1), (2, 0)):
+        for _ in range(clusters):
+            base = [word() for _ in range(100)]
+            rows += [(component, [*base[:at], word(), *base[at + 1 :]]) for at in range(10, 60, 5)]
+            # a chain that leaves the first text step by step
+            rows += [(component, base[k:] + [f"{component}-{i}" for i in range(k)]) for k in range(0, 60, 6)]
+        rows += [(component, [word() for _ in range(80)]) for _ in range(8)]
+    rows.append((2, []))
+    rnd.shuffle(rows)
+    table = [(c, i, [0], " ".join(w) or None) for i, (c, w) in enumerate(rows)]
+    df = spark.createDataFrame(table, "component long, id long, fp array<long>, text string")
+    sets = [set(pivots._shingle_set(t, 5).tolist()) for *_, t in table]
+
+    def labels(edges):
+        label = list(range(len(table)))
+        for a, b in edges:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+        return label
+
+    pairs = [(a, b) for a in range(len(table)) for b in range(a) if table[a][0] == table[b][0]]
+    want = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    got = [(r["a"], r["b"]) for r in _all(pivots.similar(df, 5, 0.8, 64))]
+    assert labels(got) == labels(want) and len(set(labels(want))) < len(table) - 40
+
+
+def test_a_large_group_of_near_copies_moves_each_text_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "TEXTS", 16)
+    dealt = []
+    monkeypatch.setattr(pivots, "in_blocks", lambda rows, *a: dealt.append(rows.count()) or in_blocks(rows, *a))
+    rnd = random.Random(32)
+    base = [f"{rnd.getrandbits(40):x}" for _ in range(200)]
+    table = [(0, i, [0], " ".join([*base[: 20 + i % 90], f"n{i}", *base[21 + i % 90 :]])) for i in range(400)]
+    found = pivots.similar(spark.createDataFrame(table, "component long, id long, fp array<long>, text string"), 5, 0.8, 64)
+    # one leader settles all: nothing is left to compare in blocks
+    assert {(r["a"], r["b"]) for r in _all(found)} == {(i, 0) for i in range(1, 400)} and dealt == [0]
+
+
 def test_keep_first_keeps_unlike_texts_under_one_doc_id(spark):
     rnd = random.Random(22)
     text = lambda: " ".join(f"{rnd.getrandbits(40):x}" for _ in range(60))
