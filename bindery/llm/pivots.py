@@ -45,6 +45,8 @@ SMALL = 128
 RECALL = 0.97
 #: Standard deviations beyond the expected distance: the radius that tables are made for, and the farthest candidate.
 BEYOND, FARTHEST = 2, 4
+#: Tables looked at before what they connect is taken as one, and how many times more each time after that.
+FIRST, MORE = 8, 8
 #: Shingles whose bits are counted at a time.
 CHUNK = 20_000
 
@@ -123,19 +125,20 @@ def tables(radius: int, words: int, n: int, recall: float = RECALL) -> list[np.n
     return list(np.packbits(masks, axis=1, bitorder="little").view("<u8"))
 
 
-def _linked(fps: np.ndarray, far: np.ndarray, radius: int) -> np.ndarray:
-    """A label for each row, equal for rows connected through pairs within the radius."""
+def _linked(fps: np.ndarray, far: np.ndarray, radius: int, known: np.ndarray) -> np.ndarray:
+    """A label for each row, equal for rows connected through pairs within the radius or equal in ``known``."""
     n = len(fps)
-    label = np.arange(n)
+    _, first, group = np.unique(known, return_index=True, return_inverse=True)
+    label = first[group]
     if n <= SMALL:
         near = np.abs(far[:, None] - far[None]).max(2) <= radius
-        a, b = np.nonzero(np.triu(near, 1))
+        a, b = np.nonzero(np.triu(near & (label[:, None] != label[None]), 1))
         hit = np.bitwise_count(fps[a] ^ fps[b]).sum(1) <= radius
         for i, j in zip(a[hit].tolist(), b[hit].tolist(), strict=True):
             if label[i] != label[j]:
                 label[label == label[j]] = label[i]
         return label
-    parts = n
+    parts = len(first)
     for i in range(n - 1):
         if parts == 1:
             break
@@ -156,6 +159,8 @@ def links(distinct: DataFrame, radius: int, words: int, reach: int | None = None
 
     With ``reach``, rows that meet in a table made for the radius are linked up to this larger distance.
     Each task reports one edge per row to its group's first row: enough for components, and linear in its rows.
+    Many tables are taken in rounds. What one round connects is one component in the next, which reports edges between
+    components only: rows that meet in every table, as a large group of near copies does, do not give an edge for each.
     """
     n = distinct.count()
     masks = tables(radius, words, n)
@@ -164,32 +169,43 @@ def links(distinct: DataFrame, radius: int, words: int, reach: int | None = None
     general = rng.integers(0, 1 << 63, (PIVOTS, words), np.uint64) * np.uint64(2)
     primes = rng.integers(1, 1 << 62, TABLE_PIVOTS, np.int64) | 1
 
-    def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            fps = matrix(b.column(1)).view(np.uint64)
-            for t, (mask, pivots) in enumerate(zip(masks, table_pivots, strict=True)):
-                distances = _distances(fps & mask, pivots & mask).astype(np.int64)
-                key = (distances * primes).sum(1)
-                table = pa.array(np.full(len(key), t, np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), table, pa.array(key)], names)
-
-    names = ["id", "fp", "t", "key"]
-    rows = distinct.mapInArrow(tabulate, "id long, fp array<long>, t int, key long")
-    dealt = in_blocks(rows, ["t", "key"], "id", BLOCK)
+    names = ["id", "fp", "known", "t", "key"]
 
     def connect(g: dict) -> dict | None:
         ids = g["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, fps = ids[order], matrix(g["fp"])[order].view(np.uint64)
-        label = _linked(fps, _distances(fps, general), radius if reach is None else reach)
-        first = ids[label]
-        at = ids != first
-        return {"a": ids[at], "b": first[at]}
-
-    edges = map_groups(dealt, ["t", "key", "_i", "_j"], connect, "a long, b long")
-    return edges.distinct()
+        known, fps = g["known"].to_numpy()[order], matrix(g["fp"])[order].view(np.uint64)
+        first = known[_linked(fps, _distances(fps, general), radius if reach is None else reach, known)]
+        at = known != first
+        return {"a": known[at], "b": first[at]}
+
+    def met(rows: DataFrame, some: range) -> DataFrame:
+        def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                fps = matrix(b.column(1)).view(np.uint64)
+                for t in some:
+                    distances = _distances(fps & masks[t], table_pivots[t] & masks[t]).astype(np.int64)
+                    key = (distances * primes).sum(1)
+                    table = pa.array(np.full(len(key), t, np.int32))
+                    yield pa.RecordBatch.from_arrays([*b.columns, table, pa.array(key)], names)
+
+        tabled = rows.mapInArrow(tabulate, "id long, fp array<long>, known long, t int, key long")
+        dealt = in_blocks(tabled, ["t", "key"], "id", BLOCK)
+        return map_groups(dealt, ["t", "key", "_i", "_j"], connect, "a long, b long").distinct()
+
+    begin, end = 0, min(FIRST, len(masks))
+    edges = met(distinct.select("id", "fp", F.col("id").alias("known")), range(end))
+    while end < len(masks):
+        known = components(edges, "table-links")
+        begin, end = end, min(end * MORE, len(masks))
+        rows = distinct.join(known, distinct.id == known.node, "left")
+        rows = rows.select("id", "fp", F.coalesce("component", "id").alias("known"))
+        # a row is linked to its component, components to each other
+        stars = known.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        edges = materialize(stars.unionByName(met(rows, range(begin, end))), "table-edges")
+    return edges
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, words: int = 1) -> DataFrame:

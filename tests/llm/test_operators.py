@@ -428,6 +428,31 @@ def test_pivot_tables_miss_no_close_pair(spark):
     assert found == want and len(want) > 300
 
 
+def test_a_large_group_of_near_fingerprints_gives_few_links(spark):
+    rng = np.random.default_rng(8)
+    bits = np.tile(rng.integers(0, 2, 256, np.uint8), (600, 1))
+    for row in bits:  # one large group within the radius of its centre, others far from all
+        row[rng.choice(256, 12, replace=False)] ^= 1
+    bits = np.vstack([bits, rng.integers(0, 2, (200, 256), np.uint8)])
+    fps = np.packbits(bits, axis=1).view(np.int64)
+    df = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(fps)], "id long, fp array<long>")
+    found = [(r["a"], r["b"]) for r in _all(pivots.links(df, 38, 4, 50))]
+    assert _groups(range(800), found) == _groups(range(800), [(0, i) for i in range(1, 600)])
+    assert len(found) < 800
+
+
+def _groups(nodes, edges):
+    """The smallest node that each node is connected with."""
+    least = {i: i for i in nodes}
+    for _ in range(len(least)):
+        was = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == was:
+            return least
+    return least
+
+
 def test_keep_first_keeps_one_near_copy(docs, spark):
     rnd = random.Random(8)
     words = [f"w{i}" for i in range(2_000)]
