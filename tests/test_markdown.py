@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pytest
 
+from bindery.functions import markdown
 from bindery.functions.markdown import clean_html
 from bindery.operators.convert import convert_pages
 
@@ -73,3 +75,12 @@ def test_deep_nesting_does_not_recurse(spark):
     pages = spark.createDataFrame([("a", html)], "url string, html string")
     row = convert_pages(pages).first()
     assert (row.status, row.markdown) == ("ok", "deep\n")
+
+
+def test_pages_of_a_batch_are_converted_some_at_a_time():
+    pages = [None, "", "<p>é", "x" * 3 * markdown._SLICE, *["<p>" + "y" * 10_000] * 500, None]
+    seen = []
+    got = markdown._by_slices(pa.array(pages), lambda some: seen.append(some) or pa.array([p and p[:3] for p in some], pa.string()))
+    assert got.to_pylist() == [p and p[:3] for p in pages] and [p for some in seen for p in some] == pages
+    assert all(sum(len(p or "") for p in some) <= markdown._SLICE for some in seen if len(some) > 1) and len(seen) > 5
+    assert len(markdown._by_slices(pa.array([], pa.string()), lambda some: pa.array(some, pa.string()))) == 0
