@@ -11,20 +11,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 # state on the executors' disks, not in their memory, without reserving megabytes for each part of it; what changed is
-# written, not all; Arrow batches of few texts
+# written, not all; Arrow batches of few texts; a new file costs neither a task to look at nor 4 MB of a task to read
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.files.openCostInBytes": "65536",
 }
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 @contextmanager
 def stream_settings(spark: SparkSession) -> Iterator[None]:
     """The session's settings while a stream that keeps names runs."""
-    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
-    for k, v in _SETTINGS.items():
+    settings = {**_SETTINGS, _LISTING: str(4 * spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield
