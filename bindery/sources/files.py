@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.functions import text as t
 from bindery.operators.report import parse_report
 from bindery.session import materialize
-from bindery.sources.storage import SCHEME_RE, relative_to, unseen_files
+from bindery.sources.storage import SCHEME_RE, read_files, relative_to, some_at_a_time
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 _BYTES_PER_TASK = 128 << 20
 _ENTRY = "archive string, name string, content binary, error string"
+_ENTRY_TYPES = pa.schema([("archive", pa.string()), ("name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
 
 def as_html_files(files: DataFrame, root: str) -> DataFrame:
@@ -30,18 +33,9 @@ def as_html_files(files: DataFrame, root: str) -> DataFrame:
     )
 
 
-def _all_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """``path, content`` of every file below ``root``: Spark's scan and what it passes over."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    names = "{" + ",".join(f"*{s}" for s in suffixes) + "}"
-    # hidden names come from the listing alone
-    seen = reader.option("pathGlobFilter", names).load(root).select("path", "content")
-    return seen.unionByName(unseen_files(spark, root, suffixes))
-
-
 def read_html_dir(spark: SparkSession, root: str) -> DataFrame:
     """All ``*.html`` and ``*.htm`` below ``root`` (case-sensitive), empty ones too; none is an empty table."""
-    return as_html_files(_all_files(spark, root, (".html", ".htm")), root)
+    return as_html_files(read_files(spark, root, (".html", ".htm")), root)
 
 
 def read_html_files(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,16 +102,19 @@ def read_zip(spark: SparkSession, paths: str | list[str], wanted: DataFrame | No
                 rows["stretch"] = rows["n_bytes"].cumsum() // _BYTES_PER_TASK
                 yield rows
 
-    def read_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, names in batch.groupby("archive")["name"]:
-                with open_archive(path) as z:
-                    for name in names:
-                        try:
-                            row = (path, name, z.read(name), None)
-                        except Exception as exc:  # a damaged entry is a failed row
-                            row = (path, name, None, f"{type(exc).__name__}: {exc}")
-                        yield pd.DataFrame([row], columns=["archive", "name", "content", "error"])
+    def read_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries() -> Iterator[tuple]:
+            for batch in batches:
+                pairs = zip(batch.column("archive").to_pylist(), batch.column("name").to_pylist(), strict=True)
+                for path, of_archive in itertools.groupby(pairs, lambda p: p[0]):
+                    with open_archive(path) as z:
+                        for _, name in of_archive:
+                            try:
+                                yield path, name, z.read(name), None
+                            except Exception as exc:  # a damaged entry is a failed row
+                                yield path, name, None, f"{type(exc).__name__}: {exc}"
+
+        yield from some_at_a_time(entries(), 2, _ENTRY_TYPES)
 
     columns = "archive string, name string, n_bytes long, error string, stretch long"
     listed = archives.mapInPandas(list_entries, columns)
@@ -131,7 +128,7 @@ def read_zip(spark: SparkSession, paths: str | list[str], wanted: DataFrame | No
     # a fixed count: names are tiny, so sizing tasks by shuffled bytes would leave too few
     n_tasks = max(spark.sparkContext.defaultParallelism, -(-total // _BYTES_PER_TASK))
     readable = listed.filter("error is null").repartition(n_tasks, "archive", "stretch")
-    entries = readable.sortWithinPartitions("archive", "name").mapInPandas(read_entries, _ENTRY)
+    entries = readable.sortWithinPartitions("archive", "name").mapInArrow(read_entries, _ENTRY)
     broken = listed.filter("error is not null").withColumn("content", F.lit(None).cast("binary"))
     return entries.unionByName(broken.select("archive", "name", "content", "error")).select(
         F.concat_ws("!", "archive", "name").alias("key"),
@@ -146,7 +143,7 @@ def read_zip(spark: SparkSession, paths: str | list[str], wanted: DataFrame | No
 def read_markdown_dir(spark: SparkSession, root: str) -> DataFrame:
     """``rel_path, body, status`` of all ``*.md`` below ``root``, empty ones too."""
     body = t.universal_newlines(t.decode_utf8("content"))
-    return _all_files(spark, root, (".md",)).select(
+    return read_files(spark, root, (".md",)).select(
         relative_to(F.col("path"), root).alias("rel_path"),
         body.alias("body"),
         F.when(body.isNull(), F.lit("failed")).otherwise(F.lit("ok")).alias("status"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,11 +108,13 @@ def export_files(df: DataFrame, rel_path: str, text: str, root: str) -> DataFram
     leave the same result.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base, _ = storage(root)
         for batch in batches:
             sizes = []
-            for name, content in zip(batch["rel_path"], batch["text"], strict=True):
+            # one text at a time: a batch may hold many large ones
+            for name, text in zip(batch.column("rel_path").to_pylist(), batch.column("text"), strict=True):
+                content = text.as_py()
                 target = f"{base.rstrip('/')}/{name}"
                 folder, _, leaf = target.rpartition("/")
                 system.create_dir(folder, recursive=True)
@@ -122,7 +124,7 @@ def export_files(df: DataFrame, rel_path: str, text: str, root: str) -> DataFram
                     out.write(data)
                 system.move(part, target)
                 sizes.append(len(data))
-            yield pd.DataFrame({"rel_path": batch["rel_path"], "n_bytes": sizes})
+            yield pa.RecordBatch.from_arrays([batch.column("rel_path"), pa.array(sizes, pa.int64())], ["rel_path", "n_bytes"])
 
     rows = df.select(F.col(rel_path).alias("rel_path"), F.col(text).alias("text"))
-    return materialize(rows.mapInPandas(write, "rel_path string, n_bytes long"), "export")
+    return materialize(rows.mapInArrow(write, "rel_path string, n_bytes long"), "export")

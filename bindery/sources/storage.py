@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from bindery.session import materialize
 SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
 LISTED = "path string, rel_path string, n_bytes long"
 _INFO = "path string, is_dir boolean, n_bytes long"
+#: Files that one task reads, bytes of files that it reads, and bytes that it holds at a time.
+_FILES_PER_TASK, _BYTES_PER_TASK, _BYTES_HELD = 4096, 64 << 20, 1 << 20
 
 
 def is_local(path: str) -> bool:
@@ -57,7 +60,8 @@ def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> Dat
                 found = system.get_file_info(fs.FileSelector(folder.removeprefix(prefix), allow_not_found=True))
                 rows = [(prefix + i.path, i.type == fs.FileType.Directory, i.size or 0) for i in found]
                 rows = [r for r in rows if r[1] or r[0].endswith(suffixes)]
-                yield pd.DataFrame(rows, columns=["path", "is_dir", "n_bytes"])
+                for at in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[at : at + 10_000], columns=["path", "is_dir", "n_bytes"])
 
     _, inner, prefix = storage(root)
     folders = spark.createDataFrame([(prefix + inner,)], "path string")
@@ -70,22 +74,50 @@ def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> Dat
             return found.select("path", relative_to(F.col("path"), root).alias("rel_path"), "n_bytes")
 
 
-def unseen_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """``path, content`` of the files that Spark's own file source passes over: empty ones, and hidden names."""
+def some_at_a_time(rows: Iterator[tuple], content: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``_BYTES_HELD`` bytes in the column numbered ``content``, so that no worker holds more of it."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[content] or b"")
+        if size >= _BYTES_HELD or len(held) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def read_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """``path, content`` of every file below ``root`` with one of the suffixes, empty ones and hidden names too.
+
+    Spark's own file source lists every file on the driver, opens a task for each 32 small ones, and passes over empty
+    files and hidden names. Here the listing is a table, dealt to tasks by number and bytes.
+    """
+    from pyarrow import fs
+
+    system, inner, _ = storage(root)
+    if system.get_file_info(inner).type == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
     listed = list_files(spark, root, suffixes)
-    passed_over = listed.filter((F.col("n_bytes") == 0) | F.col("rel_path").rlike(r"(^|/)[._]"))
+    n, total = listed.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    n_tasks = max(spark.sparkContext.defaultParallelism, -(-n // _FILES_PER_TASK), -(-total // _BYTES_PER_TASK))
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _, prefix = storage(root)
-        for batch in batches:
-            for path, n_bytes in zip(batch["path"], batch["n_bytes"], strict=True):
-                content = b""
-                if n_bytes:
-                    with system.open_input_stream(path.removeprefix(prefix)) as stream:
-                        content = stream.read()
-                yield pd.DataFrame({"path": [path], "content": [content]})
-
-    return passed_over.repartition("path").mapInPandas(read, "path string, content binary")
+
+        def files() -> Iterator[tuple]:
+            for batch in batches:
+                for path, n_bytes in zip(batch.column("path").to_pylist(), batch.column("n_bytes").to_pylist(), strict=True):
+                    content = b""
+                    if n_bytes:
+                        with system.open_input_stream(path.removeprefix(prefix)) as stream:
+                            content = stream.read()
+                    yield path, content
+
+        yield from some_at_a_time(files(), 1, schema)
+
+    return listed.select("path", "n_bytes").repartition(n_tasks, "path").mapInArrow(read, "path string, content binary")
 
 
 # ---- writing ------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,10 +9,12 @@ from bindery.functions import text as t
 from bindery.operators.combine import build_sections, combine
 from bindery.operators.convert import convert_files, converted, failures
 from bindery.operators.report import failure_keys, report_json, select_retry, step_summary, pipeline_summary
+from bindery.sources import storage
 from bindery.sources.files import read_html_dir, read_html_files, read_markdown_dir, read_report, read_zip
 from bindery.sources.sinks import append_pages, export_files, read_page_store, write_markdown, write_report
 from bindery.streaming.fetched import FETCHED, store_fetched_pages
 from bindery.streaming.incremental import convert_new_files, read_converted
+from bindery.streaming.names import stream_settings
 
 
 def put(root, files):
@@ -224,3 +227,37 @@ def test_fetch_log_stream_stores_pages_once(spark, tmp_path):
 
 def test_path_key_is_posix(spark):
     assert spark.range(1).select(t.posix_path(F.lit("a\\b")).alias("p")).first().p == "a/b"
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    root = put(tmp_path / "many", {f"p/{i}.html": "" if i % 3 == 0 else f"<p>{i}" for i in range(300)} | {"p/.h.html": "<p>h"})
+    files = read_html_dir(spark, root)
+    # Spark's file source takes 32 small files a task
+    assert files.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    got = {r.rel_path: bytes(r.content).decode() for r in files.collect()}
+    assert got == {f"p/{i}.html": "" if i % 3 == 0 else f"<p>{i}" for i in range(300)} | {"p/.h.html": "<p>h"}
+
+
+def test_contents_leave_a_worker_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(storage, "_BYTES_HELD", 100)
+    rows = [(str(i), bytes(30)) for i in range(20)] + [("big", bytes(1000)), ("none", None), ("last", b"")]
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    out = list(storage.some_at_a_time(iter(rows), 1, schema))
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == rows
+    assert all(sum(len(c or b"") for c in b.column(1).to_pylist()[:-1]) < 100 for b in out) and len(out) > 5
+    assert list(storage.some_at_a_time(iter([]), 1, schema)) == []
+
+
+def test_a_folder_that_is_not_there_is_no_empty_table(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        read_html_dir(spark, str(tmp_path / "gone"))
+
+
+def test_a_stream_lists_new_files_in_few_tasks(spark):
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key), spark.conf.get("spark.sql.files.openCostInBytes")
+    with stream_settings(spark):
+        # one task a file otherwise
+        assert int(spark.conf.get(key)) == 4 * spark.sparkContext.defaultParallelism
+        assert int(spark.conf.get("spark.sql.files.openCostInBytes").rstrip("b")) == 65536
+    assert (spark.conf.get(key), spark.conf.get("spark.sql.files.openCostInBytes")) == before
