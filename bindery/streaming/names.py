@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from bindery.session import settings
+
 # state on the executors' disks, not in their memory, without reserving megabytes for each part of it; what changed is
 # written, not all; Arrow batches of few texts; a new file costs neither a task to look at nor 4 MB of a task to read
 _SETTINGS = {
@@ -25,15 +27,8 @@ _LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 @contextmanager
 def stream_settings(spark: SparkSession) -> Iterator[None]:
     """The session's settings while a stream that keeps names runs."""
-    settings = {**_SETTINGS, _LISTING: str(4 * spark.sparkContext.defaultParallelism)}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, {**_SETTINGS, _LISTING: str(4 * spark.sparkContext.defaultParallelism)}):
         yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_once(rows: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:

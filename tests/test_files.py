@@ -9,7 +9,8 @@ from bindery.functions import text as t
 from bindery.operators.combine import build_sections, combine
 from bindery.operators.convert import convert_files, converted, failures
 from bindery.operators.report import failure_keys, report_json, select_retry, step_summary, pipeline_summary
-from bindery.sources import storage
+from bindery.session import materialize
+from bindery.sources import sinks, storage
 from bindery.sources.files import read_html_dir, read_html_files, read_markdown_dir, read_report, read_zip
 from bindery.sources.sinks import append_pages, export_files, read_page_store, write_markdown, write_report
 from bindery.streaming.fetched import FETCHED, store_fetched_pages
@@ -248,6 +249,16 @@ def test_contents_leave_a_worker_some_at_a_time(monkeypatch):
     assert list(storage.some_at_a_time(iter([]), 1, schema)) == []
 
 
+def test_files_are_sent_to_their_writer_in_small_batches(spark, tmp_path, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(sinks, "materialize", lambda df, label: seen.append(spark.conf.get(key)) or materialize(df, label))
+    before = spark.conf.get(key)
+    texts = spark.createDataFrame([("a/1.bin", b"\xff"), ("a/2.bin", b"")], "name string, content binary")
+    assert sorted(map(tuple, export_files(texts, "name", "content", str(tmp_path)).collect())) == [("a/1.bin", 1), ("a/2.bin", 0)]
+    assert [int(v) for v in seen] == [4 << 20] and spark.conf.get(key) == before
+    assert (tmp_path / "a" / "1.bin").read_bytes() == b"\xff"
+
+
 def test_a_folder_that_is_not_there_is_no_empty_table(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_html_dir(spark, str(tmp_path / "gone"))
