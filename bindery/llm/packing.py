@@ -14,15 +14,13 @@ are ignored.
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +29,16 @@ from bindery.session import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words whose ids a task remembers; forgetting them changes nothing but time.
-REMEMBERED = 400_000
-_ODD = frozenset("\x1c\x1d\x1e\x1f")
-# Latin letters with a lower case of one letter, then stops: the tokenizer parts such a word just there
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01c3]+)([.,;:!?]*)")
-
-
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = itertools.count(256)
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+#: Distinct parts of words whose ids a task remembers, and their bytes; forgetting them changes nothing but time.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64 << 20
+#: Bytes of text that a task looks at together: the more, the fewer words are looked up again.
+SLICE = 8 << 20
+_ODD = "[\x1c-\x1f]"
+# Latin letters with a lower case of one letter, then ASCII signs without the apostrophe: the tokenizer parts such a word
+# just there, and neither of the parts any further
+_LETTERS, _SIGNS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{1c3}", r"!-&(-/:-@\[-`{-~"
+_PLAIN = f"^(?P<letters>[{_LETTERS}]+)(?P<signs>[{_SIGNS}]*)$"
+_PART = f"^(?:[{_LETTERS}]+|[{_SIGNS}]+)$"
 
 
 def default_tokenizer() -> str:
@@ -51,71 +47,107 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class _Words:
     """Ids of texts as little-endian bytes, through the ids of their words.
 
     The tokenizer turns white space to one blank and drops it, so no token reaches over a blank and a text's ids
-    are those of its words in turn. The few control characters that Python, but not the tokenizer, takes for white
+    are those of its words in turn. The few control characters that Arrow, but not the tokenizer, takes for white
     space send a text through the tokenizer whole.
+
+    Words are told apart by Arrow, a slice of texts at a time, and plain ones parted into letters, in lower case, and
+    signs. Parts and the words that are not plain are ``keys``, of which each has a stretch of ``flat``.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-
-    def _part(self, part: str) -> bytes:
-        """Ids of letters or stops in lower case."""
-        if (got := self.parts.get(part)) is None:
-            shown = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-            ids = [t.id for t in self.model.tokenize(shown)]
-            got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; all but plain words go through the whole tokenizer."""
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        found = [_PLAIN.fullmatch(w) if len(w) <= 64 else None for w in words]
-        rest = iter(self._whole([w for w, m in zip(words, found, strict=True) if not m]))
-        return [
-            (self._part(m[1].lower()) + self._part(m[2]) if m[2] else self._part(m[1].lower())) if m else next(rest)
-            for m in found
-        ]
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        """Many words to a call: a token belongs to the word that its offset lies in."""
-        out = []
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # parts need no more than the model: they are in lower case, composed and parted
+        self.parts = Tokenizer(self.tokenizer.model)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        # the empty word stands where a text begins or ends in white space
+        self.keys, self.starts, self.sizes = pa.array([""]), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of many parts, and how many each has; a part ends with the first token that ends a word."""
+        offsets = np.unique(np.append(np.arange(0, len(parts), 2_000), len(parts)))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts), " ")
+        found = self.parts.encode_batch_fast(joined.to_pylist(), add_special_tokens=False)
+        ids = np.concatenate([np.asarray(f.ids, "<u4") for f in found])
+        ends = np.flatnonzero(self.is_last[ids]) + 1
+        if len(ends) != len(parts) or ends[-1] != len(ids):
+            return None
+        return ids, np.diff(ends, prepend=0)
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, and how many each has: a token belongs to the word that its offset lies in."""
+        flat, sizes = [], []
         for at in range(0, len(words), 2_000):
             some = words[at : at + 2_000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.asarray(found.ids, "<u4")
             begins = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
             place = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-            cuts = np.append(np.searchsorted(place, begins), len(ids)) * 4
-            blob = ids.tobytes()
-            out += [blob[s:e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        return out
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if not _ODD.isdisjoint(text):
-                yield self._whole([text])[0]
-                continue
-            words, known = text.split(), self.known
-            try:
-                yield b"".join([known[w] for w in words])
+            flat.append(ids)
+            sizes.append(np.diff(np.append(np.searchsorted(place, begins), len(ids))))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _learn(self, keys: pa.Array) -> None:
+        """Add keys that are not known yet."""
+        part = pc.and_(pc.match_substring_regex(keys, _PART), pc.less_equal(pc.utf8_length(keys), 64))
+        for some, of_parts in ((keys.filter(part), True), (keys.filter(pc.invert(part)), False)):
+            if not len(some):
                 continue
-            except KeyError:
-                missing = list({w for w in words if w not in known})
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = list(set(words))
-            here = dict(zip(missing, self._encode(missing), strict=True))
-            yield b"".join([here[w] if w in here else known[w] for w in words])
-            known.update((w, b) for w, b in here.items() if len(w) <= 64)
+            ids, sizes = (self._parts(some) if of_parts else None) or self._whole(some.to_pylist())
+            self.keys = pa.concat_arrays([self.keys, some])
+            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+            self.sizes = np.append(self.sizes, sizes)
+            self.flat = np.append(self.flat, ids)
+
+    def _places(self, strings: pa.Array) -> np.ndarray:
+        """Each string's place in ``keys``."""
+        at = pc.index_in(strings, value_set=self.keys)
+        if at.null_count:
+            known = len(self.keys)
+            self._learn(strings.filter(at.is_null()).unique())
+            new = pc.add(pc.index_in(strings, value_set=self.keys.slice(known)), known)
+            at = pc.coalesce(at, new)
+        return at.to_numpy()
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        if len(self.keys) > REMEMBERED or self.keys.nbytes + self.flat.nbytes > REMEMBERED_BYTES:
+            self._forget()
+        odd = pc.match_substring_regex(texts, _ODD)
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        parts = pc.extract_regex(distinct, _PLAIN)
+        plain = pc.and_(parts.is_valid(), pc.less_equal(pc.utf8_length(distinct), 64))
+        first = pc.if_else(plain, pc.utf8_lower(pc.struct_field(parts, "letters")), distinct)
+        second = pc.if_else(plain, pc.struct_field(parts, "signs"), "")
+        # of each word its two parts, side by side
+        two = self._places(pa.concat_arrays([first, second])).reshape(2, -1).T
+        flat, sizes = _gathered(self.flat, self.starts[two].ravel(), self.sizes[two].ravel()), self.sizes[two].sum(1)
+        of_word = coded.indices.to_numpy()
+        blob = _gathered(flat, (np.cumsum(sizes) - sizes)[of_word], sizes[of_word]).tobytes()
+        ends = np.append(0, np.cumsum(sizes[of_word]))[words.offsets.to_numpy()] * 4
+        for whole, text, begin, end in zip(odd.to_pylist(), texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield self._whole([text.as_py()])[0].tobytes() if whole else blob[begin:end]
 
 
 def pieces(
@@ -126,7 +158,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = _Words(tokenizer), np.asarray([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             rows, blobs = [], []
 
             def packed(rows=rows, blobs=blobs):
@@ -142,7 +174,7 @@ def pieces(
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), flat))
                 return pa.RecordBatch.from_arrays(columns, names)
 
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0), batch.column(1).fill_null("")
             held = 0
             for row, got in enumerate(words.ids(texts)):
                 blob = got + end

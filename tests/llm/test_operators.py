@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -108,6 +109,37 @@ def test_packing_round_trip(docs):
     assert sum(len(r["ids"]) for r in whole) == n_tokens and all(len(r["ids"]) == sum(r["lengths"]) for r in whole)
 
 
+def _encoded(texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_words_with_signs_do_not_need_the_whole_tokenizer(monkeypatch):
+    texts = ["Ver.*** asíll### Enè it,&&& ", "", " \t", "ÉTÉ <<b>> (c) ***", "plain\nwords"]
+    want = _encoded(texts)
+    words = packing._Words(packing.default_tokenizer())
+    whole, sent = words._whole, []
+    monkeypatch.setattr(words, "_whole", lambda some: sent.extend(some) or whole(some))
+    assert list(words.ids(pa.array(texts))) == want
+    # no word of letters and signs behind them is sent there
+    assert sorted(sent) == ["(c)", "<<b>>"]
+
+
+def test_ids_of_odd_texts(monkeypatch):
+    odd = ["it's I'LL a' 's ...'", "x<|endoftext|>y <|startoftext|>", "İstanbul J\u030c e\u0301 \u212a", "a\x1cb c\x1f", "1234 \u0661",
+           "A" * 300 + "!", "a" * 65 + " " + "é" * 64 + ".", "." * 300, "a\u2028b\u3000c\x85d\xa0e", "a>\u0338 \u0301b", "</w> a</w>"]
+    texts = [*odd, " ".join(odd), *odd[::-1]]
+    words = packing._Words(packing.default_tokenizer())
+    assert list(words.ids(pa.array(texts))) == _encoded(texts)
+    # what is remembered or forgotten, and parts that the model does not tell apart, change nothing
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(words, "_parts", lambda parts: None)
+    for text, ids in zip(texts, _encoded(texts), strict=True):
+        assert list(words.ids(pa.array([text]))) == [ids]
+
+
 def test_plan_prefers_exact_sums():
     for times, parts in packing.plan({6: 2, 4: 2, 5: 2, 8: 1, 2: 1}, 10):
         assert times * sum(a * n for a, n in parts) == times * 10
