@@ -20,7 +20,7 @@ from bindery.operators.convert import OK, convert_files, failures
 from bindery.operators.fetch import CACHED, DOWNLOADED, FAILED, fetch_urls, new_files
 from bindery.operators.report import COMBINE_STEP, CONVERT_STEP, CRAWL_STEP, step_row
 from bindery.operators.traverse import MAX_PAGES, traverse_site
-from bindery.session import materialize
+from bindery.session import materialize, small_batches
 from bindery.sources.files import is_zip_key, read_html_dir, read_html_files, read_zip
 from bindery.sources.sinks import export_bundles, write_markdown
 
@@ -147,13 +147,14 @@ def convert_table(
     """Convert a table of files; ``missing(key)`` are wanted files that do not exist, and failed as such."""
     spark, began = files.sparkSession, time.monotonic()
     good = F.col("status") == OK
-    results, n = observed(
-        convert_files(files, strip_tags),
-        "markdown",
-        file_count=F.count_if(good),
-        total_bytes=F.sum(F.when(good, F.col("n_bytes"))),
-        failure_count=F.count_if(F.col("status") == NOT_CONVERTED),
-    )
+    with small_batches(spark):
+        results, n = observed(
+            convert_files(files, strip_tags),
+            "markdown",
+            file_count=F.count_if(good),
+            total_bytes=F.sum(F.when(good, F.col("n_bytes"))),
+            failure_count=F.count_if(F.col("status") == NOT_CONVERTED),
+        )
     if table is not None:
         write_markdown(results, table)
     failed = failures(results)

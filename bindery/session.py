@@ -32,6 +32,16 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Workers get 4 MB at a time while something runs: those that handle files one by one need not be sent 64 MB.
+
+    Ten thousand rows, Spark's other bound on a batch, are as many megabytes as the files make them.
+    """
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}):
+        yield
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 

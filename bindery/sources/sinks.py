@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from bindery.operators.combine import Pieces
 from bindery.operators.report import report_json
-from bindery.session import materialize, settings
+from bindery.session import materialize, small_batches
 from bindery.sources.storage import delete_files, storage, write_pieces
 
 _MANIFESTS, _MANIFEST = "_manifests", "corpus string, rel_path string"
-# a worker that writes files one by one need not be sent 64 MB of them
-_SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 PAGE_STORE = "filename string, url string, html string"
 
 
@@ -129,5 +127,5 @@ def export_files(df: DataFrame, rel_path: str, text: str, root: str) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("rel_path"), pa.array(sizes, pa.int64())], ["rel_path", "n_bytes"])
 
     rows = df.select(F.col(rel_path).alias("rel_path"), F.col(text).alias("text"))
-    with settings(df.sparkSession, _SMALL_BATCHES):
+    with small_batches(df.sparkSession):
         return materialize(rows.mapInArrow(write, "rel_path string, n_bytes long"), "export")

@@ -5,6 +5,7 @@ import os
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from bindery.operators.combine import build_sections, bundle_pieces, combine
 from bindery.operators.order import prefix_sums, ranked
 from bindery.operators.report import line_failures, report_json, select_retry, step_row
 from bindery.operators.report_document import read_report_document, write_report_document
+from bindery.plans import steps
 from bindery.plans.pipeline import run_pipeline
 from bindery.plans.steps import combine_step, convert_step, crawl_step
 from bindery.sources import storage
@@ -224,3 +226,17 @@ def test_retry_selection_from_a_document_keeps_its_order(spark, tmp_path):
     wanted = line_failures(read_report_document(spark, path)[1], "crawl")
     again, missing = select_retry(_keys(spark, 3).select("key"), wanted)
     assert (again.count(), missing.count()) == (3, 2)
+
+
+def test_files_are_sent_to_the_converter_in_small_batches(spark, monkeypatch):
+    @F.arrow_udf("long")
+    def sent(contents: pa.Array) -> pa.Array:
+        return pa.array([contents.nbytes] * len(contents), pa.int64())
+
+    none = F.lit(None).cast("string")
+    columns = ("key", sent("content").alias("n_bytes"), F.lit("ok").alias("status"), none.alias("error"))
+    monkeypatch.setattr(steps, "convert_files", lambda files, tags: files.select(*columns))
+    files = spark.range(0, 40, 1, 1).select(F.col("id").alias("key"), F.encode(F.repeat(F.lit("x"), F.lit(300_000)), "UTF-8").alias("content"))
+    got = steps.convert_table(files).result
+    # twelve megabytes were one batch
+    assert got.count() == 40 and max(r["n_bytes"] for r in got.collect()) <= 5 << 20
