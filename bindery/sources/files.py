@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -23,13 +23,14 @@ _ENTRY = "archive string, name string, content binary, error string"
 _ENTRY_TYPES = pa.schema([("archive", pa.string()), ("name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 
 
-def as_html_files(files: DataFrame, root: str) -> DataFrame:
-    """``key, rel_path, content, is_text_file`` from a binary-file table (batch or stream)."""
+def as_html_files(files: DataFrame, root: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``key, rel_path, content, is_text_file`` from a binary-file table (batch or stream), and its columns ``carry``."""
     return files.select(
         F.col("path").alias("key"),
         relative_to(F.col("path"), root).alias("rel_path"),
         "content",
         F.lit(True).alias("is_text_file"),
+        *carry,
     )
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import stat
 import uuid
 from collections.abc import Iterator
 
@@ -11,12 +13,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from bindery.session import materialize
 
 SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
 LISTED = "path string, rel_path string, n_bytes long"
-_INFO = "path string, is_dir boolean, n_bytes long"
+_INFO = "path string, is_dir boolean, n_bytes long, modified long"
 #: Files that one task reads, bytes of files that it reads, and bytes that it holds at a time.
 _FILES_PER_TASK, _BYTES_PER_TASK, _BYTES_HELD = 4096, 64 << 20, 1 << 20
 
@@ -44,24 +48,59 @@ def relative_to(path: Column, root: str) -> Column:
     return F.substring(F.regexp_replace(path, SCHEME_RE, ""), len(base) + 1, 1 << 30)
 
 
+def reached(path: str) -> bool:
+    """Whether Arrow's file systems reach this storage; if not, only Spark does."""
+    try:
+        storage(path)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def is_missing(root: str) -> bool:
+    from pyarrow import fs
+
+    system, inner, _ = storage(root)
+    return system.get_file_info(inner).type == fs.FileType.NotFound
+
+
+def _in_folder(root: str, folder: str) -> Iterator[tuple]:
+    """``path, is_dir, n_bytes, modified`` (microseconds) of what lies in a folder; of a local one, one at a time."""
+    from pyarrow import fs
+
+    system, _, prefix = storage(root)
+    inner = folder.removeprefix(prefix)
+    if not is_local(root):
+        for i in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+            yield prefix + i.path, i.type == fs.FileType.Directory, i.size or 0, (i.mtime_ns or 0) // 1000
+        return
+    try:
+        found = os.scandir(inner)
+    except FileNotFoundError:
+        return
+    with found:
+        for i in found:
+            try:
+                info = i.stat()
+            except FileNotFoundError:  # gone since, or a link to nothing
+                continue
+            is_dir = stat.S_ISDIR(info.st_mode)
+            yield prefix + i.path, is_dir, 0 if is_dir else info.st_size, info.st_mtime_ns // 1000
+
+
 def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """``path, rel_path, n_bytes`` of every file below ``root`` with one of the suffixes, whatever its size or name.
+    """``path, rel_path, n_bytes, modified`` of every file below ``root`` with one of the suffixes, whatever its size or name.
 
     Folders of one depth are listed in parallel and written before the next depth, so neither the driver nor a task
     holds more than the names of a folder.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, _, prefix = storage(root)
         for batch in batches:
             for folder in batch["path"]:
-                found = system.get_file_info(fs.FileSelector(folder.removeprefix(prefix), allow_not_found=True))
-                rows = [(prefix + i.path, i.type == fs.FileType.Directory, i.size or 0) for i in found]
-                rows = [r for r in rows if r[1] or r[0].endswith(suffixes)]
-                for at in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[at : at + 10_000], columns=["path", "is_dir", "n_bytes"])
+                found = (i for i in _in_folder(root, folder) if i[1] or i[0].endswith(suffixes))
+                while rows := list(itertools.islice(found, 10_000)):
+                    yield pd.DataFrame(rows, columns=["path", "is_dir", "n_bytes", "modified"])
 
     _, inner, prefix = storage(root)
     folders = spark.createDataFrame([(prefix + inner,)], "path string")
@@ -71,7 +110,7 @@ def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> Dat
         found = found.unionByName(level.filter("not is_dir"))
         folders = level.filter("is_dir").select("path")
         if folders.isEmpty():
-            return found.select("path", relative_to(F.col("path"), root).alias("rel_path"), "n_bytes")
+            return found.select("path", relative_to(F.col("path"), root).alias("rel_path"), "n_bytes", "modified")
 
 
 def some_at_a_time(rows: Iterator[tuple], content: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -87,37 +126,41 @@ def some_at_a_time(rows: Iterator[tuple], content: int, schema: pa.Schema) -> It
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def with_content(listed: DataFrame, root: str) -> DataFrame:
+    """Listed files (``path``, ``n_bytes`` and any other columns) with their ``content``; none where ``n_bytes`` is null."""
+    schema = StructType([*listed.schema, StructField("content", BinaryType())])
+    types = to_arrow_schema(schema)
+    path_at, n_bytes_at = listed.columns.index("path"), listed.columns.index("n_bytes")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _, prefix = storage(root)
+
+        def files() -> Iterator[tuple]:
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    content = None if row[n_bytes_at] is None else b""
+                    if row[n_bytes_at]:
+                        with system.open_input_stream(row[path_at].removeprefix(prefix)) as stream:
+                            content = stream.read()
+                    yield *row, content
+
+        yield from some_at_a_time(files(), len(types) - 1, types)
+
+    return listed.mapInArrow(read, schema)
+
+
 def read_files(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
     """``path, content`` of every file below ``root`` with one of the suffixes, empty ones and hidden names too.
 
     Spark's own file source lists every file on the driver, opens a task for each 32 small ones, and passes over empty
     files and hidden names. Here the listing is a table, dealt to tasks by number and bytes.
     """
-    from pyarrow import fs
-
-    system, inner, _ = storage(root)
-    if system.get_file_info(inner).type == fs.FileType.NotFound:
+    if is_missing(root):
         raise FileNotFoundError(root)
     listed = list_files(spark, root, suffixes)
     n, total = listed.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     n_tasks = max(spark.sparkContext.defaultParallelism, -(-n // _FILES_PER_TASK), -(-total // _BYTES_PER_TASK))
-    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _, prefix = storage(root)
-
-        def files() -> Iterator[tuple]:
-            for batch in batches:
-                for path, n_bytes in zip(batch.column("path").to_pylist(), batch.column("n_bytes").to_pylist(), strict=True):
-                    content = b""
-                    if n_bytes:
-                        with system.open_input_stream(path.removeprefix(prefix)) as stream:
-                            content = stream.read()
-                    yield path, content
-
-        yield from some_at_a_time(files(), 1, schema)
-
-    return listed.select("path", "n_bytes").repartition(n_tasks, "path").mapInArrow(read, "path string, content binary")
+    return with_content(listed.select("path", "n_bytes").repartition(n_tasks, "path"), root).select("path", "content")
 
 
 # ---- writing ------------------------------------------------------------------------------

@@ -3,6 +3,7 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from bindery.functions import text as t
@@ -13,6 +14,7 @@ from bindery.session import materialize
 from bindery.sources import sinks, storage
 from bindery.sources.files import read_html_dir, read_html_files, read_markdown_dir, read_report, read_zip
 from bindery.sources.sinks import append_pages, export_files, read_page_store, write_markdown, write_report
+from bindery.streaming import incremental
 from bindery.streaming.fetched import FETCHED, store_fetched_pages
 from bindery.streaming.incremental import convert_new_files, read_converted
 from bindery.streaming.names import stream_settings
@@ -193,6 +195,53 @@ def test_a_name_changes_hands_between_runs(spark, tmp_path):
     assert "instead" not in read_converted(spark, out).columns
 
 
+def _converted(spark, out):
+    return sorted((r.key.split("in put/")[1], r.status, r.markdown or "") for r in read_converted(spark, out).collect())
+
+
+def test_the_driver_keeps_a_name_for_each_batch_not_for_each_file(spark, tmp_path):
+    root, out, state = put(tmp_path / "in put", {f"p/{i}.html": f"<p>{i}" for i in range(12)}), str(tmp_path / "out"), tmp_path / "state"
+    convert_new_files(spark, root, out, str(state), max_files_per_batch=5)
+    log = [x for f in (state / "sources" / "0").iterdir() if f.name.isdigit() for x in f.read_text().splitlines()[1:]]
+    assert len(log) == 3 and not [x for x in log if ".html" in x]
+    assert sorted(r["count"] for r in read_converted(spark, out).groupBy("batch").count().collect()) == [2, 5, 5]
+    assert _converted(spark, out) == sorted((f"p/{i}.html", "ok", f"{i}\n") for i in range(12))
+
+
+def test_only_files_that_hold_their_names_are_read(spark, tmp_path):
+    root = put(tmp_path, {"a.html": "<p>a", "none.html": ""})
+    rows = [(7, f"file:{root}/a.html", 4), (8, f"file:{root}/gone.html", None), (9, f"file:{root}/none.html", 0)]
+    listed = spark.createDataFrame(rows, "id int, path string, n_bytes long")
+    assert sorted((r.id, r.content) for r in storage.with_content(listed, root).collect()) == [(7, b"<p>a"), (8, None), (9, b"")]
+
+
+def test_names_that_a_broken_run_noted_are_converted_once(spark, tmp_path):
+    root, out, state = tmp_path / "in put", str(tmp_path / "out"), str(tmp_path / "state")
+    assert incremental.note_new_files(spark, put(root, {"a.txt": "x"}), state, 5) is None
+    convert_new_files(spark, str(root), out, state)
+    assert read_converted(spark, out) is None
+    put(root, {"a.html": "<p>a"})
+    incremental.note_new_files(spark, str(root), state, 5)
+    put(root, {"b.html": "<p>b"})
+    for _ in range(2):
+        convert_new_files(spark, str(root), out, state)
+    assert _converted(spark, out) == [("a.html", "ok", "a\n"), ("b.html", "ok", "b\n")]
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        convert_new_files(spark, str(tmp_path / "gone"), out, state)
+
+
+def test_a_listing_finds_what_the_file_source_finds_and_goes_on_from_it(spark, tmp_path, monkeypatch):
+    odd = {"a b+c%41.html": "<p>1", "é/x=1/y.htm": "<p>2", "empty.html": "", ".h.html": "h", "_u/v.html": "u", "_k=1/v.html": "<p>3", "UP.HTML": "x"}
+    late = {"empty.html": "<p>late", "a b+c%41.htm": "<p>4", "z.html": b"\xff"}
+    want = [("_k=1/v.html", "ok", "3\n"), ("a b+c%41.htm", "ok", "4\n"), ("a b+c%41.html", "duplicate", ""), ("z.html", "failed", ""), ("é/x=1/y.htm", "ok", "2\n")]
+    for case, by_name in enumerate([(False, False), (False, True), (True, True)]):
+        root, out, state = tmp_path / str(case) / "in put", str(tmp_path / f"{case}.out"), str(tmp_path / f"{case}.state")
+        for files, known in zip((odd, late), by_name, strict=True):
+            monkeypatch.setattr(incremental, "reached", lambda path, known=known: known)
+            convert_new_files(spark, put(root, files), out, state)
+        assert _converted(spark, out) == want, by_name
+
+
 def _answers(spark, rows, log):
     spark.createDataFrame(rows, FETCHED).coalesce(1).write.mode("append").parquet(log)
 
